@@ -38,7 +38,7 @@ def nan_to_null(name: str) -> Column:
 
 def category_of(categories: Mapping[str, Iterable[str]], label: str = "TOI") -> Column:
     """The category a label belongs to, for categories that do not overlap."""
-    chain = F
+    chain = F  # F.when starts a chain that Column.when continues
     for name, labels in categories.items():
         chain = chain.when(F.col(label).isin(*labels), F.lit(name))
     return chain
@@ -53,7 +53,7 @@ def categories_of(categories: Mapping[str, Iterable[str]], label: str = "TOI") -
 
 def with_category_order(df: DataFrame, categories: Iterable[str], column: str = "TOI_Category") -> DataFrame:
     """Add the display position of a category, counted from 1."""
-    chain = F
+    chain = F  # F.when starts a chain that Column.when continues
     for position, name in enumerate(categories, start=1):
         chain = chain.when(F.col(column) == name, F.lit(position))
     return df.withColumn("CategoryOrder", chain)

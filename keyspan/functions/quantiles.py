@@ -20,8 +20,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column, width: float
     NULL values are counted too, with a NULL bin.
     """
     return (
-        df.select(*keys, value.alias("_value"))
-        .withColumn("_bin", F.floor(F.col("_value") / width))
+        df.select(*keys, value.alias("_value"), F.floor(value / width).alias("_bin"))
         .groupBy(*keys, "_bin", "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )

@@ -89,7 +89,8 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     inside a group. The partitioned rows are checkpointed because both halves must see the same
     partitions, also after an executor is lost.
     """
-    spread = df.repartitionByRange(*[F.col(key).asc() for key in keys], *order)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(partitions, *[F.col(key).asc() for key in keys], *order)
     placed = checkpointed(spread.withColumn("_part", F.spark_partition_id()))
     place = [*keys, "_part"]
     # One row per (group, partition): at most the number of partitions plus the number of groups.

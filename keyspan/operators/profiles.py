@@ -12,7 +12,6 @@ from keyspan.functions.quantiles import counted_quantiles, value_counts
 from keyspan.operators.align import distinct_values
 from keyspan.operators.sequence import unified_sequence
 
-ROW_COLUMNS = ("Participant", "Recording", "TOI", "TOI_Category", "Event_type", "Sequence", "Metric")
 FOUR_GROUP_KEYS = ("TOI_Category", "Event_type", "Sequence")
 STATISTICS = ("MeanMetric", "MedianMetric")
 
@@ -28,16 +27,16 @@ def sequence_metric_rows(
     own_side = (F.col("TOI_Category").isin(*cfg.before_categories) & (position < 0)) | (
         F.col("TOI_Category").isin(*cfg.after_categories) & (position >= 0)
     )
-    rows = seqd.withColumns(
-        {
-            "TOI_Category": category_of(categories or cfg.profile_categories),
-            "Sequence": F.when(is_fixation() | is_saccade(), unified_sequence()),
-            "Metric": metric(),
-        }
+    rows = seqd.select(
+        "Participant",
+        "Recording",
+        "TOI",
+        category_of(categories or cfg.profile_categories).alias("TOI_Category"),
+        "Event_type",
+        F.when(is_fixation() | is_saccade(), unified_sequence()).alias("Sequence"),
+        metric().alias("Metric"),
     )
-    return rows.filter(
-        F.col("Metric").isNotNull() & own_side & position.between(cfg.min_sequence, cfg.max_sequence)
-    ).select(*ROW_COLUMNS)
+    return rows.filter(F.col("Metric").isNotNull() & own_side & position.between(cfg.min_sequence, cfg.max_sequence))
 
 
 def sequence_metric_rows_filtered(filtered: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -62,19 +62,27 @@ def unified_sequence() -> Column:
     return F.coalesce(F.col("FixationSequence"), F.col("SaccadeSequence"))
 
 
-def min_group_size(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Keep the labels of an interval that have enough rows, of whatever event type."""
-    sized = seqd.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*LABEL_KEYS)))
-    return sized.filter(F.col("_size") >= cfg.min_rows).drop("_size")
+def with_group_size(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Add ``GroupRows``: the rows of the same label and interval, of whatever event type."""
+    return seqd.withColumn("GroupRows", F.count(F.lit(1)).over(Window.partitionBy(*LABEL_KEYS)))
 
 
-def min_group_size_hot(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """As :func:`min_group_size` for hot intervals: sizes are aggregated and broadcast.
+def with_group_size_hot(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """As :func:`with_group_size` for hot intervals: sizes are aggregated and broadcast.
 
     There are at most ten relevant labels per hot interval, so the sizes are few.
     """
-    sizes = seqd.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("_size"))
-    return attach(seqd, sizes, LABEL_KEYS, small=True).filter(F.col("_size") >= cfg.min_rows).drop("_size")
+    sizes = seqd.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows"))
+    return attach(seqd, sizes, LABEL_KEYS, small=True)
+
+
+def large_groups(sized: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    return sized.filter(F.col("GroupRows") >= cfg.min_rows).drop("GroupRows")
+
+
+def min_group_size(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Keep the labels of an interval that have enough rows."""
+    return large_groups(with_group_size(seqd, cfg), cfg)
 
 
 def sequence_of(seqd: DataFrame, event_type: str) -> DataFrame:

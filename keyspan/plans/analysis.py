@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, AnalysisConfig
-from keyspan.functions.skew import hot_keys, split_hot
+from keyspan.functions.skew import checkpointed, hot_keys, split_hot
 from keyspan.operators import align, profiles, quality, sequence
 
 # Rows of ordinary intervals, and those of hot intervals if there are any.
@@ -53,8 +53,8 @@ class Analysis:
         return self._step(self._aligned, sequence.sequence_events, sequence.sequence_events_hot)
 
     @cached_property
-    def _final(self) -> Parts:
-        return self._step(self._sequenced, sequence.min_group_size, sequence.min_group_size_hot)
+    def _sized(self) -> Parts:
+        return self._step(self._sequenced, sequence.with_group_size, sequence.with_group_size_hot)
 
     def _step(self, parts: Parts, ordinary: Operator, for_hot: Operator) -> Parts:
         cold, hot = parts
@@ -73,12 +73,23 @@ class Analysis:
     @property
     def sequenced(self) -> DataFrame:
         """Aligned rows, numbered outwards from the key event."""
-        return _union(self._sequenced)
+        return _union(self._sized).drop("GroupRows")
 
     @property
     def final(self) -> DataFrame:
         """Numbered rows of the labels that have enough of them."""
-        return _union(self._final)
+        return sequence.large_groups(_union(self._sized), self.cfg)
+
+    def stored(self) -> Analysis:
+        """The same analysis with its numbered rows written to the checkpoint folder.
+
+        For several reports in one application: each then reads the numbered rows with their group sizes
+        and needs no shuffle by interval of its own.
+        """
+        copy = Analysis(self.gaze, self.cfg)
+        copy.__dict__.update(self.__dict__)
+        copy.__dict__["_sized"] = (checkpointed(_union(self._sized)), None)
+        return copy
 
     @cached_property
     def marked(self) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
-def write_profile_series(series: DataFrame, path: str, entity: str, mode: str = "error") -> None:
-    """Write profile points as Parquet, one folder per entity.
+def write_profile_series(
+    series: DataFrame, path: str, entity: str, buckets: int | None = None, mode: str = "error"
+) -> None:
+    """Write profile points as Parquet, one folder and file per entity.
 
-    A series has a few dozen points per entity, so each entity is gathered by one task and becomes
-    exactly one file.
+    A series has a few dozen points per entity, so gathering an entity in one task is cheap. With very
+    many entities, ``buckets`` folders are written instead, each with whole entities in sorted order:
+    the file count stays fixed and a reader still finds an entity by its bucket and row-group statistics.
     """
-    series.repartition(entity).sortWithinPartitions(entity, "Event_type", "Sequence").write.mode(mode).partitionBy(
-        entity
-    ).parquet(path)
+    if buckets is None:
+        placed, folder = series, entity
+    else:
+        placed, folder = series.withColumn("Bucket", F.pmod(F.xxhash64(entity), F.lit(buckets))), "Bucket"
+    ordered = placed.repartition(folder).sortWithinPartitions(folder, entity, "Event_type", "Sequence")
+    ordered.write.mode(mode).partitionBy(folder).parquet(path)
