@@ -27,20 +27,38 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column, width: float
 
 
 def counted_quantiles(counts: DataFrame, keys: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
-    """Quantiles by linear interpolation, plus ``_n`` and ``_sum``, one row per group with a value.
+    """Quantiles by linear interpolation, plus ``_n``, ``_sum``, ``_min``, ``_max`` and ``_nulls`` per group.
 
     ``counts`` comes from :func:`value_counts`; ``probabilities`` maps output columns to probabilities.
+    A group without any value has ``_n`` = 0 and NULL quantiles.
     """
-    present = counts.filter(F.col("_value").isNotNull())
     group = Window.partitionBy(*keys)
-    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("_bin").asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    known = F.col("_bin").isNotNull()
     bins = (
-        present.groupBy(*keys, "_bin")
-        .agg(F.sum("_count").alias("_size"), F.sum(F.col("_value") * F.col("_count")).alias("_part_sum"))
+        counts.groupBy(*keys, "_bin")
+        .agg(
+            F.sum("_count").alias("_size"),
+            F.sum(F.col("_value") * F.col("_count")).alias("_part_sum"),
+            F.min("_value").alias("_low"),
+            F.max("_value").alias("_high"),
+        )
         .withColumn("_begin", F.sum("_size").over(upto) - F.col("_size"))
-        .withColumn("_n", F.sum("_size").over(group))
-        .withColumn("_sum", F.sum("_part_sum").over(group))
+        .withColumns(
+            {
+                "_n": F.coalesce(F.sum(F.when(known, F.col("_size"))).over(group), F.lit(0)),
+                "_nulls": F.coalesce(F.sum(F.when(~known, F.col("_size"))).over(group), F.lit(0)),
+                "_sum": F.sum("_part_sum").over(group),
+                "_min": F.min("_low").over(group),
+                "_max": F.max("_high").over(group),
+            }
+        )
     )
+    totals = ["_n", "_nulls", "_sum", "_min", "_max"]
 
     def position(probability: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(probability))
@@ -52,18 +70,19 @@ def counted_quantiles(counts: DataFrame, keys: Sequence[str], probabilities: Map
     for probability in probabilities.values():
         for edge in (F.floor(position(probability)), F.ceil(position(probability))):
             wanted = wanted | holds(edge, "_begin", "_size")
-    targets = bins.filter(wanted).drop("_size", "_part_sum")
-    targets = targets.withColumnsRenamed({key: "_t_" + key for key in [*keys, "_bin"]})
+    # A group of NULLs only is represented by its NULL bin.
+    targets = bins.filter(F.when(known, wanted).otherwise(F.col("_n") == 0))
+    targets = targets.select(*[F.col(key).alias("_t_" + key) for key in [*keys, "_bin"]], "_begin", *totals)
 
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inside = (
+        Window.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = (
-        present.join(targets, null_safe([*keys, "_bin"], "_t_"))
-        .select(*keys, "_bin", "_value", "_count", "_begin", "_n", "_sum")
+        counts.join(targets, null_safe([*keys, "_bin"], "_t_"))
+        .select(*keys, "_bin", "_value", "_count", "_begin", *totals)
         .withColumn("_from", F.col("_begin") + F.sum("_count").over(inside) - F.col("_count"))
     )
-    picks = [F.max("_n").alias("_n"), F.max("_sum").alias("_sum")]
+    picks = [F.max(name).alias(name) for name in totals]
     for name, probability in probabilities.items():
         for side, edge in (("lo", F.floor(position(probability))), ("hi", F.ceil(position(probability)))):
             picks.append(F.max(F.when(holds(edge, "_from", "_count"), F.col("_value"))).alias(f"_{side}_{name}"))
@@ -74,4 +93,4 @@ def counted_quantiles(counts: DataFrame, keys: Sequence[str], probabilities: Map
         part = position(probability) - F.floor(position(probability))
         # Equal edges are returned as they are, so that infinite values stay defined.
         results.append(F.when(low == high, low).otherwise(low + part * (high - low)).alias(name))
-    return picked.select(*keys, *results, "_n", "_sum")
+    return picked.select(*keys, *results, *totals)

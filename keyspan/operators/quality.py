@@ -14,17 +14,16 @@ INFINITE = float("inf")
 
 def numeric_summary(df: DataFrame, value: Column) -> DataFrame:
     """Minimum, quartiles, mean, maximum and NULL count of one column, exactly, from its value counts."""
-    counts = value_counts(df, [], value)
-    quartiles = counted_quantiles(counts, [], {"Q25": 0.25, "Median": 0.5, "Q75": 0.75})
-    ends = counts.agg(
-        F.min("_value").alias("Min"),
-        F.max("_value").alias("Max"),
-        F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_count"))), F.lit(0)).alias("N_Null"),
+    found = counted_quantiles(value_counts(df, [], value), [], {"Q25": 0.25, "Median": 0.5, "Q75": 0.75})
+    return found.select(
+        F.col("_min").alias("Min"),
+        "Q25",
+        "Median",
+        ratio(F.col("_sum"), F.col("_n")).alias("Mean"),
+        "Q75",
+        F.col("_max").alias("Max"),
+        F.coalesce("_nulls", F.lit(0)).alias("N_Null"),
     )
-    # Both sides have exactly one row.
-    joined = quartiles.crossJoin(F.broadcast(ends))
-    mean = ratio(F.col("_sum"), F.col("_n")).alias("Mean")
-    return joined.select("Min", "Q25", "Median", mean, "Q75", "Max", "N_Null")
 
 
 def fixation_duration_stats(final: DataFrame) -> DataFrame:

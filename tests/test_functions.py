@@ -58,8 +58,11 @@ def test_quantiles_of_groups(spark):
     wanted = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q99": 0.99}
     found = counted_quantiles(value_counts(df, ["k"], F.col("v")), ["k"], wanted).collect()
     by_key = {row.k: row for row in found}
-    assert set(by_key) == {"a", "b", None, "one", "two", "inf"}
+    assert set(by_key) == {"a", "b", None, "one", "two", "none", "inf"}
+    none = by_key.pop("none")
+    assert (none["_n"], none["_nulls"], none["median"]) == (0, 1, None)
     for key, row in by_key.items():
+        assert row["_nulls"] == sum(k == key and v is None for k, v in data)
         values = [v for k, v in data if k == key and v is not None]
         assert row["_n"] == len(values)
         if key == "inf":
