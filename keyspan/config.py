@@ -56,6 +56,9 @@ class AnalysisConfig:
     # An interval with more rows than this is "hot": it is never windowed in one task. There can be
     # at most (all rows / hot_rows) hot intervals, which bounds the list of them that is broadcast.
     hot_rows: int = 5_000_000
+    # The stored gaze table is already clustered by interval (bucketed by Recording, Participant and
+    # Interval), so that the shuffle by interval can be left out.
+    clustered: bool = False
     # Per-recording statistics are broadcast only up to this many recordings (about 5 MB).
     broadcast_groups: int = 100_000
 

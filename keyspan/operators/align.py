@@ -58,7 +58,7 @@ def attach_key_event(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFram
     times = F.struct("RowId", "_own.Start", "_own.Stop")
     types = F.struct("RowId", "_own.Event_type")
     keyed = (
-        gaze.repartition(*INTERVAL_KEYS)
+        (gaze if cfg.clustered else gaze.repartition(*INTERVAL_KEYS))
         .withColumn("_own", own)
         .withColumns(
             {

@@ -57,9 +57,12 @@ def seq0_recording_vs_overall(events: DataFrame) -> DataFrame:
 
 
 def seq0_events_detailed(seqd: DataFrame) -> DataFrame:
-    """Key events with their context, sorted for reading."""
-    order = ("Recording", "Participant", "Interval", "TOI", "Start")
-    return _key_rows(seqd).select(*DETAIL_COLUMNS).orderBy(*[F.col(name).asc_nulls_last() for name in order])
+    """Key events with their context, sorted for reading; equal ones stay in row order.
+
+    The row id also lets the sort spread many equal events over its partitions.
+    """
+    order = ("Recording", "Participant", "Interval", "TOI", "Start", "RowId")
+    return _key_rows(seqd).orderBy(*[F.col(name).asc_nulls_last() for name in order]).select(*DETAIL_COLUMNS)
 
 
 def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

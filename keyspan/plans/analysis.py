@@ -60,22 +60,22 @@ class Analysis:
         cold, hot = parts
         return ordinary(cold, self.cfg), None if hot is None else for_hot(hot, self.cfg)
 
-    @property
+    @cached_property
     def keyed(self) -> DataFrame:
         """All rows with the key event of their interval, NULL where it has none."""
         return _union(self._keyed)
 
-    @property
+    @cached_property
     def aligned(self) -> DataFrame:
         """Relevant, valid rows on their side of the key event."""
         return _union(self._aligned)
 
-    @property
+    @cached_property
     def sequenced(self) -> DataFrame:
         """Aligned rows, numbered outwards from the key event."""
         return _union(self._sized).drop("GroupRows")
 
-    @property
+    @cached_property
     def final(self) -> DataFrame:
         """Numbered rows of the labels that have enough of them."""
         return sequence.large_groups(_union(self._sized), self.cfg)
@@ -87,8 +87,8 @@ class Analysis:
         and needs no shuffle by interval of its own.
         """
         copy = Analysis(self.gaze, self.cfg)
-        copy.__dict__.update(self.__dict__)
-        copy.__dict__["_sized"] = (checkpointed(_union(self._sized)), None)
+        copy.hot_intervals = self.hot_intervals
+        copy._sized = (checkpointed(_union(self._sized)), None)
         return copy
 
     @cached_property
@@ -96,16 +96,16 @@ class Analysis:
         """Final rows with a flag for those inside the outlier bounds."""
         return quality.mark_outliers(self.final, self.cfg, self.n_recordings)
 
-    @property
+    @cached_property
     def outlier_filtered(self) -> DataFrame:
         return quality.outlier_filtered(self.marked)
 
-    @property
+    @cached_property
     def profile_rows(self) -> DataFrame:
         """Rows of the mean profiles. They come from all numbered rows, small groups included."""
         return profiles.sequence_metric_rows(self.sequenced, self.cfg)
 
-    @property
+    @cached_property
     def filtered_profile_rows(self) -> DataFrame:
         """Rows of the mean and median profiles: without small groups and without outliers."""
         return profiles.sequence_metric_rows_filtered(self.outlier_filtered, self.cfg)

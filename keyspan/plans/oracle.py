@@ -439,6 +439,7 @@ FROM prep WHERE TOI <> 'EA' GROUP BY Recording, {FOUR_KEYS}""",
         "recordings_with_profiles": _sql(TO_PREP, _two_fields("Recording", "TOI_Category", "prep")),
         "entity_lists": _sql(TO_PREP, _two_fields("Participant", "Recording", "prep")),
         "write_profile_series": _sql(TO_PREP, _overlay("Participant", "prep")),
+        "write_recording_series": _sql(TO_PREP, _overlay("Recording", "prep")),
         "fixation_duration_stats": _sql(final, _numeric_summary("Duration", "Fixation")),
         "saccade_amplitude_stats": _sql(final, _numeric_summary("Saccade_amplitude", "Saccade")),
         "implausible_counts": _sql(

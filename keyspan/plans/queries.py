@@ -26,11 +26,23 @@ def analysis_of(spark: SparkSession, sf_dir: str) -> Analysis:
     return _analyses[key]
 
 
-def written_profile_series(a: Analysis) -> DataFrame:
-    """Write the participant series to the shared folder and read them back."""
-    path = f"{checkpoint_folder(a.gaze.sparkSession)}/profile_series/{uuid.uuid4()}"
-    write_profile_series(profiles.overlay_per_participant(a.profile_rows), path, "Participant")
-    return a.gaze.sparkSession.read.parquet(path)
+def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int | None) -> DataFrame:
+    """Write a series to the session's shared folder and read it back."""
+    spark = a.gaze.sparkSession
+    path = f"{checkpoint_folder(spark)}/profile_series/{uuid.uuid4()}"
+    write_profile_series(series, path, entity, buckets)
+    return spark.read.parquet(path).select(*series.columns)
+
+
+def written_participant_series(a: Analysis) -> DataFrame:
+    """Participants grow with the data, so they share as many folders as a shuffle has partitions."""
+    buckets = int(a.gaze.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written_and_read(a, profiles.overlay_per_participant(a.profile_rows), "Participant", buckets)
+
+
+def written_recording_series(a: Analysis) -> DataFrame:
+    """One folder per recording."""
+    return written_and_read(a, profiles.overlay_per_recording(a.profile_rows), "Recording", None)
 
 
 OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
@@ -86,7 +98,8 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "overlay_4groups_per_recording": lambda a: profiles.overlay_4groups_per_recording(a.profile_rows, a.cfg),
     "recordings_with_profiles": lambda a: profiles.recordings_with_profiles(a.profile_rows, a.cfg),
     "entity_lists": lambda a: profiles.entity_lists(a.profile_rows),
-    "write_profile_series": written_profile_series,
+    "write_profile_series": written_participant_series,
+    "write_recording_series": written_recording_series,
     # Data quality
     "fixation_duration_stats": lambda a: quality.fixation_duration_stats(a.final),
     "saccade_amplitude_stats": lambda a: quality.saccade_amplitude_stats(a.final),

@@ -151,7 +151,9 @@ def test_hot_paths_are_taken(spark):
 
 def test_stored_rows_give_the_same_results(spark):
     analysis = Analysis(gaze(spark, random_events(3)), CONFIGS["hot intervals"])
+    assert analysis.final.count() > 0
     stored = analysis.stored()
+    assert "Window" not in stored.final._jdf.queryExecution().executedPlan().toString()
     for stage in ("sequenced", "final", "outlier_filtered", "profile_rows", "filtered_profile_rows"):
         left, right = getattr(analysis, stage), getattr(stored, stage)
         assert left.columns == right.columns

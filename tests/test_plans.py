@@ -3,13 +3,14 @@
 import re
 
 import pytest
-from helpers import event, gaze
+from helpers import event, gaze, same
 from pyspark.sql import functions as F
 
+from keyspan.config import AnalysisConfig
 from keyspan.operators import align
 from keyspan.plans.analysis import Analysis
 from keyspan.plans.queries import all_queries, analysis_of
-from keyspan.sources.gaze import load_gaze
+from keyspan.sources.gaze import as_gaze, load_gaze
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,6 +40,18 @@ def test_one_shuffle_to_the_final_rows(spark, stored):
     assert "Join" not in plan
 
 
+def test_a_bucketed_table_is_not_shuffled(spark, stored, tmp_path):
+    gaze_rows = load_gaze(spark, stored)
+    keys = ("Recording", "Participant", "Interval")
+    writer = gaze_rows.write.bucketBy(4, *keys).sortBy(*keys).option("path", str(tmp_path / "bucketed"))
+    writer.saveAsTable("bucketed_gaze")
+    clustered = Analysis(as_gaze(spark.table("bucketed_gaze")), AnalysisConfig(clustered=True))
+    plan = executed(clustered.final)
+    assert "Exchange" not in plan
+    same(clustered.final, Analysis(gaze_rows).final)
+    spark.sql("DROP TABLE bucketed_gaze")
+
+
 def test_unused_columns_are_not_read(spark, stored):
     events = Analysis(load_gaze(spark, stored).withColumn("Extra", F.lit(1))).aligned.groupBy("TOI").count()
     schema = re.search(r"ReadSchema: struct<([^>]*)>", executed(events)).group(1)
@@ -78,8 +91,6 @@ def test_no_python_in_any_plan(spark):
 
 
 def test_statistics_of_too_many_recordings_are_not_broadcast_whole(spark):
-    from keyspan.config import AnalysisConfig
-
     events = [event("PEn", "Fixation", 4900, 5100, Recording=f"R{i}") for i in range(6)]
     table = gaze(spark, events)
     wide = Analysis(table, AnalysisConfig(min_rows=1, broadcast_groups=3))
