@@ -70,3 +70,12 @@ def null_safe(keys: Iterable[str], prefix: str) -> Column:
 def ratio(total: Column, count: Column) -> Column:
     """Mean from a sum and a count; NULL for an empty set."""
     return total / F.nullif(count, F.lit(0))
+
+
+def nulls_last(names: Iterable[str]) -> list[Column]:
+    return [F.col(name).asc_nulls_last() for name in names]
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of a table in a stated order, for display."""
+    return df.orderBy(*nulls_last(order)).limit(n)

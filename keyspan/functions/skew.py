@@ -33,14 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None if there are none.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, max_hot_keys: int) -> DataFrame | None:
+    """The largest keys with more than ``hot_rows`` rows, at most ``max_hot_keys``; None if there are none.
 
-    At most (all rows / ``hot_rows``) keys can qualify, so the result is safe to broadcast. The counts
-    are combined before the shuffle, so a hot key costs no more than any other here.
+    The list is bounded, so it may be broadcast. A key that is left out is not too large for one task
+    either: ``max_hot_keys`` others are larger, so it holds less than 1/``max_hot_keys`` of all rows. The
+    counts are combined before the shuffle, so a hot key costs no more than any other here.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
+    largest = sizes.filter(F.col("_rows") > hot_rows).orderBy(F.col("_rows").desc(), *keys).limit(max_hot_keys)
+    hot = largest.select(*keys)
     rows = hot.collect()
     return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
@@ -109,11 +111,11 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     )
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int) -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int, max_hot_keys: int
+) -> DataFrame:
     """Row number within ``keys``: windowed for ordinary keys, range-partitioned for hot ones."""
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
-        return ranked(df, keys, order, out).withColumn(out, F.col(out).cast("long"))
-    cold_rows, hot_rows_ = split_hot(df, keys, hot)
-    cold = ranked(cold_rows, keys, order, out).withColumn(out, F.col(out).cast("long"))
-    return cold.unionByName(ranked_hot(hot_rows_, keys, order, out))
+    hot = hot_keys(df, keys, hot_rows, max_hot_keys)
+    ordinary, large = (df, None) if hot is None else split_hot(df, keys, hot)
+    numbered = ranked(ordinary, keys, order, out).withColumn(out, F.col(out).cast("long"))
+    return numbered if large is None else numbered.unionByName(ranked_hot(large, keys, order, out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from keyspan.functions.expressions import is_finite, ratio
+from keyspan.functions.expressions import first_rows, is_finite, nulls_last, ratio
 from keyspan.operators.sequence import unified_sequence
 
 EVENT_COLUMNS = ("Recording", "Participant", "Interval", "TOI", "Event_type", "Duration")
@@ -14,6 +14,7 @@ DETAIL_COLUMNS = (
     "FixationSequence", "SaccadeSequence", "Sequence",
     "KeyEventStart", "KeyEventStop", "KeyEventType",
 )
+READING_ORDER = ("Recording", "Participant", "Interval", "TOI", "Start", "RowId")
 
 
 def _key_rows(seqd: DataFrame) -> DataFrame:
@@ -61,10 +62,9 @@ def seq0_events_detailed(seqd: DataFrame) -> DataFrame:
 
     The row id also lets the sort spread many equal events over its partitions.
     """
-    order = ("Recording", "Participant", "Interval", "TOI", "Start", "RowId")
-    return _key_rows(seqd).orderBy(*[F.col(name).asc_nulls_last() for name in order]).select(*DETAIL_COLUMNS)
+    return _key_rows(seqd).orderBy(*nulls_last(READING_ORDER)).select(*DETAIL_COLUMNS)
 
 
-def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first ``n`` rows of a table in a stated order, for display."""
-    return df.orderBy(*[F.col(name).asc_nulls_last() for name in order]).limit(n)
+def seq0_events_first_rows(seqd: DataFrame, n: int = 50) -> DataFrame:
+    """The first key events of the detailed listing, for display."""
+    return first_rows(_key_rows(seqd), n, *READING_ORDER).select(*DETAIL_COLUMNS)

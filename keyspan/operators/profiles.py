@@ -165,12 +165,17 @@ def mean_median_overall(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataF
     return mean_median(rows, FOUR_GROUP_KEYS, cfg)
 
 
+def points_of(points: DataFrame, event_type: str) -> DataFrame:
+    """The points of one event type, e.g. for a chart of its own."""
+    return points.filter(F.col("Event_type") == event_type)
+
+
 def stat_series(profile: DataFrame, event_type: str | None = None, stat: str | None = None) -> DataFrame:
     """Points to draw as (.., Stat, Value, N) rows: all series, or those of one event type or statistic."""
     chosen = [stat] if stat else list(STATISTICS)
     unknown = [name for name in chosen if name not in STATISTICS]
     if unknown:
         raise ValueError(f"unknown statistic {unknown}; choose from {list(STATISTICS)}")
-    rows = profile if event_type is None else profile.filter(F.col("Event_type") == event_type)
+    rows = profile if event_type is None else points_of(profile, event_type)
     ids = [name for name in profile.columns if name not in STATISTICS]
     return rows.unpivot(ids, chosen, "Stat", "Value")

@@ -10,9 +10,11 @@ from keyspan.config import DEFAULT, FIXATION, SACCADE, AnalysisConfig
 from keyspan.functions.expressions import (
     categories_of,
     category_of,
+    first_rows,
     is_fixation,
     is_saccade,
     null_safe,
+    nulls_last,
     ratio,
     with_category_order,
 )
@@ -61,6 +63,11 @@ def summary_per_label(final: DataFrame) -> DataFrame:
     return both.filter(F.col("N_Fixations").isNotNull() | F.col("N_Saccades").isNotNull())
 
 
+def summary_per_label_first_rows(final: DataFrame, n: int = 50) -> DataFrame:
+    """The first rows of the side-by-side summary, for display."""
+    return first_rows(summary_per_label(final), n, *PER_LABEL)
+
+
 def fix_and_sacc(df: DataFrame, keys: Iterable[str], suffix: str = "") -> DataFrame:
     """Both averages and counts per group in one pass. Rows without an event type are not counted."""
     return df.groupBy(*keys).agg(
@@ -89,7 +96,7 @@ def before_after_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> Dat
     grouped = final.withColumn("TimeWindowGroup", category_of(windows))
     keys = (*PER_PARTICIPANT, "TimeWindowGroup")
     summary = fix_and_sacc(grouped.filter(F.col("TimeWindowGroup").isNotNull()), keys)
-    return summary.orderBy(*[F.col(key).asc_nulls_last() for key in keys])
+    return summary.orderBy(*nulls_last(keys))
 
 
 def fpet_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -30,7 +30,7 @@ class Analysis:
 
     @cached_property
     def hot_intervals(self) -> DataFrame | None:
-        return hot_keys(self.gaze, INTERVAL_KEYS, self.cfg.hot_rows)
+        return hot_keys(self.gaze, INTERVAL_KEYS, self.cfg.hot_rows, self.cfg.max_hot_keys)
 
     @cached_property
     def n_recordings(self) -> int:

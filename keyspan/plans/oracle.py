@@ -265,6 +265,15 @@ SELECT DISTINCT '{first}' AS Field, {first} AS Value FROM {source}
 UNION ALL SELECT DISTINCT '{second}', {second} FROM {source}"""
 
 
+SUMMARY_PER_LABEL = """
+, f AS (SELECT Recording, Participant, TOI, avg(Duration) AS AvgFixationDuration, count(*) AS N_Fixations
+        FROM final WHERE Event_type = 'Fixation' GROUP BY ALL),
+s AS (SELECT Recording, Participant, TOI, avg(Saccade_amplitude) AS AvgSaccadeAmplitude, count(*) AS N_Saccades
+      FROM final WHERE Event_type = 'Saccade' GROUP BY ALL)
+SELECT * FROM f FULL JOIN s USING (Recording, Participant, TOI)"""
+SEQ0_DETAILED = """
+SELECT Recording, Participant, "Interval", TOI, Event_type, "Start", "Stop", Duration, Validity,
+       FixationSequence, SaccadeSequence, Sequence, KeyEventStart, KeyEventStop, KeyEventType FROM seq0"""
 SEQUENCE_COLUMNS = 'RowId, Recording, Participant, "Interval", TOI, "Start", "Stop"'
 FOUR_KEYS = "TOI_Category, Event_type, Sequence"
 SEQ0_PER_RECORDING = "SELECT Recording, avg(Duration) AS AvgDuration_Seq0, count(*) AS N_Seq0_Events FROM seq0 GROUP BY 1"
@@ -337,15 +346,8 @@ FROM final WHERE Event_type = 'Fixation' GROUP BY ALL""",
 SELECT Recording, Participant, TOI, avg(Saccade_amplitude) AS AvgSaccadeAmplitude, count(*) AS N_Saccades
 FROM final WHERE Event_type = 'Saccade' GROUP BY ALL""",
         ),
-        "summary_per_label": _sql(
-            final,
-            """
-, f AS (SELECT Recording, Participant, TOI, avg(Duration) AS AvgFixationDuration, count(*) AS N_Fixations
-        FROM final WHERE Event_type = 'Fixation' GROUP BY ALL),
-s AS (SELECT Recording, Participant, TOI, avg(Saccade_amplitude) AS AvgSaccadeAmplitude, count(*) AS N_Saccades
-      FROM final WHERE Event_type = 'Saccade' GROUP BY ALL)
-SELECT * FROM f FULL JOIN s USING (Recording, Participant, TOI)""",
-        ),
+        "summary_per_label": _sql(final, SUMMARY_PER_LABEL),
+        "summary_per_label_first_rows": _sql(final, SUMMARY_PER_LABEL + " ORDER BY Recording, Participant, TOI LIMIT 50"),
         "combined_fpen_summary": _sql(final, _per_participant(FPENX, "_All_FPEn")),
         "combined_pen_summary": _sql(final, _per_participant(PENX, "_All_PEn")),
         "before_after_summary": _sql(
@@ -485,10 +487,8 @@ SELECT count(*) AS N_Before, count(*) FILTER (kept) AS N_After, count(*) FILTER
             TO_SEQ0,
             f"SELECT p.*, (SELECT avg(Duration) FROM seq0) AS OverallAvgDuration_Seq0 FROM ({SEQ0_PER_RECORDING}) p",
         ),
-        "seq0_events_detailed": _sql(
-            TO_SEQ0,
-            """
-SELECT Recording, Participant, "Interval", TOI, Event_type, "Start", "Stop", Duration, Validity,
-       FixationSequence, SaccadeSequence, Sequence, KeyEventStart, KeyEventStop, KeyEventType FROM seq0""",
+        "seq0_events_detailed": _sql(TO_SEQ0, SEQ0_DETAILED),
+        "seq0_events_first_rows": _sql(
+            TO_SEQ0, SEQ0_DETAILED + ' ORDER BY Recording, Participant, "Interval", TOI, "Start", RowId LIMIT 50'
         ),
     }

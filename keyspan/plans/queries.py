@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyspan.functions.skew import checkpoint_folder
 from keyspan.operators import align, keyrow, profiles, quality, sequence, summarize
 from keyspan.plans.analysis import Analysis
 from keyspan.sources.events import gaze_from_events
 from keyspan.sources.sinks import write_profile_series
-from keyspan.functions.skew import checkpoint_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,7 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "fixation_summary_per_label": lambda a: summarize.fixation_summary_per_label(a.final),
     "saccade_summary_per_label": lambda a: summarize.saccade_summary_per_label(a.final),
     "summary_per_label": lambda a: summarize.summary_per_label(a.final),
+    "summary_per_label_first_rows": lambda a: summarize.summary_per_label_first_rows(a.final),
     "combined_fpen_summary": lambda a: summarize.combined_fpen_summary(a.final, a.cfg),
     "combined_pen_summary": lambda a: summarize.combined_pen_summary(a.final, a.cfg),
     "before_after_summary": lambda a: summarize.before_after_summary(a.final, a.cfg),
@@ -126,6 +127,7 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "seq0_duration_overall": lambda a: keyrow.seq0_duration_overall(keyrow.seq0_events(a.sequenced)),
     "seq0_recording_vs_overall": lambda a: keyrow.seq0_recording_vs_overall(keyrow.seq0_events(a.sequenced)),
     "seq0_events_detailed": lambda a: keyrow.seq0_events_detailed(a.sequenced),
+    "seq0_events_first_rows": lambda a: keyrow.seq0_events_first_rows(a.sequenced),
 }
 
 

@@ -15,10 +15,19 @@ def test_row_numbers_with_hot_keys_and_ties(spark):
     data = [(rnd.choice(["a", "a", "b", None]), rnd.choice([1.0, 1.0, 1.0, 2.0, None]), i) for i in range(3000)]
     df = spark.createDataFrame(data, "k string, v double, id long").repartition(7)
     order = [F.col("v").asc_nulls_last(), F.col("id").desc()]
-    plain = skew.row_numbers(df, ["k"], order, "n", hot_rows=10**6)
-    spread = skew.row_numbers(df, ["k"], order, "n", hot_rows=800)
+    plain = skew.row_numbers(df, ["k"], order, "n", hot_rows=10**6, max_hot_keys=10)
+    spread = skew.row_numbers(df, ["k"], order, "n", hot_rows=300, max_hot_keys=10)
+    some = skew.row_numbers(df, ["k"], order, "n", hot_rows=300, max_hot_keys=1)
     assert plain.dtypes == spread.dtypes
-    assert rows(plain, "k", "v", "id", "n") == rows(spread, "k", "v", "id", "n")
+    assert rows(plain, "k", "v", "id", "n") == rows(spread, "k", "v", "id", "n") == rows(some, "k", "v", "id", "n")
+
+
+def test_hot_keys_are_the_largest(spark):
+    data = [("a",)] * 5 + [("b",)] * 9 + [(None,)] * 7 + [("c",)] * 2
+    df = spark.createDataFrame(data, "k string")
+    assert skew.hot_keys(df, ["k"], 9, 10) is None
+    assert rows(skew.hot_keys(df, ["k"], 4, 10), "k") == [("a",), ("b",), (None,)]
+    assert rows(skew.hot_keys(df, ["k"], 4, 2), "k") == [("b",), (None,)]
 
 
 def test_a_hot_group_is_spread_over_partitions(spark, monkeypatch):

@@ -252,7 +252,7 @@ def test_key_event_reports(spark):
     ]
     detailed = keyrow.seq0_events_detailed(seqd)
     assert detailed.columns == list(keyrow.DETAIL_COLUMNS)
-    shown = keyrow.first_rows(detailed, 2, "Recording", "TOI").collect()
+    shown = keyrow.seq0_events_first_rows(seqd, 2).collect()
     assert [(row.Recording, row.TOI) for row in shown] == [("R1", "FPEn"), ("R1", "PEn")]
 
 
