@@ -33,7 +33,7 @@ def is_finite(name: str) -> Column:
 
 
 def nan_to_null(name: str) -> Column:
-    return F.nullif(F.col(name), F.lit(float("nan"))).alias(name)
+    return F.nullif(F.col(name), F.lit(float("nan")))
 
 
 def category_of(categories: Mapping[str, Iterable[str]], label: str = "TOI") -> Column:

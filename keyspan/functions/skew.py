@@ -69,8 +69,10 @@ def attach_uneven(df: DataFrame, table: DataFrame, keys: Sequence[str], size: st
 
     The ``top`` largest keys (column ``size`` counts their rows) are broadcast, and the rows of the
     others are shuffled. A key outside the top ``top`` holds at most 1/``top`` of all rows, so no
-    shuffle partition can be swamped by one key.
+    shuffle partition can be swamped by one key. The table is used several times, so it is checkpointed
+    instead of being computed again for each use.
     """
+    table = checkpointed(table)
     largest = table.orderBy(F.col(size).desc(), *keys).limit(top)
     light, heavy = split_hot(df, keys, largest.select(*keys))
     light_table, _ = split_hot(table, keys, largest.select(*keys))

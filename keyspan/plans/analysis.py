@@ -110,6 +110,16 @@ class Analysis:
         """Rows of the mean and median profiles: without small groups and without outliers."""
         return profiles.sequence_metric_rows_filtered(self.outlier_filtered, self.cfg)
 
+    @cached_property
+    def profile_per_recording(self) -> DataFrame:
+        """Mean and median profile of each recording."""
+        return profiles.mean_median_per_recording(self.filtered_profile_rows, self.cfg)
+
+    @cached_property
+    def profile_overall(self) -> DataFrame:
+        """Mean and median profile over all recordings."""
+        return profiles.mean_median_overall(self.filtered_profile_rows, self.cfg)
+
     def stage_counts(self) -> DataFrame:
         return sequence.stage_counts(self.keyed, align.is_aligned(self.cfg), self.cfg)
 

@@ -112,14 +112,10 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "outlier_removed_counts": lambda a: quality.outlier_removed_counts(a.marked),
     # Profiles after outlier removal
     "sequence_metric_rows_filtered": lambda a: a.filtered_profile_rows,
-    "mean_median_per_recording": lambda a: profiles.mean_median_per_recording(a.filtered_profile_rows, a.cfg),
-    "mean_median_overall": lambda a: profiles.mean_median_overall(a.filtered_profile_rows, a.cfg),
-    "stat_series_per_recording": lambda a: profiles.stat_series(
-        profiles.mean_median_per_recording(a.filtered_profile_rows, a.cfg)
-    ),
-    "stat_series_overall": lambda a: profiles.stat_series(
-        profiles.mean_median_overall(a.filtered_profile_rows, a.cfg)
-    ),
+    "mean_median_per_recording": lambda a: a.profile_per_recording,
+    "mean_median_overall": lambda a: a.profile_overall,
+    "stat_series_per_recording": lambda a: profiles.stat_series(a.profile_per_recording),
+    "stat_series_overall": lambda a: profiles.stat_series(a.profile_overall),
     # Key events
     "seq0_events": lambda a: keyrow.seq0_events(a.sequenced),
     "seq0_event_types": lambda a: keyrow.seq0_event_types(keyrow.seq0_events(a.sequenced)),

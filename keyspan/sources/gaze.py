@@ -44,11 +44,12 @@ def as_gaze(df: DataFrame, has_nan: bool = True) -> DataFrame:
     taken = [name for name in DERIVED if name in df.columns]
     if taken:
         raise ValueError(f"gaze table already has derived columns {taken}")
-    types = {field.name: field.dataType for field in GAZE_SCHEMA}
-    typed = df.select(*[F.col(n).cast(types[n]).alias(n) if n in types else F.col(n) for n in df.columns])
-    if not has_nan:
-        return typed
-    return typed.select(*[nan_to_null(n) if n in MEASURES else F.col(n) for n in typed.columns])
+    wanted = {field.name: field.dataType for field in GAZE_SCHEMA}
+    # Columns of the right type are taken as they are: a needless alias would keep equal plans from
+    # sharing a shuffle.
+    wrong = [field.name for field in df.schema if field.dataType != wanted.get(field.name, field.dataType)]
+    typed = df.withColumns({name: F.col(name).cast(wanted[name]) for name in wrong}) if wrong else df
+    return typed.withColumns({name: nan_to_null(name) for name in MEASURES}) if has_nan else typed
 
 
 def load_gaze(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keyspan.config import AnalysisConfig
 from keyspan.operators import align
 from keyspan.plans.analysis import Analysis
-from keyspan.plans.queries import all_queries, analysis_of
+from keyspan.plans.queries import OPERATORS, analysis_of
 from keyspan.sources.gaze import as_gaze, load_gaze
 
 DIR = "/root/testdata/sf0.001"
@@ -73,21 +73,21 @@ def test_interval_filter_reaches_the_scan(spark, stored):
     assert "EqualTo(Recording,R1)" in plan
 
 
-@pytest.mark.parametrize("name", ["mean_median_per_recording", "mean_median_overall", "fixation_duration_stats"])
-def test_quantile_queries_shuffle_the_rows_once(spark, name):
-    plan = executed(all_queries()[name](spark, DIR))
-    assert count(plan, r"FileScan parquet") <= 2
-    # The value counts are computed once and used twice.
-    assert count(plan, r"[^d]Exchange hashpartitioning\([^\n]*_bin[^\n]*_value") - count(
-        plan, r"ReusedExchange[^\n]*_value"
-    ) <= 1
+@pytest.mark.parametrize("name", [name for name in OPERATORS if not name.startswith("write_")])
+def test_every_query_reads_and_shuffles_the_rows_once(spark, stored, name):
+    plan = executed(OPERATORS[name](Analysis(load_gaze(spark, stored))))
+    new = [line for line in plan.split("\n") if "ReusedExchange" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in new) <= 1
+    # The key events alone are found by a second, filtered read.
+    assert sum("FileScan" in line for line in new) <= (2 if name == "key_event_per_interval" else 1)
+    assert "Python" not in plan and "Pandas" not in plan
+    assert "CartesianProduct" not in plan
 
 
-def test_no_python_in_any_plan(spark):
-    for name, query in all_queries().items():
-        plan = query(spark, DIR)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Pandas" not in plan, name
-        assert "CartesianProduct" not in plan, name
+def test_uneven_statistics_share_the_shuffle(spark, stored):
+    plan = executed(Analysis(load_gaze(spark, stored), AnalysisConfig(broadcast_groups=2)).marked)
+    new = [line for line in plan.split("\n") if "ReusedExchange" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in new) == 1
 
 
 def test_statistics_of_too_many_recordings_are_not_broadcast_whole(spark):
