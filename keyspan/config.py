@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Label, category and event-type names and thresholds that results are defined by.
+# Label, category, combination, event-type and metric names and thresholds that results are
+# defined by.
 FPEN_FAMILY = ("FPEn", "FPEn2", "FPEn3", "FPEn4")
 PEN_FAMILY = ("PEn", "PEn2", "PEn3", "PEn4")
 FPET = "FPEt"
@@ -17,6 +18,13 @@ FPENX = "Combined_FPEnX"
 PENX = "Combined_PEnX"
 BEFORE = "Combined_Before"
 AFTER = "Combined_After"
+BEFORE_EVENT = "BeforeEvent"
+AFTER_EVENT = "AfterEvent"
+FPENX_PENX = "FPEnX + PEnX"
+FPET_PET = "FPEt + PEt"
+FPEN_PEN = "FPEn + PEn"
+FIXATION_METRIC = "Avg Fixation Duration (ms)"
+SACCADE_METRIC = "Avg Saccade Amplitude (deg)"
 ANCHOR_MS = 5000.0
 MIN_ROWS = 10
 MIN_SEQUENCE = -5

@@ -6,7 +6,15 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keyspan.config import DEFAULT, AnalysisConfig
+from keyspan.config import (
+    DEFAULT,
+    FIXATION_METRIC,
+    FPEN_PEN,
+    FPENX_PENX,
+    FPET_PET,
+    SACCADE_METRIC,
+    AnalysisConfig,
+)
 from keyspan.functions.expressions import category_of, is_fixation, is_saccade, metric, ratio, with_category_order
 from keyspan.functions.quantiles import counted_quantiles, value_counts
 from keyspan.operators.align import distinct_values
@@ -59,7 +67,7 @@ def averages(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 
 def profile_per_recording(rows: DataFrame) -> DataFrame:
-    name = F.when(is_fixation(), "Avg Fixation Duration (ms)").when(is_saccade(), "Avg Saccade Amplitude (deg)")
+    name = F.when(is_fixation(), FIXATION_METRIC).when(is_saccade(), SACCADE_METRIC)
     return averages(rows, ["Recording", "Event_type", "Sequence"]).withColumn("MetricName", name)
 
 
@@ -115,15 +123,15 @@ def overlay_combination(rows: DataFrame, labels: Iterable[str], name: str) -> Da
 
 
 def overlay_fpenx_penx(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return overlay_combination(rows, cfg.fpen_family + cfg.pen_family, "FPEnX + PEnX")
+    return overlay_combination(rows, cfg.fpen_family + cfg.pen_family, FPENX_PENX)
 
 
 def overlay_fpet_pet(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return overlay_combination(rows, (cfg.fpet, cfg.pet), "FPEt + PEt")
+    return overlay_combination(rows, (cfg.fpet, cfg.pet), FPET_PET)
 
 
 def overlay_fpen_pen(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return overlay_combination(rows, cfg.first_instance_labels, "FPEn + PEn")
+    return overlay_combination(rows, cfg.first_instance_labels, FPEN_PEN)
 
 
 def profile_4groups_per_recording(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

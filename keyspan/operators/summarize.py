@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keyspan.config import DEFAULT, FIXATION, SACCADE, AnalysisConfig
+from keyspan.config import AFTER_EVENT, BEFORE_EVENT, DEFAULT, FPENX_PENX, FPET_PET, AnalysisConfig
 from keyspan.functions.expressions import (
     categories_of,
     category_of,
@@ -92,7 +92,7 @@ def combined_pen_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> Dat
 
 def before_after_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Before labels against after labels, per recording and participant, sorted."""
-    windows = {"BeforeEvent": (cfg.ea, *cfg.before_labels), "AfterEvent": cfg.after_labels}
+    windows = {BEFORE_EVENT: (cfg.ea, *cfg.before_labels), AFTER_EVENT: cfg.after_labels}
     grouped = final.withColumn("TimeWindowGroup", category_of(windows))
     keys = (*PER_PARTICIPANT, "TimeWindowGroup")
     summary = fix_and_sacc(grouped.filter(F.col("TimeWindowGroup").isNotNull()), keys)
@@ -163,11 +163,11 @@ def combination_overall(final: DataFrame, labels: Iterable[str], name: str) -> D
 
 
 def fpenx_penx_overall(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return combination_overall(final, cfg.fpen_family + cfg.pen_family, "FPEnX + PEnX")
+    return combination_overall(final, cfg.fpen_family + cfg.pen_family, FPENX_PENX)
 
 
 def fpet_pet_overall(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return combination_overall(final, (cfg.fpet, cfg.pet), "FPEt + PEt")
+    return combination_overall(final, (cfg.fpet, cfg.pet), FPET_PET)
 
 
 def long_metrics(metrics: DataFrame) -> DataFrame:
