@@ -53,11 +53,24 @@ def as_gaze(df: DataFrame, has_nan: bool = True) -> DataFrame:
 
 
 def load_gaze(
-    spark: SparkSession, path: str, fmt: str = "parquet", has_nan: bool = True, **options: str
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    has_nan: bool = True,
+    schema: T.StructType | None = None,
+    **options: str,
 ) -> DataFrame:
-    """Read a stored gaze table. Text formats are read with the fixed schema, never by inference."""
+    """Read a stored gaze table. Types are never inferred from the data.
+
+    CSV with ``header="true"`` is matched by column name and may have further columns, which stay text; use
+    ``nullValue="NA"`` if missing values are written so. Other text input has the columns of ``schema``, by
+    default the gaze columns in their standard order.
+    """
     reader = spark.read.format(fmt).options(**options)
-    if fmt in ("csv", "json"):
+    named = fmt == "csv" and str(options.get("header", "false")).lower() == "true"
+    if schema is not None:
+        reader = reader.schema(schema)
+    elif fmt in ("csv", "json") and not named:
         reader = reader.schema(GAZE_SCHEMA)
     return as_gaze(reader.load(path), has_nan)
 

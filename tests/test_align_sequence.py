@@ -1,9 +1,11 @@
 """Alignment and numbering on hand-computed tables."""
 
 from helpers import event, gaze, rows
+from pyspark.sql import functions as F
 
-from keyspan.operators import align, sequence
+from keyspan.operators import align, profiles, sequence
 from keyspan.plans.analysis import Analysis
+from keyspan.plans.queries import analysis_of
 
 OVERLAPS = [
     event("EA", "Fixation", 4900, 5100),
@@ -134,3 +136,21 @@ def test_counts_and_checks(spark):
         ("TOI", "PEn"),
         ("Validity", "Whole"),
     ]
+
+
+def test_invariants_on_derived_data(spark):
+    analysis = analysis_of(spark, "/root/testdata/sf0.01")
+    number = sequence.unified_sequence()
+    groups = (
+        analysis.sequenced.filter(number != 0)
+        .groupBy("Recording", "Participant", "TOI", "Interval", "Event_type", F.signum(number).alias("side"))
+        .agg(F.max(F.abs(number)).alias("last"), F.count(number).alias("n"), F.count_distinct(number).alias("different"))
+    )
+    assert groups.count() > 100
+    assert groups.filter("last <> n OR different <> n").count() == 0
+    assert align.key_event_consistency(analysis.aligned).filter("Inconsistent").count() == 0
+    assert align.spot_check_before(analysis.aligned).filter("NOT WithinKeyEvent").count() == 0
+    assert align.spot_check_after(analysis.aligned).filter("NOT WithinKeyEvent").count() == 0
+    for row in profiles.sequence_range_check(analysis.profile_rows).collect():
+        before = row.TOI_Category in ("Combined_FPEnX", "FPEt")
+        assert (-5 <= row.MinSeq and row.MaxSeq <= -1) if before else (0 <= row.MinSeq and row.MaxSeq <= 5)

@@ -28,6 +28,21 @@ def test_formats(spark, table, tmp_path, fmt):
     assert rows(loaded, *table.columns) == rows(table, *table.columns)
 
 
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    path = tmp_path / "gaze.csv"
+    path.write_text(
+        "TOI,RowId,Extra,Recording,Participant,Interval,Event_type,Validity,Start,Stop,Duration,Saccade_amplitude\n"
+        "FPEn,1,x,R1,P1,2,Fixation,Whole,4900,5100.5,200.5,NA\n"
+        "PEn,2,y,R1,NA,2,NA,Whole,NaN,5100.5,NA,1.25\n"
+    )
+    loaded = load_gaze(spark, str(path), "csv", header="true", nullValue="NA")
+    assert rows(loaded, "RowId", "TOI", "Participant", "Interval", "Start", "Saccade_amplitude", "Extra") == [
+        (1, "FPEn", "P1", 2, 4900.0, None, "x"),
+        (2, "PEn", None, 2, None, 1.25, "y"),
+    ]
+    assert dict(loaded.dtypes)["Interval"] == "int"
+
+
 def test_in_memory_table(spark):
     frame = pd.DataFrame(
         {
