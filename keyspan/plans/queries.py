@@ -15,12 +15,12 @@ from keyspan.sources.sinks import write_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_analyses: dict[tuple[str, str], Analysis] = {}
+_analyses: dict[tuple[int, str], Analysis] = {}
 
 
 def analysis_of(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The plans for one folder; they are built once per application, the data is read by every query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The plans for one folder; they are built once per session, the data is read by every query."""
+    key = (id(spark), sf_dir)  # an analysis keeps its session alive, so the id stays unique
     if key not in _analyses:
         _analyses[key] = Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
     return _analyses[key]

@@ -7,7 +7,8 @@ import pytest
 from helpers import event, gaze, rows
 
 from keyspan.config import AnalysisConfig
-from keyspan.operators import align
+from keyspan.operators import align, quality, sequence
+from keyspan.plans.queries import analysis_of
 from keyspan.sources.events import gaze_from_events
 from keyspan.sources.gaze import as_gaze, gaze_from_pandas, load_gaze
 from keyspan.sources.sinks import write_profile_series
@@ -65,13 +66,32 @@ def test_wrong_columns_are_refused(table):
         as_gaze(table.withColumnRenamed("Duration", "KeyEventStart").withColumn("Duration", table["Stop"]))
 
 
-def test_derived_gaze_counts(spark):
-    derived = gaze_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
-    assert derived.count() == 1000
-    keys = ["Recording", "Participant", "TOI", "Interval"]
-    assert derived.select(*keys).distinct().count() == 44
-    found = align.key_event_per_interval(derived)
-    assert (found.count(), found.groupBy().sum("KeyEventStart").first()[0]) == (25, 119319.0)
+# Per folder: rows, groups, key events, their summed starts, aligned rows and their sides (before, key, after,
+# none), final rows, implausible values (short and long fixations, small and large saccades), fixations removed.
+DERIVED_COUNTS = {
+    "sf0.001": [1000, 44, 25, 119319, 390, (182, 19, 186, 3), 326, (4, 2, 24, 0), 3],
+    "sf0.01": [10000, 460, 239, 1099710, 3766, (1533, 186, 2002, 45), 3108, (57, 33, 186, 1), 20],
+    "sf0.1": [100000, 4578, 2470, 11286826, 38437, (15913, 1892, 20207, 425), 31800, (647, 311, 1975, 21), 224],
+}
+
+
+@pytest.mark.parametrize("folder", DERIVED_COUNTS)
+def test_stage_by_stage_counts(spark, folder):
+    analysis = analysis_of(spark, f"/root/testdata/{folder}")
+    keys = align.key_event_per_interval(analysis.gaze)
+    sides = {row.side: row["count"] for row in analysis.aligned.groupBy(sequence.side().alias("side")).count().collect()}
+    removed = analysis.marked.filter("NOT _kept AND Event_type = 'Fixation'")
+    assert DERIVED_COUNTS[folder] == [
+        analysis.gaze.count(),
+        analysis.gaze.select("Recording", "Participant", "TOI", "Interval").distinct().count(),
+        keys.count(),
+        int(keys.groupBy().sum("KeyEventStart").first()[0]),
+        analysis.aligned.count(),
+        tuple(sides.get(name, 0) for name in ("before", "key", "after", None)),
+        analysis.final.count(),
+        tuple(quality.implausible_counts(analysis.final).first()),
+        removed.count(),
+    ]
 
 
 def test_derived_gaze_with_hot_users(spark):
