@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, LABEL_KEYS, AnalysisConfig
 from keyspan.functions.expressions import is_fixation, is_saccade
-from keyspan.functions.skew import attach, ranked, ranked_hot
+from keyspan.functions.skew import attach, checkpointed, ranked, ranked_hot
 
 KEY, BEFORE, AFTER = "key", "before", "after"
 SEQUENCE_KEYS = (*LABEL_KEYS, "Event_type", "_side")
@@ -62,18 +62,19 @@ def unified_sequence() -> Column:
     return F.coalesce(F.col("FixationSequence"), F.col("SaccadeSequence"))
 
 
-def with_group_size(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Add ``GroupRows``: the rows of the same label and interval, of whatever event type."""
-    return seqd.withColumn("GroupRows", F.count(F.lit(1)).over(Window.partitionBy(*LABEL_KEYS)))
+def with_group_size(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Add ``GroupRows``: the aligned rows of the same label and interval, of whatever event type."""
+    return df.withColumn("GroupRows", F.count(F.lit(1)).over(Window.partitionBy(*LABEL_KEYS)))
 
 
-def with_group_size_hot(seqd: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def with_group_size_hot(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """As :func:`with_group_size` for hot intervals: sizes are aggregated and broadcast.
 
-    There are at most ten relevant labels per hot interval, so the sizes are few.
+    There are at most ten relevant labels per hot interval, so the sizes are few. They are checkpointed
+    because the hot rows are passed over several times.
     """
-    sizes = seqd.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows"))
-    return attach(seqd, sizes, LABEL_KEYS, small=True)
+    sizes = checkpointed(df.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows")))
+    return attach(df, sizes, LABEL_KEYS, small=True)
 
 
 def large_groups(sized: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -49,12 +49,13 @@ class Analysis:
         return self._step(self._keyed, align.align_keyed, align.align_keyed)
 
     @cached_property
-    def _sequenced(self) -> Parts:
-        return self._step(self._aligned, sequence.sequence_events, sequence.sequence_events_hot)
+    def _sized(self) -> Parts:
+        # Numbering keeps every row, so the groups can be sized first, while the rows are at hand.
+        return self._step(self._aligned, sequence.with_group_size, sequence.with_group_size_hot)
 
     @cached_property
-    def _sized(self) -> Parts:
-        return self._step(self._sequenced, sequence.with_group_size, sequence.with_group_size_hot)
+    def _sequenced(self) -> Parts:
+        return self._step(self._sized, sequence.sequence_events, sequence.sequence_events_hot)
 
     def _step(self, parts: Parts, ordinary: Operator, for_hot: Operator) -> Parts:
         cold, hot = parts
@@ -73,12 +74,12 @@ class Analysis:
     @cached_property
     def sequenced(self) -> DataFrame:
         """Aligned rows, numbered outwards from the key event."""
-        return _union(self._sized).drop("GroupRows")
+        return _union(self._sequenced).drop("GroupRows")
 
     @cached_property
     def final(self) -> DataFrame:
         """Numbered rows of the labels that have enough of them."""
-        return sequence.large_groups(_union(self._sized), self.cfg)
+        return sequence.large_groups(_union(self._sequenced), self.cfg)
 
     def stored(self) -> Analysis:
         """The same analysis with its numbered rows written to the checkpoint folder.
@@ -88,7 +89,7 @@ class Analysis:
         """
         copy = Analysis(self.gaze, self.cfg)
         copy.hot_intervals = self.hot_intervals
-        copy._sized = (checkpointed(_union(self._sized)), None)
+        copy._sequenced = (checkpointed(_union(self._sequenced)), None)
         return copy
 
     @cached_property
