@@ -37,6 +37,7 @@ PATTERNS = {
 TERM_PATTERN = r"\p{L}{4,}+"
 GENERALISED = "<TERM>"
 
+BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
 
 
@@ -90,11 +91,10 @@ def _needed(kind: str, text: Column) -> Column:
 def _spans(kind: str, gaps: Column, found: Column, window: int) -> Column:
     """Spans of the valid matches: their places follow from the lengths of the gaps between matches."""
     n = F.size(found)
-    rows = F.arrays_zip(F.slice(gaps, 1, n), found, F.slice(gaps, 2, n))
 
     def step(acc: Column, row: Column) -> Column:
         start = acc["at"] + F.length(row["0"])
-        end = start + F.length(row[f"_found_{kind}"])
+        end = start + F.length(row["1"])
         # A word that the window cuts is left out.
         left = F.when(
             F.length(row["0"]) > window, F.regexp_replace(row["0"].substr(-window, window), r"^\p{L}++", "")
@@ -106,15 +106,25 @@ def _spans(kind: str, gaps: Column, found: Column, window: int) -> Column:
             F.lit(kind).alias("kind"),
             start.alias("start"),
             end.alias("end"),
-            row[f"_found_{kind}"].alias("value"),
+            row["1"].alias("value"),
             left.alias("left"),
             right.alias("right"),
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    spans = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.filter(spans, lambda s: _valid(kind, s["value"]))
+    # Blocks keep the work in proportion to the matches: an array is copied whenever it grows.
+    def block(acc: Column, first: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        length = F.least(F.lit(BLOCK), n - first + 1)
+        rows = F.arrays_zip(
+            F.slice(gaps, first, length), F.slice(found, first, length), F.slice(gaps, first + 1, length)
+        )
+        inner = F.aggregate(rows, begin, step)
+        valid = F.filter(inner["out"], lambda s: _valid(kind, s["value"]))
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(valid)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["out"]))
 
 
 def with_base_spans(docs: DataFrame, window: int = Disclosure.window) -> DataFrame:
