@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, mixing, pii, quality_rules
+from keyspan.llm import bpe, chat, mixing, ngram_jaccard, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_classes(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold the template's own marks."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -50,6 +54,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op4_mix_sources": op4_mix_sources,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op9_chat_format": op9_chat_format,
     }
 
