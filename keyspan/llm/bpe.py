@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -29,13 +30,11 @@ from keyspan.llm.common import without
 
 # Pieces above this many bytes take the query for long pieces.
 LONG_PIECE = 48
-BYTES_A_QUERY = 1_000_000
+BYTES_A_QUERY = 400_000
 STEPS_A_QUERY = 48
-CHARS_A_BATCH = 6_000_000
+CHARS_A_BATCH = 4_000_000
 # A worker remembers the ids of about this many pieces from batch to batch, then forgets them all.
 MOST_KNOWN = 400_000
-# Bytes are carried through DuckDB as the characters from this one on, since text may not hold any byte.
-SHIFT = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,22 +55,34 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({name: columns[:, i] for i, name in enumerate(("a", "b", "m"))})
 
 
-# One number stands for the pair at a place, the less the sooner it is contracted: rank, place, place of the right token.
 BLANK_BEFORE_SPACE = re.compile(r"\s ")
+# Each row knows the place (q) and token (nt) of its right neighbour, and `pair`, one number for the pair that they
+# form: rank, place, place of the neighbour. The least pair of a word is its leftmost one of minimum rank. A step
+# contracts it: its left row takes the new token and a new neighbour, its right row goes, the row before it sees a new
+# neighbour; only these look up the merge table again.
 SHORT_QUERY = """
 WITH RECURSIVE step AS (
-    SELECT w, p, t, false AS done FROM start
+    SELECT w, p, t, q, nt, m::BIGINT * 4096 + p * 64 + q AS pair, false AS done
+    FROM start LEFT JOIN merges ON ab = t::BIGINT * 65536 + nt
     UNION ALL
-    SELECT w, p, CASE WHEN pair = best THEN (best // 4096)::INTEGER ELSE t END, best IS NULL
-    FROM (
-        SELECT w, p, t, m::BIGINT * 4096 + p * 64 + q AS pair, min(m::BIGINT * 4096 + p * 64 + q) OVER (PARTITION BY w) AS best
-        FROM (
-            SELECT w, p, t, t::BIGINT * 65536 + lead(t) OVER place AS ab, lead(p) OVER place AS q
-            FROM step WHERE NOT done WINDOW place AS (PARTITION BY w ORDER BY p)
-        ) AS x
-        LEFT JOIN merges USING (ab)
+    (
+        WITH live AS (SELECT * FROM step WHERE NOT done),
+        best AS (SELECT w, min(pair) AS pair FROM live GROUP BY w),
+        site AS (
+            SELECT b.w, (b.pair // 4096)::INTEGER AS m, ((b.pair // 64) % 64)::INTEGER AS l, (b.pair % 64)::INTEGER AS r, s.q, s.nt
+            FROM best AS b LEFT JOIN live AS s ON s.w = b.w AND s.p = (b.pair % 64)::INTEGER
+        ),
+        moved AS (
+            SELECT s.w, s.p, s.pair, x.m IS NULL AS done, s.p = x.l OR s.q = x.l AS touched,
+                CASE WHEN s.p = x.l THEN x.m ELSE s.t END AS t,
+                CASE WHEN s.p = x.l THEN x.q ELSE s.q END AS q,
+                CASE WHEN s.p = x.l THEN x.nt WHEN s.q = x.l THEN x.m ELSE s.nt END AS nt
+            FROM live AS s JOIN site AS x ON s.w = x.w
+            WHERE x.m IS NULL OR s.p <> x.r
+        )
+        SELECT w, p, t, q, nt, CASE WHEN touched THEN m::BIGINT * 4096 + p * 64 + q ELSE pair END, done
+        FROM moved LEFT JOIN merges ON ab = CASE WHEN touched THEN t::BIGINT * 65536 + nt END
     )
-    WHERE best IS NULL OR p <> best % 64
 )
 SELECT w, p, t FROM step WHERE done ORDER BY w, p
 """
@@ -126,8 +137,8 @@ WHERE last
 """
 
 DECODE_QUERY = """
-SELECT d, string_agg(s, '' ORDER BY pos) AS bytes
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) JOIN vocabulary USING (id)
+SELECT d, list(id ORDER BY pos) AS ids
+FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded)
 GROUP BY d
 """
 
@@ -149,9 +160,13 @@ class Tokenizer:
             own.execute("SET preserve_insertion_order = false")
             own.register("merge_rows", merge_table(self.ranks))
             own.execute("CREATE TABLE merges AS SELECT *, a::BIGINT * 65536 + b AS ab FROM merge_rows")
-            shown = ["".join(chr(SHIFT + b) for b in token) for token in self.ranks]
-            own.register("token_rows", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "s": shown}))
-            own.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
+            # Bytes of the tokens by id, end to end.
+            tokens = [b""] * (max(self.ranks.values()) + 1)
+            for token, rank in self.ranks.items():
+                tokens[rank] = token
+            self._lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self._places = np.cumsum(self._lengths) - self._lengths
+            self._vocabulary = np.frombuffer(b"".join(tokens), np.uint8)
             self._bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
             # White space is the Unicode property, as in the pattern's own dialect.
             space = self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -164,7 +179,18 @@ class Tokenizer:
         ends = np.cumsum(lengths)
         places = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
         tokens = self._bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        return pa.table({"w": np.repeat(np.arange(len(pieces)), lengths), "p": places, "t": tokens})
+        last = np.zeros(len(tokens), bool)
+        last[ends - 1] = True
+        return pa.table(
+            {
+                "w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
+                "p": places.astype(np.int32),
+                "t": tokens,
+                # A word's last row has no neighbour.
+                "q": pa.array(places + 1, pa.int32(), mask=last),
+                "nt": pa.array(np.roll(tokens, -1), pa.int32(), mask=last),
+            }
+        )
 
     def _contract_short(self, pieces: list[bytes]) -> list[bytes]:
         self.connection.register("start", self._start(pieces))
@@ -201,44 +227,59 @@ class Tokenizer:
         if part:
             self._known.update(zip(part, self._contract_short([p.encode() for p in part]), strict=True))
 
-    def _segments(self, text: str) -> list[str]:
-        """The text cut before spaces. A cut is safe after a character that isn't white space: no piece goes across."""
-        if text.endswith(" ") or BLANK_BEFORE_SPACE.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + part for part in rest]]
+    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different segments of all texts, the segments of each text in order, and how many each text has.
+
+        Texts are cut before spaces. A cut is safe after a character that isn't white space, as no piece goes across;
+        a text where white space stands before a space, or a space at the end, is one segment.
+        """
+        whole = [t.endswith(" ") or BLANK_BEFORE_SPACE.search(t) is not None for t in texts]
+        parts = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        order = coded.indices.to_numpy().astype(np.int64)
+        first = parts.offsets.to_numpy()[:-1]
+        # The first segment of a text has no space before it, so it is another segment than the same word elsewhere.
+        segments = [" " + s for s in coded.dictionary.to_pylist()]
+        number: dict[str, int] = {}
+        begins = [t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole, strict=True)]
+        order[first] = [len(segments) + number.setdefault(s, len(number)) for s in begins]
+        return segments + list(number), order, np.diff(parts.offsets.to_numpy())
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """Token ids of each text, as one column of lists."""
         _ = self.connection
-        number: dict[str, int] = {}
-        found = [
-            np.fromiter((number.setdefault(s, len(number)) for s in self._segments(text)), np.int64) for text in texts
-        ]
-        pieces = [self._split.findall(segment) for segment in number]
+        segments, every, per_text = self._cut(texts)
+        pieces = [self._split.findall(segment) for segment in segments]
         if len(self._known) > MOST_KNOWN:
             self._known.clear()
-        self._learn(dict.fromkeys(p for own in pieces for p in own if p not in self._known))
         known = self._known
+        self._learn(dict.fromkeys(p for own in pieces for p in own if p not in known))
         ids = [b"".join([known[p] for p in own]) for own in pieces]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
         first = np.cumsum(lengths) - lengths
-        every = np.concatenate(found) if found else np.empty(0, np.int64)
         counts = lengths[every]
         # Where each id of each text lies in the segments' ids.
         spread = np.repeat(first[every] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ends = np.cumsum([0, *(len(f) for f in found)])
+        ends = np.cumsum([0, *per_text.tolist()])
         offsets = np.concatenate([[0], np.cumsum(counts)])[ends]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[spread], pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes that each list of ids stands for."""
         self.connection.register("encoded", pa.table({"d": np.arange(len(ids)), "ids": ids}))
-        rows = self.connection.sql(DECODE_QUERY).to_arrow_table()
+        rows = self.connection.sql(DECODE_QUERY).to_arrow_table().combine_chunks()
+        if not rows.num_rows:
+            return [b""] * len(ids)
+        column = rows["ids"].chunk(0)
+        own = column.flatten().to_numpy()
+        counts = self._lengths[own]
+        spread = np.repeat(self._places[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        data = self._vocabulary[spread].tobytes()
+        limits = np.concatenate([[0], np.cumsum(counts)])[column.offsets.to_numpy() - column.offsets[0].as_py()].tolist()
         out = [b""] * len(ids)
-        for d, shown in zip(rows["d"].to_pylist(), rows["bytes"].to_pylist(), strict=True):
-            out[d] = (np.frombuffer(shown.encode("utf-16-le"), np.uint16) - SHIFT).astype(np.uint8).tobytes()
+        for d, x, y in zip(rows["d"].to_pylist(), limits, limits[1:], strict=False):
+            out[d] = data[x:y]
         return out
 
 
