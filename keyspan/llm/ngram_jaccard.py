@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ class Join:
     n: int = 4
     percent: int = 85
     lower: bool = True
-    frequent_share: float = 0.002
+    frequent_share: float = 0.0001
     most_frequent: int = 100_000
     signature_words: int = 8
     tile: int = 512
@@ -59,33 +60,56 @@ class Join:
         return 100 * common >= self.percent * (a + b - common)
 
 
-def text_sets(texts: list[str | None], join: Join) -> Iterator[np.ndarray]:
-    """The sorted n-gram hashes of each text."""
-    for _, part in parts_of(texts):
+@dataclass(frozen=True)
+class Sets:
+    """Sorted n-gram hashes of several texts, end to end."""
+
+    flat: np.ndarray
+    ends: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        begin = 0
+        for end in self.ends.tolist():
+            yield self.flat[begin:end]
+            begin = end
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each set, as signed numbers."""
+        begins = self.ends - self.sizes
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mixed(self.flat), self.flat)]
+        first, second = (s[self.ends] - s[begins] for s in sums)
+        return mixed(first).view(np.int64), mixed(second + self.sizes.astype(np.uint64)).view(np.int64)
+
+    def signatures(self, words: int) -> np.ndarray:
+        """Bitmaps in which each n-gram sets one bit: a row of `words` numbers for each set."""
+        bits = np.zeros((len(self.ends), words * 64), np.uint8)
+        bits[np.repeat(np.arange(len(self.ends)), self.sizes), (mixed(self.flat) % np.uint64(words * 64)).astype(np.int64)] = 1
+        return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def text_sets(texts: list[str | None], join: Join) -> Iterator[Sets]:
+    """The sets of all texts, in parts of bounded size."""
+    for _, part in parts_of(texts, 1_000_000):
         hashes, counts = word_hashes(part, join.lower)
         grams = windows(hashes, join.n)
-        at = 0
+        own, at = [], 0
         for k in counts.tolist():
             if k >= join.n:
-                yield np.unique(grams[at : at + k - join.n + 1])
-            elif k:
-                yield windows(hashes[at : at + k], k, salt=k)
+                own.append(grams[at : at + k - join.n + 1])
+                own[-1].sort()
             else:
-                yield np.empty(0, np.uint64)
+                own.append(windows(hashes[at : at + k], k, salt=k) if k else grams[:0])
             at += k
-
-
-def set_key(grams: np.ndarray) -> tuple[int, int]:
-    """Two independent hashes of a set, as signed numbers."""
-    first = mixed(np.array([mixed(grams).sum(dtype=np.uint64), grams.sum(dtype=np.uint64) + np.uint64(len(grams))]))
-    return tuple(first.view(np.int64).tolist())
-
-
-def signature(grams: np.ndarray, words: int) -> np.ndarray:
-    """Bitmap in which each n-gram sets one bit."""
-    bits = np.zeros(words * 64, np.uint8)
-    bits[(mixed(grams) % np.uint64(words * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+        flat = np.concatenate(own)
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        fresh = np.ones(len(flat), bool)
+        fresh[1:] = flat[1:] != flat[:-1]
+        fresh[(ends - np.diff(ends, prepend=0))[np.diff(ends, prepend=0) > 0]] = True
+        yield Sets(flat[fresh], np.concatenate([[0], np.cumsum(fresh)])[ends])
 
 
 def _bound(sizes: np.ndarray, other_sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,7 +129,7 @@ def frequent_grams(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(8, join.frequent_share * len(held))
+            often = n >= 3
             return pa.RecordBatch.from_arrays(
                 [pa.array(grams[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["gram", "n"]
             )
@@ -113,9 +137,9 @@ def frequent_grams(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for grams in text_sets(_column(batch, "text"), join):
-                held.append(grams)
-                size += len(grams)
+            for sets in text_sets(_column(batch, "text"), join):
+                held.append(sets.flat)
+                size += len(sets.flat)
                 if size >= 4_000_000:
                     yield flush()
                     held, size = [], 0
@@ -137,18 +161,25 @@ def frequent_grams(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]
     return rows["gram"].to_numpy(np.int64).view(np.uint64)[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def _prefix(grams: np.ndarray, length: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first `length` n-grams in the common order: those that aren't frequent, then by frequency."""
+def _prefixes(sets: Sets, frequent: tuple[np.ndarray, np.ndarray], join: Join) -> list[np.ndarray]:
+    """The prefix of each set in the common order: n-grams that aren't frequent, then the others by frequency."""
     hashes, counts = frequent
-    if not len(hashes):
-        return grams[:length]
-    at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
-    often = hashes[at] == grams
-    rare = grams[~often]
-    if len(rare) >= length:
-        return rare[:length]
-    late, n = grams[often], counts[at[often]]
-    return np.concatenate([rare, late[np.lexsort((late, n))]])[:length]
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, sets.flat), len(hashes) - 1)
+        often = hashes[at] == sets.flat
+    else:
+        at, often = np.zeros(len(sets.flat), np.int64), np.zeros(len(sets.flat), bool)
+    out, begin = [], 0
+    for end in sets.ends.tolist():
+        length = join.probe(end - begin) if end > begin else 0
+        grams, late = sets.flat[begin:end], often[begin:end]
+        first = grams[~late] if late.any() else grams
+        if len(first) < length:
+            rest = grams[late]
+            first = np.concatenate([first, rest[np.lexsort((rest, counts[at[begin:end][late]]))]])
+        out.append(first[:length])
+        begin = end
+    return out
 
 
 def set_table(docs: DataFrame, join: Join) -> DataFrame:
@@ -156,16 +187,19 @@ def set_table(docs: DataFrame, join: Join) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(text_sets(_column(batch, "text"), join))
-            keys = [set_key(s) for s in sets]
-            columns = [
-                batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([k[0] for k in keys], pa.int64()),
-                pa.array([k[1] for k in keys], pa.int64()),
-                pa.array([signature(s, join.signature_words).tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "k1", "k2", "bits"])
+            at = 0
+            for sets in text_sets(_column(batch, "text"), join):
+                k1, k2 = sets.keys()
+                bits = sets.signatures(join.signature_words)
+                columns = [
+                    batch.column("doc_id").slice(at, len(k1)),
+                    pa.array(sets.sizes),
+                    pa.array(k1),
+                    pa.array(k2),
+                    pa.array([row.tobytes() for row in bits], pa.binary()),
+                ]
+                at += len(k1)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "k1", "k2", "bits"])
 
     schema = "doc_id bigint, size bigint, k1 bigint, k2 bigint, bits binary"
     return settled(docs.select("doc_id", "text").mapInArrow(rows, schema))
@@ -176,22 +210,28 @@ def _prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], join:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # sets of this task, which copies repeat
+        seen: set[int] = set()  # sets of this task, which copies repeat
         for batch in batches:
-            grams, keys, sizes, short = [], [], [], []
-            for own in text_sets(_column(batch, "text"), join):
-                key = set_key(own)
-                if not len(own) or key in seen:
+            for sets in text_sets(_column(batch, "text"), join):
+                k1, k2 = sets.keys()
+                fresh = np.zeros(len(k1), bool)
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh[i] = True
+                prefixes = [p for p, f in zip(_prefixes(sets, shared.value, join), fresh, strict=True) if f]
+                if not any(map(len, prefixes)):
                     continue
-                seen.add(key)
-                prefix = _prefix(own, join.probe(len(own)), shared.value)
-                grams.append(prefix)
-                keys.append(np.full(len(prefix), key[0]))
-                sizes.append(np.full(len(prefix), len(own)))
-                short.append(np.arange(len(prefix)) < join.index(len(own)))
-            if grams:
-                columns = [np.concatenate(x) for x in (grams, keys, sizes, short)]
-                columns[0] = columns[0].view(np.int64)
+                lengths = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+                places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                sizes = sets.sizes[fresh]
+                short = np.fromiter((join.index(n) if n else 0 for n in sizes.tolist()), np.int64, len(sizes))
+                columns = [
+                    np.concatenate(prefixes).view(np.int64),
+                    np.repeat(k1[fresh], lengths),
+                    np.repeat(sizes, lengths),
+                    places < np.repeat(short, lengths),
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "k1", "size", "short"])
 
     return docs.select("text").mapInArrow(rows, "gram bigint, k1 bigint, size bigint, short boolean")
@@ -211,9 +251,9 @@ def _shared_prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]
 
 
 def _tile_pairs(join: Join):
-    """Function for rows sorted by n-gram and size: pairs that may be linked, or one row (gram, NULL) for a dense tile."""
+    """Function for rows sorted by n-gram and size: pairs (a, b) that may be linked, and the members of dense tiles."""
 
-    def pairs(table: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(table: dict[str, np.ndarray]) -> Iterator[list[pa.Array]]:
         gram, size, key, short, bits = (table[c] for c in ("gram", "size", "k1", "short", "bits"))
         starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))
         lengths = np.diff(np.append(starts, len(gram)))
@@ -242,41 +282,43 @@ def _tile_pairs(join: Join):
         b = np.concatenate(found[1]) if found[1] else np.empty(0, np.int64)
         per_group = np.bincount(group[a], minlength=len(starts))
         dense = big | (per_group > join.dense * lengths)
-        sparse = ~dense[group[a]]
-        yield gram[a[sparse]], key[a[sparse]], key[b[sparse]]
-        yield gram[starts[dense]], None, None
+        pair = np.sort(np.stack([key[a], key[b]], axis=1)[~dense[group[a]]], axis=1)
+        pair = np.unique(pair, axis=0)
+        none = pa.nulls(len(pair), pa.int64())
+        yield [none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), none]
+        rows = dense[group]
+        yield [pa.array(gram[rows]), pa.array(key[rows]), pa.nulls(int(rows.sum()), pa.int64()), pa.array(size[rows])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        names = ["gram", "a", "b", "size"]
 
-        def emit(batch: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
-            table = {c: batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in ("gram", "size", "k1", "short")}
-            raw = b"".join(batch.column("bits").to_pylist())
-            table["bits"] = np.frombuffer(raw, np.uint64).reshape(-1, join.signature_words)
-            for gram, a, b in pairs(table):
-                if a is None:
-                    empty = pa.nulls(len(gram), pa.int64())
-                    columns = [pa.array(gram), empty, empty]
-                else:
-                    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                    columns = [pa.nulls(len(pair), pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "a", "b"])
+        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = {c: table.column(c).to_numpy() for c in ("gram", "size", "k1", "short")}
+            raw = b"".join(table.column("bits").to_pylist())
+            columns["bits"] = np.frombuffer(raw, np.uint64).reshape(-1, join.signature_words)
+            for out in pairs(columns):
+                yield pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
-            # A tile that the batch's end may cut waits for the next one. Tiles above the limit are not held whole:
-            # their rows are cut to just more than the limit, as all that is said of them is that they are dense.
-            gram = batch.column("gram").to_numpy()
-            if not len(gram):
+            # Tiles above the limit are dense: their rows pass by. A smaller one that the batch's end may cut waits.
+            large = pc.greater(batch.column("members"), join.tile)
+            passed = batch.filter(large)
+            if passed.num_rows:
+                none = pa.nulls(passed.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([passed.column("gram"), passed.column("k1"), none, passed.column("size")], names)
+            batch = batch.filter(pc.invert(large))
+            if not batch.num_rows:
                 continue
+            gram = batch.column("gram").to_numpy()
             last = int(np.searchsorted(gram, gram[-1]))
-            if last:
-                yield from emit(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
-                held = []
-            elif held and held[0].column("gram")[0].as_py() != gram[0]:
-                yield from emit(pa.Table.from_batches(held).combine_chunks())
+            whole = [*held, batch.slice(0, last)] if last else []
+            if not last and held and held[-1].column("gram")[0].as_py() != gram[0]:
+                whole = held
+            if whole:
+                yield from emit(pa.Table.from_batches(whole).combine_chunks())
                 held = []
-            if sum(h.num_rows for h in held) <= join.tile:
-                held.append(batch.slice(last))
+            held.append(batch.slice(last))
         if held:
             yield from emit(pa.Table.from_batches(held).combine_chunks())
 
@@ -290,11 +332,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, reps: DataFrame, join: Join) -> D
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = _column(batch, "text")
-            keys = [set_key(s) for s in text_sets(texts, join)]
+            keys = [key for sets in text_sets(texts, join) for key in sets.keys()[0].tolist()]
             packed = [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             columns = [
                 batch.column("doc_id"),
-                pa.array([k[0] for k in keys], pa.int64()),
+                pa.array(keys, pa.int64()),
                 pa.array(packed, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "packed"])
@@ -308,7 +350,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, reps: DataFrame, join: Join) -> D
 
 def _unpacked(packed: list[bytes], join: Join) -> list[np.ndarray]:
     unpacker = zstandard.ZstdDecompressor()
-    return list(text_sets([unpacker.decompress(p).decode("utf-8", "surrogatepass") for p in packed], join))
+    texts = [unpacker.decompress(p).decode("utf-8", "surrogatepass") for p in packed]
+    return [grams for sets in text_sets(texts, join) for grams in sets]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -343,7 +386,8 @@ def _dense_links(join: Join):
         keys, sizes = frame["k1"].to_numpy(), frame["size"].to_numpy()
         sets = _unpacked(frame["packed"].tolist(), join)
         words = max(8, 1 << int(np.ceil(np.log2(max(1, sizes.max()) * 8 / 64))))
-        bits = np.stack([signature(s, words) for s in sets])
+        whole = Sets(np.concatenate(sets), np.cumsum([len(x) for x in sets]))
+        bits = whole.signatures(words)
         parent = np.arange(len(keys))
 
         def root(i: int) -> int:
@@ -377,18 +421,18 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     if not reps.where("low <> high").isEmpty():
         raise RuntimeError("two sets share a 64-bit key; change the hash constants")
     frequent = frequent_grams(docs, join)
-    shared = settled(_shared_prefix_rows(docs, frequent, join))
-    members = shared.join(reps.select("k1", "bits"), "k1")
+    shared = _shared_prefix_rows(docs, frequent, join)
     tiles = settled(
-        members.select("gram", "size", "k1", "short", "bits")
+        shared.join(reps.select("k1", "bits"), "k1")
+        .select("gram", "size", "k1", "short", "members", "bits")
         .repartition("gram")
         .sortWithinPartitions("gram", "size", "k1")
-        .mapInArrow(_tile_pairs(join), "gram bigint, a bigint, b bigint")
+        .mapInArrow(_tile_pairs(join), "gram bigint, a bigint, b bigint, size bigint")
         .distinct()
     )
-    pairs = tiles.where(F.col("a").isNotNull()).select("a", "b")
-    dense = shared.join(tiles.where(F.col("gram").isNotNull()).select("gram"), "gram", "left_semi")
-    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).union(dense.select("k1"))
+    pairs = tiles.where(F.col("b").isNotNull()).select("a", "b")
+    dense = tiles.where(F.col("b").isNull()).select("gram", F.col("a").alias("k1"), "size")
+    wanted = tiles.select(F.explode(F.array_compact(F.array("a", "b"))).alias("k1"))
     texts = _texts(docs, wanted, reps, join)
 
     first = texts.select(F.col("k1").alias("a"), F.col("packed").alias("packed_a"))
