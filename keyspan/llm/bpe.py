@@ -30,11 +30,11 @@ from keyspan.llm.common import without
 
 # Pieces above this many bytes take the query for long pieces.
 LONG_PIECE = 48
-BYTES_A_QUERY = 400_000
+BYTES_A_QUERY = 200_000
 STEPS_A_QUERY = 48
-CHARS_A_BATCH = 4_000_000
+CHARS_A_BATCH = 2_000_000
 # A worker remembers the ids of about this many pieces from batch to batch, then forgets them all.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,7 +156,7 @@ class Tokenizer:
     @property
     def connection(self) -> duckdb.DuckDBPyConnection:
         if self._connection is None:
-            own = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+            own = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
             own.execute("SET preserve_insertion_order = false")
             own.register("merge_rows", merge_table(self.ranks))
             own.execute("CREATE TABLE merges AS SELECT *, a::BIGINT * 65536 + b AS ab FROM merge_rows")
