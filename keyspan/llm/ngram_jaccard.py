@@ -9,7 +9,8 @@
 4. Pairs that may are tested exactly, by intersecting the sorted arrays. A dense tile, with many more such pairs than
    sets, is cut into blocks by size; each pair of blocks whose sizes may match is a task, which tests pairs of sets
    that it has not yet found connected, and returns a spanning forest of its links. So a class costs links in
-   proportion to its sets, and no link between classes is lost.
+   proportion to its sets, and no link between classes is lost. A forest of the most similar pairs of a dense tile is
+   tested first; where it connects the whole tile, no more is to be done.
 5. Classes are the connected components.
 
 Defined cases: a text without words (or NULL) has an empty set and no links; its component is its own id. With fewer
@@ -250,6 +251,40 @@ def _shared_prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]
     )
 
 
+def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Which of the allowed pairs form a spanning forest of largest weight: every part takes its best pair, again and again."""
+    chosen = np.zeros(len(a), bool)
+    order = np.flatnonzero(allowed)
+    order = order[np.argsort(-weight[order], kind="stable")]
+    if not len(order):
+        return chosen
+    nodes, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    x, y = ends[: len(order)], ends[len(order) :]
+    label = np.arange(len(nodes))
+    while True:
+        cross = np.flatnonzero(label[x] != label[y])
+        if not len(cross):
+            return chosen
+        # The first pair of each part in the one order of all pairs: such choices form no cycle.
+        both = np.full(len(nodes), len(order))
+        np.minimum.at(both, label[x[cross]], cross)
+        np.minimum.at(both, label[y[cross]], cross)
+        best = np.unique(both[both < len(order)])
+        chosen[order[best]] = True
+        # Join the parts that the chosen pairs connect: labels fall to the least until nothing changes.
+        u, v = label[x[best]], label[y[best]]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            before = root.copy()
+            np.minimum.at(root, u, low)
+            np.minimum.at(root, v, low)
+            root = root[root]
+            if (root == before).all():
+                break
+        label = root[label]
+
+
 def _tile_pairs(join: Join):
     """Function for rows sorted by n-gram and size: pairs (a, b) that may be linked, and the members of dense tiles."""
 
@@ -282,8 +317,11 @@ def _tile_pairs(join: Join):
         b = np.concatenate(found[1]) if found[1] else np.empty(0, np.int64)
         per_group = np.bincount(group[a], minlength=len(starts))
         dense = big | (per_group > join.dense * lengths)
-        pair = np.sort(np.stack([key[a], key[b]], axis=1)[~dense[group[a]]], axis=1)
-        pair = np.unique(pair, axis=0)
+        # Of a dense tile, the pairs of a spanning forest that takes the most similar first.
+        use = ~dense[group[a]]
+        common = _bound(size[a], size[b], bits[a], bits[b])
+        use |= _forest(a, b, common / (size[a] + size[b] - common), ~use)
+        pair = np.unique(np.sort(np.stack([key[a], key[b]], axis=1)[use], axis=1), axis=0)
         none = pa.nulls(len(pair), pa.int64())
         yield [none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), none]
         rows = dense[group]
@@ -388,7 +426,9 @@ def _dense_links(join: Join):
         words = max(8, 1 << int(np.ceil(np.log2(max(1, sizes.max()) * 8 / 64))))
         whole = Sets(np.concatenate(sets), np.cumsum([len(x) for x in sets]))
         bits = whole.signatures(words)
-        parent = np.arange(len(keys))
+        # Sets of one part begin under the part's first set.
+        _, first, number = np.unique(frame["part"].to_numpy(), return_index=True, return_inverse=True)
+        parent = first[number]
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -437,7 +477,14 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     first = texts.select(F.col("k1").alias("a"), F.col("packed").alias("packed_a"))
     second = texts.select(F.col("k1").alias("b"), F.col("packed").alias("packed_b"))
-    checked = pairs.join(second, "b").join(first, "a").mapInArrow(_verify(join), "a bigint, b bigint")
+    checked = settled(pairs.join(second, "b").join(first, "a").mapInArrow(_verify(join), "a bigint, b bigint"))
+
+    # Dense tiles whose sets are all in one class by now are done. In the others, what is connected stays so.
+    parts = connected(checked).withColumnRenamed("node", "k1")
+    part = F.coalesce("component", "k1")
+    dense = dense.join(parts, "k1", "left").select("gram", "k1", "size", part.alias("part"))
+    split = dense.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    dense = dense.join(split.select("gram"), "gram", "left_semi")
 
     # Blocks of neighbouring sizes; two blocks meet only if some of their sizes may match.
     rank = F.row_number().over(Window.partitionBy("gram").orderBy("size", "k1")) - 1
@@ -449,7 +496,7 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         .where((F.col("block_i") <= F.col("block_j")) & (100 * F.col("high_i") >= join.percent * F.col("low_j")))
         .select("gram", "block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
     )
-    tasks = placed.join(met, ["gram", "block"]).select("gram", "block_i", "block_j", "k1", "size")
+    tasks = placed.join(met, ["gram", "block"]).select("gram", "block_i", "block_j", "k1", "size", "part")
     found = (
         tasks.join(texts, "k1")
         .groupBy("gram", "block_i", "block_j")

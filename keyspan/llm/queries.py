@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, mixing, ngram_jaccard, pii, quality_rules
+from keyspan.llm import bpe, chat, mixing, ngram_jaccard, pii, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold the template's own marks."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,6 +59,7 @@ def llm_queries() -> dict[str, Query]:
         "op4_mix_sources": op4_mix_sources,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_warc_archives": op8_warc_archives,
         "op9_chat_format": op9_chat_format,
     }
 
