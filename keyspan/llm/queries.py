@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, mixing, ngram_jaccard, pii, quality_rules, warc
+from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, pii, quality_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(rows.unionByName(more))
 
 
+def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_sanitise": op1_sanitise,
@@ -61,6 +65,7 @@ def llm_queries() -> dict[str, Query]:
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_warc_archives": op8_warc_archives,
         "op9_chat_format": op9_chat_format,
+        "op10_html_wrapper": op10_html_wrapper,
     }
 
 
