@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, pii, quality_rules, warc
+from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, pii, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(documents, labels).select("doc_id", *names)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_sanitise": op1_sanitise,
         "op2_quality_rules": op2_quality_rules,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_jaccard": op7_ngram_jaccard,

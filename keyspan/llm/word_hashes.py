@@ -86,3 +86,12 @@ def parts_of(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[
             part, first, size = [], row + 1, 0
     if part:
         yield first, part
+
+
+def range_hashes(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words from each of `begins` up to (not with) each of `ends`."""
+    up, down = _Powers.upto(len(hashes) + 1)
+    sums = np.empty(len(hashes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * up[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
