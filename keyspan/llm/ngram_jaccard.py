@@ -1,12 +1,13 @@
 """Exact Jaccard join of documents by their sets of word n-grams, as connected classes.
 
 1. Each text becomes the sorted array of its n-gram hashes. Equal sets collapse into one.
-2. Two sets can only reach the threshold if they share one of the first few n-grams of a common order (prefix
-   filter). The order puts the most frequent n-grams last, so a passage that very many texts share is compared only
-   for texts that consist of such passages. Any list of frequent n-grams gives right results.
+2. Two sets can only reach the threshold if they share some of the first few n-grams of a common order (prefix
+   filter; the larger the sets, the longer the prefixes and the more n-grams they must share). The order puts the most
+   frequent n-grams last, so a passage that very many texts share is compared only for texts that consist of such
+   passages. Any list of frequent n-grams gives right results.
 3. Sets that share such an n-gram, in bands of similar size, form a tile. Within a tile, bit counts of hashed bitmap
    signatures bound each overlap from above; pairs that can't reach the threshold end here.
-4. Pairs that may are tested exactly, by intersecting the sorted arrays. A dense tile, with many more such pairs than
+4. Pairs that share enough n-grams over all tiles are tested exactly, by intersecting the sorted arrays. A dense tile, with many more such pairs than
    sets, is cut into blocks by size; each pair of blocks whose sizes may match is a task, which tests pairs of sets
    that it has not yet found connected, and returns a spanning forest of its links. So a class costs links in
    proportion to its sets, and no link between classes is lost. A forest of the most similar pairs of a dense tile is
@@ -48,14 +49,18 @@ class Join:
     signature_words: int = 8
     tile: int = 512
     block: int = 1024
-    dense: int = 4
+    dense: int = 32
+
+    def need(self, size):
+        """How many n-grams the prefixes of similar sets must share, if this is the size of the smaller one."""
+        return 1 + size // 64
 
     def probe(self, size: int) -> int:
-        """Length of the prefix that meets the shorter prefix of every similar set that is not larger."""
-        return size - (self.percent * size + 99) // 100 + 1
+        """Length of the prefix that shares enough with the shorter prefix of every similar set that is not larger."""
+        return min(size, size - (self.percent * size + 99) // 100 + self.need(size))
 
     def index(self, size: int) -> int:
-        return size - -(-2 * self.percent * size // (100 + self.percent)) + 1
+        return min(size, size - -(-2 * self.percent * size // (100 + self.percent)) + self.need(size))
 
     def linked(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * common >= self.percent * (a + b - common)
@@ -285,6 +290,11 @@ def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, allowed: np.ndarra
         label = root[label]
 
 
+def _dense_columns(size: np.ndarray) -> list[pa.Array]:
+    none = pa.nulls(len(size), pa.int64())
+    return [none, pa.array(size), none, none]
+
+
 def _tile_pairs(join: Join):
     """Function for rows sorted by n-gram and size: pairs (a, b) that may be linked, and the members of dense tiles."""
 
@@ -317,19 +327,23 @@ def _tile_pairs(join: Join):
         b = np.concatenate(found[1]) if found[1] else np.empty(0, np.int64)
         per_group = np.bincount(group[a], minlength=len(starts))
         dense = big | (per_group > join.dense * lengths)
-        # Of a dense tile, the pairs of a spanning forest that takes the most similar first.
+        # Of a dense tile, the pairs of a spanning forest that takes the most similar first; these are tested anyway.
         use = ~dense[group[a]]
         common = _bound(size[a], size[b], bits[a], bits[b])
-        use |= _forest(a, b, common / (size[a] + size[b] - common), ~use)
-        pair = np.unique(np.sort(np.stack([key[a], key[b]], axis=1)[use], axis=1), axis=0)
+        forest = _forest(a, b, common / (size[a] + size[b] - common), ~use)
+        every = use | forest
+        need = join.need(size[a])
+        pair = np.sort(np.stack([key[a], key[b]], axis=1)[every], axis=1)
+        pair, first, inverse = np.unique(pair, axis=0, return_index=True, return_inverse=True)
+        votes = np.bincount(inverse.ravel(), weights=np.where(forest, need, 1)[every], minlength=len(pair)).astype(np.int64)
         none = pa.nulls(len(pair), pa.int64())
-        yield [none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), none]
+        yield [none, pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, pa.array(votes), pa.array(need[every][first])]
         rows = dense[group]
-        yield [pa.array(gram[rows]), pa.array(key[rows]), pa.nulls(int(rows.sum()), pa.int64()), pa.array(size[rows])]
+        yield [pa.array(gram[rows]), pa.array(key[rows]), *_dense_columns(size[rows])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        names = ["gram", "a", "b", "size"]
+        names = ["gram", "a", "b", "size", "votes", "need"]
 
         def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = {c: table.column(c).to_numpy() for c in ("gram", "size", "k1", "short")}
@@ -343,8 +357,8 @@ def _tile_pairs(join: Join):
             large = pc.greater(batch.column("members"), join.tile)
             passed = batch.filter(large)
             if passed.num_rows:
-                none = pa.nulls(passed.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([passed.column("gram"), passed.column("k1"), none, passed.column("size")], names)
+                columns = [passed.column("gram"), passed.column("k1"), *_dense_columns(passed.column("size").to_numpy())]
+                yield pa.RecordBatch.from_arrays(columns, names)
             batch = batch.filter(pc.invert(large))
             if not batch.num_rows:
                 continue
@@ -467,8 +481,12 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
         .select("gram", "size", "k1", "short", "members", "bits")
         .repartition("gram")
         .sortWithinPartitions("gram", "size", "k1")
-        .mapInArrow(_tile_pairs(join), "gram bigint, a bigint, b bigint, size bigint")
-        .distinct()
+        .mapInArrow(_tile_pairs(join), "gram bigint, a bigint, b bigint, size bigint, votes bigint, need bigint")
+        .groupBy("gram", "a", "b", "size")
+        .agg(F.sum("votes").alias("votes"), F.max("need").alias("need"))
+        # A pair with too few votes has none, or shares a dense tile besides, which sees to it.
+        .where(F.col("b").isNull() | (F.col("votes") >= F.col("need")))
+        .drop("votes", "need")
     )
     pairs = tiles.where(F.col("b").isNotNull()).select("a", "b")
     dense = tiles.where(F.col("b").isNull()).select("gram", F.col("a").alias("k1"), "size")

@@ -63,7 +63,7 @@ def near_copies():
     return rows + rows[:3] + [(None, "x y"), (None, None)]
 
 
-@pytest.mark.parametrize("join", [j.Join(), j.Join(tile=4, block=8, dense=1), j.Join(frequent_share=0.05, dense=1, block=16)])
+@pytest.mark.parametrize("join", [j.Join(), j.Join(tile=4, block=8, dense=1), j.Join(frequent_share=0.05, dense=1, block=16), j.Join(tile=16, dense=3)])
 def test_near_copies_in_all_sorts_of_tiles(spark, join):
     df = spark.createDataFrame(near_copies(), "doc_id long, text string").selectExpr("*", "1 AS size", "2 AS component_id")
     check(df.repartition(5), join)
