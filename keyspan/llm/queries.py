@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, pii, quality_rules, substring_dedup, warc
+from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, nn_descent, pii, quality_rules, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +70,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mix_sources": op4_mix_sources,
+        "op5_nn_descent": op5_nn_descent,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_warc_archives": op8_warc_archives,
