@@ -17,24 +17,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from keyspan.llm.common import without
 
 # Pieces above this many bytes take the query for long pieces.
 LONG_PIECE = 48
-BYTES_A_QUERY = 200_000
+BYTES_A_QUERY = 500_000
 STEPS_A_QUERY = 48
-CHARS_A_BATCH = 2_000_000
+CHARS_A_BATCH = 4_000_000
 # A worker remembers the ids of about this many pieces from batch to batch, then forgets them all.
-MOST_KNOWN = 150_000
+MOST_KNOWN = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,7 +157,7 @@ class Tokenizer:
     @property
     def connection(self) -> duckdb.DuckDBPyConnection:
         if self._connection is None:
-            own = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+            own = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
             own.execute("SET preserve_insertion_order = false")
             own.register("merge_rows", merge_table(self.ranks))
             own.execute("CREATE TABLE merges AS SELECT *, a::BIGINT * 65536 + b AS ab FROM merge_rows")
@@ -284,69 +285,82 @@ class Tokenizer:
 
 
 def sized_parts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `limit` characters or list items in `column`, one row at least."""
+    """The batch in slices of about `limit` bytes of text or list items in `column`, one row at least."""
     values = batch.column(batch.schema.get_field_index(column))
-    begin, size = 0, 0
-    for row, value in enumerate(values):
-        size += len(value.as_py() or "") if pa.types.is_string(values.type) else (len(value) if value.is_valid else 0)
-        if size >= limit:
-            yield batch.slice(begin, row + 1 - begin)
-            begin, size = row + 1, 0
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
+    length = pc.binary_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.list_value_length
+    sizes = np.cumsum(pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = min(batch.num_rows, int(np.searchsorted(sizes, before + limit)) + 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _schema(df: DataFrame, more: str) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema) + more
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`docs` and `ids`, the token ids of `text`."""
-    kept = without(docs, ["ids"])
-    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
+Batches = Iterable[pa.RecordBatch]
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoder(shared: Broadcast) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    def encode(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized_parts(batch, "text", CHARS_A_BATCH):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 ids = shared.value.encode([t or "" for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return kept.mapInArrow(encode, _schema(kept, "ids array<int>"))
+    return encode
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`encoded` and `decoded`, the bytes that `ids` stand for."""
-    kept = without(encoded, ["decoded"])
-    shared = encoded.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
-
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder(shared: Broadcast) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    def decode(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sized_parts(batch, "ids", CHARS_A_BATCH // 4):
+            for part in sized_parts(batch, "ids", CHARS_A_BATCH // 2):
                 column = part.column(part.schema.get_field_index("ids")).fill_null([])
                 decoded = pa.array(shared.value.decode(column), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
-    return kept.mapInArrow(decode, _schema(kept, "decoded binary"))
+    return decode
+
 
+def _share(df: DataFrame, path: str, pattern: str) -> Broadcast:
+    # One vocabulary, whose size the tokenizer fixes; a worker keeps what it has made of it from task to task.
+    return df.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`docs` and `ids`, the token ids of `text`."""
+    kept = without(docs, ["ids"])
+    return kept.mapInArrow(_encoder(_share(docs, path, pattern)), _schema(kept, "ids array<int>"))
+
+
+def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`encoded` and `decoded`, the bytes that `ids` stand for."""
+    kept = without(encoded, ["decoded"])
+    return kept.mapInArrow(_decoder(_share(encoded, path, pattern)), _schema(kept, "decoded binary"))
+
+
+def _digests(batches: Batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, rows = batch.column("ids"), []
-        for k in range(batch.num_rows):
-            own = ids[k].values.to_numpy() if ids[k].is_valid else np.empty(0, np.int32)
-            listed = ",".join(map(str, own.tolist())).encode()
-            rows.append((len(own), hashlib.sha256(listed).hexdigest(), hashlib.sha256(batch.column("decoded")[k].as_py()).hexdigest()))
-        n, first, second = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        ids = batch.column("ids")
+        shown = pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py(), pa.int32()), ids.flatten().cast(pa.string()))
+        listed = [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(shown, ",").cast(pa.binary())]
+        decoded = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")]
+        columns = [batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encoding_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: its text encoded, and the ids decoded."""
-    encoded = encode_texts(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return decode_ids(encoded, path, pattern).mapInArrow(
-        _digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row: its text encoded, and the ids decoded.
+
+    The steps of `encode_texts` and `decode_ids` follow one another in one worker, batch by batch.
+    """
+    shared = _share(docs, path, pattern)
+    encode, decode = _encoder(shared), _decoder(shared)
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda batches: _digests(decode(encode(batches))),
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
