@@ -178,7 +178,7 @@ def _verified(marked: DataFrame, repeats: Repeats) -> DataFrame:
     """For each row with windows over branches that repeat a smaller document's: where these windows begin."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, path in _paths(batches, repeats):
+        for batch, _, path in _paths((b.filter(b.column("marks").is_valid()) for b in batches), repeats):
             if not len(path.starts):
                 continue
             open_ = np.flatnonzero(_decided(batch, path, repeats)[1])
@@ -193,12 +193,10 @@ def _verified(marked: DataFrame, repeats: Repeats) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "key", "start"])
 
-    found = marked.where(F.col("marks").isNotNull()).mapInArrow(
-        rows, "h1 bigint, h2 bigint, doc_id bigint, key bigint, start int"
-    )
+    found = marked.mapInArrow(rows, "h1 bigint, h2 bigint, doc_id bigint, key bigint, start int")
     least = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeated = found.join(least, ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
-    return settled(repeated.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")))
+    return repeated.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
 
 
 def without_repeats(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
@@ -206,8 +204,9 @@ def without_repeats(docs: DataFrame, repeats: Repeats = Repeats()) -> DataFrame:
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     texts = docs.select("doc_id", "text", key.alias("key"))
     marks = _marks(texts, repeats)
+    # Both uses of this join stand in one plan and are the same, so the texts are shuffled once.
     marked = texts.join(marks, ["doc_id", "key"], "left")
-    verified = _verified(texts.join(marks, ["doc_id", "key"]), repeats)
+    verified = _verified(marked, repeats)
     joined = marked.join(verified, ["doc_id", "key"], "left").select("doc_id", "text", "marks", "starts")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
