@@ -61,16 +61,15 @@ class AnalysisConfig:
     small_saccade_deg: float = SMALL_SACCADE_DEG
     large_saccade_deg: float = LARGE_SACCADE_DEG
     histogram_bins: int = HISTOGRAM_BINS
-    # An interval with more rows than this is "hot": it is never windowed in one task. Of more than
-    # max_hot_keys such intervals only the largest count as hot, which bounds all that is broadcast for
-    # them; each of the others then holds less than 1 / max_hot_keys of all rows.
+    # An interval with more rows than this is "hot": it is never windowed in one task.
     hot_rows: int = 5_000_000
-    max_hot_keys: int = 10_000
     # The stored gaze table is already clustered by interval (bucketed by Recording, Participant and
     # Interval), so that the shuffle by interval can be left out.
     clustered: bool = False
     # Per-recording statistics are broadcast only up to this many recordings (about 5 MB).
     broadcast_groups: int = 100_000
+    # Folders of a written series of very many entities.
+    series_buckets: int = 32
 
     @property
     def before_labels(self) -> tuple[str, ...]:

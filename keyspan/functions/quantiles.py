@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact percentile keeps a group's whole value map in one task. Here equal values are first
-counted, the counts are summed into bins of fixed width, and only the bins that hold a wanted position
-are ordered. A task sees either one group's bins or one bin's distinct values, never a group's rows.
+counted, the counts are range-partitioned by group and value, and only the partitions that hold a wanted
+position are ordered. A task sees an even share of the values, whatever their unit and distribution.
 """
 
 from __future__ import annotations
@@ -12,16 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.functions.expressions import null_safe
+from keyspan.functions.skew import checkpointed
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: Column, width: float = 1.0) -> DataFrame:
-    """How often each value occurs in each group: columns ``keys``, ``_bin``, ``_value``, ``_count``.
-
-    NULL values are counted too, with a NULL bin.
-    """
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """How often each value occurs in each group, NULL included: columns ``keys``, ``_value``, ``_count``."""
     return (
-        df.select(*keys, value.alias("_value"), F.floor(value / width).alias("_bin"))
-        .groupBy(*keys, "_bin", "_value")
+        df.select(*keys, value.alias("_value"))
+        .groupBy(*keys, "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
 
@@ -32,6 +30,11 @@ def counted_quantiles(counts: DataFrame, keys: Sequence[str], probabilities: Map
     ``counts`` comes from :func:`value_counts`; ``probabilities`` maps output columns to probabilities.
     A group without any value has ``_n`` = 0 and NULL quantiles.
     """
+    # A bin is a range partition; both uses must see the same partitions, also after an executor is lost.
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counts.repartitionByRange(partitions, *keys, "_value")
+    counts = checkpointed(spread.withColumn("_bin", F.when(F.col("_value").isNotNull(), F.spark_partition_id())))
+    # There are no more rows of (group, bin) than groups and partitions together.
     group = Window.partitionBy(*keys)
     upto = (
         Window.partitionBy(*keys)

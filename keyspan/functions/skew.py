@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -10,20 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from keyspan.functions.expressions import null_safe
 
 
+# A table is broadcast by a hint only if it has been counted and is not longer than this.
+BROADCAST_ROWS = 100_000
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
-    It is the folder the session names in ``spark.checkpoint.dir``. Only a local session without one gets
-    a temporary folder; a cluster session without one is an error, since executors share no local disk.
+    It is the folder the session names in ``spark.checkpoint.dir``, else a subfolder of the warehouse, which
+    all nodes of a cluster see as well.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="keyspan-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return context.getCheckpointDir()
 
 
@@ -33,23 +32,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, max_hot_keys: int) -> DataFrame | None:
-    """The largest keys with more than ``hot_rows`` rows, at most ``max_hot_keys``; None if there are none.
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a checkpointed table is short enough to be broadcast."""
+    return table.limit(limit + 1).count() <= limit
+
+
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of each key as ``_rows``, checkpointed.
+
+    The counts are combined before the shuffle, so a hot key costs no more than any other here.
+    """
+    return checkpointed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+
+
+def hot_keys(sizes: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """All keys of ``sizes`` with more than ``hot_rows`` rows; None if there are none.
 
-    The list is bounded, so it may be broadcast. A key that is left out is not too large for one task
-    either: ``max_hot_keys`` others are larger, so it holds less than 1/``max_hot_keys`` of all rows. The
-    counts are combined before the shuffle, so a hot key costs no more than any other here.
+    There cannot be more of them than rows divided by ``hot_rows``.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.filter(F.col("_rows") > hot_rows).orderBy(F.col("_rows").desc(), *keys).limit(max_hot_keys)
-    hot = largest.select(*keys)
-    rows = hot.collect()
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
+    return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys), by broadcasting the bounded list of hot keys."""
-    listed = F.broadcast(hot.select(*[F.col(key).alias("_hot_" + key) for key in keys]))
+    """(rows of ordinary keys, rows of hot keys). A short list of hot keys is broadcast, a long one shuffled."""
+    listed = hot.select(*[F.col(key).alias("_hot_" + key) for key in keys])
+    if fits_broadcast(listed):
+        listed = F.broadcast(listed)
     condition = null_safe(keys, "_hot_")
     return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
 
@@ -97,9 +106,9 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     spread = df.repartitionByRange(partitions, *[F.col(key).asc() for key in keys], *order)
     placed = checkpointed(spread.withColumn("_part", F.spark_partition_id()))
     place = [*keys, "_part"]
-    # One row per (group, partition): at most the number of partitions plus the number of groups.
+    # One row per (group, partition): no more than partitions plus groups.
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = checkpointed(
         placed.groupBy(*place)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
@@ -107,17 +116,17 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     )
     local = ranked(placed, place, order, "_local")
     return (
-        attach(local, offsets, place, small=True)
+        attach(local, offsets, place, small=fits_broadcast(offsets))
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_local", "_offset", "_part")
     )
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int, max_hot_keys: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int
 ) -> DataFrame:
     """Row number within ``keys``: windowed for ordinary keys, range-partitioned for hot ones."""
-    hot = hot_keys(df, keys, hot_rows, max_hot_keys)
+    hot = hot_keys(key_sizes(df, keys), keys, hot_rows)
     ordinary, large = (df, None) if hot is None else split_hot(df, keys, hot)
     numbered = ranked(ordinary, keys, order, out).withColumn(out, F.col(out).cast("long"))
     return numbered if large is None else numbered.unionByName(ranked_hot(large, keys, order, out))

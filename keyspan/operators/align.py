@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, LABEL_KEYS, AnalysisConfig
-from keyspan.functions.skew import attach, checkpointed
+from keyspan.functions.skew import attach, checkpointed, fits_broadcast
 
 KEY_COLUMNS = ("KeyEventStart", "KeyEventStop", "KeyEventType")
 
@@ -31,19 +31,24 @@ def key_event_per_label(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataF
 
 
 def key_event_per_interval(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Key event per interval, by aggregation.
+    """Key event per interval, by one pass: a row per label, then a row per interval.
 
     Labels count in the order of their first row. The type is the first known one among the labels with
     a key event, so it may stem from another label than the times. All labels and all validity values
     take part.
     """
-    labels = gaze.groupBy(*LABEL_KEYS).agg(F.min("RowId").alias("_first"))
-    keyed = attach(labels, key_event_per_label(gaze, cfg), LABEL_KEYS, small=False)
-    keyed = keyed.filter(F.col("KeyEventStart").isNotNull())
-    times = F.min(F.struct("_first", "KeyEventStart", "KeyEventStop"))
-    types = F.min(F.when(F.col("KeyEventType").isNotNull(), F.struct("_first", "KeyEventType")))
+    own = F.min(F.when(covers_anchor(cfg), F.struct("RowId", "Start", "Stop", "Event_type")))
+    labels = gaze.groupBy(*LABEL_KEYS).agg(F.min("RowId").alias("_first"), own.alias("_own"))
+    keyed = labels.filter(F.col("_own").isNotNull())
+    times = F.min(F.struct("_first", "_own.Start", "_own.Stop"))
+    types = F.min(F.when(F.col("_own.Event_type").isNotNull(), F.struct("_first", "_own.Event_type")))
     found = keyed.groupBy(*INTERVAL_KEYS).agg(times.alias("_times"), types.alias("_type"))
-    return found.select(*INTERVAL_KEYS, "_times.KeyEventStart", "_times.KeyEventStop", "_type.KeyEventType")
+    return found.select(
+        *INTERVAL_KEYS,
+        F.col("_times.Start").alias("KeyEventStart"),
+        F.col("_times.Stop").alias("KeyEventStop"),
+        F.col("_type.Event_type").alias("KeyEventType"),
+    )
 
 
 def attach_key_event(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
@@ -79,10 +84,11 @@ def attach_key_event_hot(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> Data
     """As :func:`attach_key_event` for hot intervals, whose rows must not meet in one task.
 
     The key events are aggregated with a combine before the shuffle. There are no more of them than hot
-    intervals, so they are broadcast and the rows stay where they are. They are checkpointed because the
-    hot rows are passed over several times.
+    intervals; they are counted, and broadcast if few. They are checkpointed because the hot rows are
+    passed over several times.
     """
-    return attach(gaze, checkpointed(key_event_per_interval(gaze, cfg)), INTERVAL_KEYS, small=True)
+    events = checkpointed(key_event_per_interval(gaze, cfg))
+    return attach(gaze, events, INTERVAL_KEYS, small=fits_broadcast(events))
 
 
 def intervals_with_key_event(keyed: DataFrame) -> DataFrame:

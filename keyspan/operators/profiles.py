@@ -104,7 +104,8 @@ def overlay_scale(points: DataFrame, entity: Sequence[str]) -> DataFrame:
 
 
 def overlay_per_entity(rows: DataFrame, entity: str) -> DataFrame:
-    """Scaled series of every participant or recording at once."""
+    """Scaled series of every participant or recording at once; rows without one give no series."""
+    rows = rows.filter(F.col(entity).isNotNull())
     return overlay_scale(averages(rows, [entity, "Event_type", "Sequence"]), [entity])
 
 
@@ -141,7 +142,8 @@ def profile_4groups_per_recording(rows: DataFrame, cfg: AnalysisConfig = DEFAULT
 
 
 def overlay_4groups_per_recording(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Scaled four-category series; one factor per recording across its categories."""
+    """Scaled four-category series; one factor per recording across its categories. Rows without one give none."""
+    rows = rows.filter(F.col("Recording").isNotNull())
     return overlay_scale(profile_4groups_per_recording(rows, cfg), ["Recording"])
 
 
@@ -185,5 +187,7 @@ def stat_series(profile: DataFrame, event_type: str | None = None, stat: str | N
     if unknown:
         raise ValueError(f"unknown statistic {unknown}; choose from {list(STATISTICS)}")
     rows = profile if event_type is None else points_of(profile, event_type)
+    if "Recording" in rows.columns:
+        rows = rows.filter(F.col("Recording").isNotNull())  # a series is drawn for a recording
     ids = [name for name in profile.columns if name not in STATISTICS]
     return rows.unpivot(ids, chosen, "Stat", "Value")

@@ -47,21 +47,21 @@ def implausible_counts(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataF
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Counts in equal-width bins from minimum to maximum; empty bins are left out.
 
-    Equal values are counted first, so that the range and the bins both come from that smaller table.
+    The range first, then the bins: each task shuffles no more rows than there are bins.
     """
-    counts = value_counts(df, [], value).filter(F.col("_value").isNotNull())
-    ends = counts.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    values = df.select(value.alias("_value")).filter(F.col("_value").isNotNull())
+    ends = values.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
     width = (F.col("_high") - F.col("_low")) / bins
     number = F.when(F.col("_high") == F.col("_low"), F.lit(0)).otherwise(
         F.least(F.floor(F.try_divide(F.col("_value") - F.col("_low"), width)), F.lit(bins - 1))
     )
     # The range is one row.
-    placed = counts.crossJoin(F.broadcast(ends)).select(
-        number.cast("int").alias("Bin"), "_low", width.alias("_width"), "_count"
+    placed = values.crossJoin(F.broadcast(ends)).select(
+        number.cast("int").alias("Bin"), "_low", width.alias("_width")
     )
     return (
         placed.groupBy("Bin", "_low", "_width")
-        .agg(F.sum("_count").alias("Count"))
+        .agg(F.count(F.lit(1)).alias("Count"))
         .select("Bin", (F.col("_low") + F.col("Bin") * F.col("_width")).alias("BinStart"), "Count")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, LABEL_KEYS, AnalysisConfig
 from keyspan.functions.expressions import is_fixation, is_saccade
-from keyspan.functions.skew import attach, checkpointed, ranked, ranked_hot
+from keyspan.functions.skew import attach, checkpointed, fits_broadcast, ranked, ranked_hot
 
 KEY, BEFORE, AFTER = "key", "before", "after"
 SEQUENCE_KEYS = (*LABEL_KEYS, "Event_type", "_side")
@@ -68,13 +68,13 @@ def with_group_size(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
 
 
 def with_group_size_hot(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """As :func:`with_group_size` for hot intervals: sizes are aggregated and broadcast.
+    """As :func:`with_group_size` for hot intervals: sizes are aggregated, and broadcast if few.
 
-    There are at most ten relevant labels per hot interval, so the sizes are few. They are checkpointed
-    because the hot rows are passed over several times.
+    There are at most ten relevant labels per hot interval. The sizes are checkpointed because the hot rows
+    are passed over several times.
     """
     sizes = checkpointed(df.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows")))
-    return attach(df, sizes, LABEL_KEYS, small=True)
+    return attach(df, sizes, LABEL_KEYS, small=fits_broadcast(sizes))
 
 
 def large_groups(sized: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, AnalysisConfig
-from keyspan.functions.skew import checkpointed, hot_keys, split_hot
+from keyspan.functions.skew import checkpointed, hot_keys, key_sizes, split_hot
 from keyspan.operators import align, profiles, quality, sequence
 
 # Rows of ordinary intervals, and those of hot intervals if there are any.
@@ -19,8 +19,8 @@ Operator = Callable[[DataFrame, AnalysisConfig], DataFrame]
 class Analysis:
     """Lazily built stage tables of one gaze table.
 
-    Hot intervals (more than ``cfg.hot_rows`` rows) are looked for once, by a combined count. Without
-    any, every stage is one plan with one shuffle by interval. With some, their rows take a second path
+    Intervals are counted once, for those that are hot (more than ``cfg.hot_rows`` rows) and for the number
+    of recordings. Without any hot one, every stage is one plan with one shuffle by interval. With some, their rows take a second path
     that never gathers an interval in one task, and the two results are unioned.
     """
 
@@ -28,14 +28,18 @@ class Analysis:
         self.gaze = gaze
         self.cfg = cfg
 
+    @cached_property
+    def interval_sizes(self) -> DataFrame:
+        return key_sizes(self.gaze, INTERVAL_KEYS)
+
     @cached_property
     def hot_intervals(self) -> DataFrame | None:
-        return hot_keys(self.gaze, INTERVAL_KEYS, self.cfg.hot_rows, self.cfg.max_hot_keys)
+        return hot_keys(self.interval_sizes, INTERVAL_KEYS, self.cfg.hot_rows)
 
     @cached_property
     def n_recordings(self) -> int:
         """Number of recordings, counted no further than the broadcast limit needs."""
-        return self.gaze.select("Recording").distinct().limit(self.cfg.broadcast_groups + 1).count()
+        return self.interval_sizes.select("Recording").distinct().limit(self.cfg.broadcast_groups + 1).count()
 
     @cached_property
     def _keyed(self) -> Parts:
@@ -88,6 +92,7 @@ class Analysis:
         and needs no shuffle by interval of its own.
         """
         copy = Analysis(self.gaze, self.cfg)
+        copy.interval_sizes = self.interval_sizes
         copy.hot_intervals = self.hot_intervals
         copy._sequenced = (checkpointed(_union(self._sequenced)), None)
         return copy

@@ -15,15 +15,9 @@ from keyspan.sources.sinks import write_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_analyses: dict[tuple[int, str], Analysis] = {}
-
-
 def analysis_of(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The plans for one folder; they are built once per session, the data is read by every query."""
-    key = (id(spark), sf_dir)  # an analysis keeps its session alive, so the id stays unique
-    if key not in _analyses:
-        _analyses[key] = Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    return _analyses[key]
+    """The plans for one folder as it is now."""
+    return Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int | None) -> DataFrame:
@@ -35,9 +29,9 @@ def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int |
 
 
 def written_participant_series(a: Analysis) -> DataFrame:
-    """Participants grow with the data, so they share as many folders as a shuffle has partitions."""
-    buckets = int(a.gaze.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written_and_read(a, profiles.overlay_per_participant(a.profile_rows), "Participant", buckets)
+    """Participants grow with the data, so they share a fixed number of folders."""
+    series = profiles.overlay_per_participant(a.profile_rows)
+    return written_and_read(a, series, "Participant", a.cfg.series_buckets)
 
 
 def written_recording_series(a: Analysis) -> DataFrame:

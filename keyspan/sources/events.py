@@ -23,7 +23,6 @@ def gaze_from_events(events: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFr
         [F.col("event_id").asc()],
         "_rn",
         cfg.hot_rows,
-        cfg.max_hot_keys,
     )
     chunked = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / ROWS_PER_LABEL).cast("int")).withColumn(
         "_dur", F.lit(60) + F.floor(F.col("value") * 8)

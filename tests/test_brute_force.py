@@ -120,7 +120,7 @@ CONFIGS = {
     "hot intervals": AnalysisConfig(hot_rows=100),
     "many recordings": AnalysisConfig(broadcast_groups=1),
     "all hot": AnalysisConfig(hot_rows=1, broadcast_groups=2),
-    "too many hot": AnalysisConfig(hot_rows=1, max_hot_keys=3),
+    "only the largest hot": AnalysisConfig(hot_rows=400),
 }
 
 

@@ -15,9 +15,9 @@ def test_row_numbers_with_hot_keys_and_ties(spark):
     data = [(rnd.choice(["a", "a", "b", None]), rnd.choice([1.0, 1.0, 1.0, 2.0, None]), i) for i in range(3000)]
     df = spark.createDataFrame(data, "k string, v double, id long").repartition(7)
     order = [F.col("v").asc_nulls_last(), F.col("id").desc()]
-    plain = skew.row_numbers(df, ["k"], order, "n", hot_rows=10**6, max_hot_keys=10)
-    spread = skew.row_numbers(df, ["k"], order, "n", hot_rows=300, max_hot_keys=10)
-    some = skew.row_numbers(df, ["k"], order, "n", hot_rows=300, max_hot_keys=1)
+    plain = skew.row_numbers(df, ["k"], order, "n", hot_rows=10**6)
+    spread = skew.row_numbers(df, ["k"], order, "n", hot_rows=300)
+    some = skew.row_numbers(df, ["k"], order, "n", hot_rows=1000)
     assert plain.dtypes == spread.dtypes
     assert rows(plain, "k", "v", "id", "n") == rows(spread, "k", "v", "id", "n") == rows(some, "k", "v", "id", "n")
 
@@ -25,9 +25,32 @@ def test_row_numbers_with_hot_keys_and_ties(spark):
 def test_hot_keys_are_the_largest(spark):
     data = [("a",)] * 5 + [("b",)] * 9 + [(None,)] * 7 + [("c",)] * 2
     df = spark.createDataFrame(data, "k string")
-    assert skew.hot_keys(df, ["k"], 9, 10) is None
-    assert rows(skew.hot_keys(df, ["k"], 4, 10), "k") == [("a",), ("b",), (None,)]
-    assert rows(skew.hot_keys(df, ["k"], 4, 2), "k") == [("b",), (None,)]
+    sizes = skew.key_sizes(df, ["k"])
+    assert skew.hot_keys(sizes, ["k"], 9) is None
+    assert rows(skew.hot_keys(sizes, ["k"], 4), "k") == [("a",), ("b",), (None,)]
+    assert rows(skew.hot_keys(sizes, ["k"], 6), "k") == [("b",), (None,)]
+
+
+def test_any_number_of_keys_may_be_hot(spark, monkeypatch):
+    # Far more hot keys than may be broadcast: all take the split path, by shuffles.
+    monkeypatch.setattr(skew, "fits_broadcast", lambda table, limit=100: table.limit(limit + 1).count() <= limit)
+    df = spark.range(40_000).select((F.col("id") % 12_000).alias("k"), "id")
+    out = skew.row_numbers(df, ["k"], [F.col("id").asc()], "n", hot_rows=2)
+    assert out.count() == 40_000
+    assert out.filter(F.col("n") != F.floor(F.col("id") / 12_000) + 1).isEmpty()
+
+
+def test_quantile_tasks_are_even_for_real_values_in_a_narrow_range(spark, monkeypatch):
+    from keyspan.functions import quantiles
+
+    seen = []
+    real = quantiles.checkpointed
+    monkeypatch.setattr(quantiles, "checkpointed", lambda df: seen.append(real(df)) or seen[-1])
+    df = spark.range(200_000).select((F.rand(1) * 3).alias("v"))
+    row = counted_quantiles(value_counts(df, [], F.col("v")), [], {"m": 0.5}).first()
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes) and len(sizes) >= 6
+    assert abs(row["m"] - 1.5) < 0.02
 
 
 def test_a_hot_group_is_spread_over_partitions(spark, monkeypatch):
@@ -38,7 +61,8 @@ def test_a_hot_group_is_spread_over_partitions(spark, monkeypatch):
 
     def checkpointed(placed):
         result = real(placed)
-        seen.extend(row["count"] for row in result.groupBy("_part").count().collect())
+        if "id" in result.columns:  # not the offsets
+            seen.extend(row["count"] for row in result.groupBy("_part").count().collect())
         return result
 
     monkeypatch.setattr(skew, "checkpointed", checkpointed)

@@ -79,7 +79,7 @@ def test_every_query_reads_and_shuffles_the_rows_once(spark, stored, name):
     new = [line for line in plan.split("\n") if "ReusedExchange" not in line]
     assert sum("REPARTITION_BY_COL" in line for line in new) <= 1
     # The key events alone are found by a second, filtered read.
-    assert sum("FileScan" in line for line in new) <= (2 if name == "key_event_per_interval" else 1)
+    assert sum("FileScan" in line for line in new) <= 1
     assert "Python" not in plan and "Pandas" not in plan
     assert "CartesianProduct" not in plan
 

@@ -264,3 +264,21 @@ def test_parameters_are_honoured(spark):
     analysis = Analysis(gaze(spark, events), cfg)
     assert rows(analysis.final, "FixationSequence") == [(-1,), (0,)]
     assert rows(analysis.profile_rows, "TOI_Category", "Sequence") == [("Combined_FPEnX", -1)]
+
+
+def test_a_missing_entity_gives_no_series(spark):
+    rows = [
+        (p, r, "FPEnx", t, s, float(s + (t == "Fixation")))
+        for p, r in (("P1", "R1"), (None, "R1"), ("P1", None))
+        for t in ("Fixation", "Saccade")
+        for s in (1, 2, 3)
+    ]
+    schema = "Participant string, Recording string, TOI_Category string, Event_type string, Sequence long, Metric double"
+    table = spark.createDataFrame(rows, schema)
+    assert profiles.overlay_per_participant(table).filter("Participant IS NULL").isEmpty()
+    assert profiles.overlay_per_recording(table).filter("Recording IS NULL").isEmpty()
+    assert not profiles.overlay_per_recording(table).isEmpty()
+    assert profiles.overlay_4groups_per_recording(table).filter("Recording IS NULL").isEmpty()
+    series = profiles.stat_series(profiles.mean_median_per_recording(table))
+    assert series.filter("Recording IS NULL").isEmpty()
+    assert not profiles.profile_per_recording(table).filter("Recording IS NULL").isEmpty()
