@@ -79,6 +79,73 @@ def llm_queries() -> dict[str, Query]:
     }
 
 
+WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+g AS (
+    SELECT r, doc_id, p, md5(string_agg(word, ' ') OVER f) AS h, count(*) OVER f AS n
+    FROM t WINDOW f AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+),
+x AS (
+    SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY h) AS first FROM g WHERE n = 50)
+    WHERE first < doc_id
+),
+k AS (
+    SELECT t.r, t.p, t.word, max(x.p) OVER (PARTITION BY t.r ORDER BY t.p ROWS UNBOUNDED PRECEDING) AS last
+    FROM t LEFT JOIN x ON t.r = x.r AND t.p = x.p
+),
+o AS (
+    SELECT r, count(*) AS n_words, count(*) FILTER (WHERE last > p - 50) AS n_removed,
+        string_agg(word, ' ' ORDER BY p) FILTER (WHERE last IS NULL OR last <= p - 50) AS kept
+    FROM k GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+g AS (
+    SELECT doc_id, m, p, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n
+    FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)
+),
+e AS (SELECT DISTINCT doc_id, s FROM g WHERE n = 4 OR (m < 4 AND p = 1)),
+sized AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e AS a JOIN e AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM common JOIN sized AS x ON x.doc_id = a JOIN sized AS y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach AS r JOIN both_ways AS l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(sized.n), 0) AS n_shingles, least(d.doc_id, min(reach.b)) AS component_id
+FROM d LEFT JOIN sized USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
+OP9_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+    sum(length('<|im_start|>' || chr(10) || '<|im_end|>' || chr(10)) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
+        + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute-force versions."""
-    return {}
+    return {"op3_substring_dedup": OP3_SQL, "op7_ngram_jaccard": OP7_SQL, "op9_chat_format": OP9_SQL}
