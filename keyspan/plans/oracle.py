@@ -6,6 +6,8 @@ sequences are counted per side.
 
 from __future__ import annotations
 
+from keyspan.plans.queries import SKEWED
+
 GAZE = """
 ev AS (
   SELECT event_id, user_id, event_type, value,
@@ -280,6 +282,12 @@ SEQ0_PER_RECORDING = "SELECT Recording, avg(Duration) AS AvgDuration_Seq0, count
 
 
 def all_oracle_sql() -> dict[str, str]:
+    """The SQL of every query; how rows are spread makes no difference to it."""
+    usual = _usual_oracle_sql()
+    return usual | {name: usual[of] for name, (of, _) in SKEWED.items()}
+
+
+def _usual_oracle_sql() -> dict[str, str]:
     gaze, keyed, aligned, seqd, final = (GAZE,), TO_KEYED, TO_ALIGNED, TO_SEQD, TO_FINAL
     return {
         "gaze": _sql(gaze, "SELECT * FROM gaze"),

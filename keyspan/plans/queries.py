@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyspan.config import DEFAULT, AnalysisConfig
 from keyspan.functions.skew import checkpoint_folder
 from keyspan.operators import align, keyrow, profiles, quality, sequence, summarize
 from keyspan.plans.analysis import Analysis
@@ -15,9 +16,9 @@ from keyspan.sources.sinks import write_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-def analysis_of(spark: SparkSession, sf_dir: str) -> Analysis:
+def analysis_of(spark: SparkSession, sf_dir: str, cfg: AnalysisConfig = DEFAULT) -> Analysis:
     """The plans for one folder as it is now."""
-    return Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), cfg), cfg)
 
 
 def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int | None) -> DataFrame:
@@ -121,9 +122,21 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
 }
 
 
-def _bind(operator: Callable[[Analysis], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(analysis_of(spark, sf_dir))
+# The same operators where nearly every user and interval counts as hot, or there are too many recordings to broadcast.
+ALL_HOT, MANY_RECORDINGS = AnalysisConfig(hot_rows=40), AnalysisConfig(broadcast_groups=2)
+SKEWED: dict[str, tuple[str, AnalysisConfig]] = {
+    "gaze_split": ("gaze", ALL_HOT),
+    "aligned_events_split": ("aligned_events", ALL_HOT),
+    "sequenced_events_split": ("sequenced_events", ALL_HOT),
+    "min_group_size_split": ("min_group_size", ALL_HOT),
+    "outlier_filtered_uneven": ("outlier_filtered", MANY_RECORDINGS),
+}
+
+
+def _bind(operator: Callable[[Analysis], DataFrame], cfg: AnalysisConfig = DEFAULT) -> Query:
+    return lambda spark, sf_dir: operator(analysis_of(spark, sf_dir, cfg))
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: _bind(operator) for name, operator in OPERATORS.items()}
+    usual = {name: _bind(operator) for name, operator in OPERATORS.items()}
+    return usual | {name: _bind(OPERATORS[of], cfg) for name, (of, cfg) in SKEWED.items()}
