@@ -31,11 +31,11 @@ from keyspan.llm.common import without
 
 # Pieces above this many bytes take the query for long pieces.
 LONG_PIECE = 48
-BYTES_A_QUERY = 500_000
+BYTES_A_QUERY = 300_000
 STEPS_A_QUERY = 48
-CHARS_A_BATCH = 4_000_000
+CHARS_A_BATCH = 2_000_000
 # A worker remembers the ids of about this many pieces from batch to batch, then forgets them all.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,7 +157,7 @@ class Tokenizer:
     @property
     def connection(self) -> duckdb.DuckDBPyConnection:
         if self._connection is None:
-            own = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+            own = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
             own.execute("SET preserve_insertion_order = false")
             own.register("merge_rows", merge_table(self.ranks))
             own.execute("CREATE TABLE merges AS SELECT *, a::BIGINT * 65536 + b AS ab FROM merge_rows")
@@ -343,6 +343,25 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return kept.mapInArrow(_decoder(_share(encoded, path, pattern)), _schema(kept, "decoded binary"))
 
 
+def _compared(batches: Batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
+        columns = [batch.column(n) for n in batch.schema.names if n != "decoded"]
+        names = [n for n in batch.schema.names if n != "decoded"]
+        same = pc.equal(texts, batch.column("decoded"))
+        yield pa.RecordBatch.from_arrays([*columns, same], [*names, "round_trip"])
+
+
+def encode_and_compare(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """`docs`, `ids`, and `round_trip`: whether the ids decode to the text. One worker does both, batch by batch."""
+    kept = without(docs, ["ids", "decoded", "round_trip"])
+    shared = _share(docs, path, pattern)
+    encode, decode = _encoder(shared), _decoder(shared)
+    return kept.mapInArrow(
+        lambda batches: _compared(decode(encode(batches))), _schema(kept, "ids array<int>, round_trip boolean")
+    )
+
+
 def _digests(batches: Batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("ids")
