@@ -175,6 +175,13 @@ class Tokenizer:
             self._connection = own
         return self._connection
 
+    def release(self) -> None:
+        """Gives back what has been made of the vocabulary; it is made again where it is needed."""
+        if self._connection is not None:
+            self._connection.close()
+        self._connection = None
+        self._known.clear()
+
     def _start(self, pieces: list[bytes]) -> pa.Table:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
@@ -357,9 +364,15 @@ def encode_and_compare(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kept = without(docs, ["ids", "decoded", "round_trip"])
     shared = _share(docs, path, pattern)
     encode, decode = _encoder(shared), _decoder(shared)
-    return kept.mapInArrow(
-        lambda batches: _compared(decode(encode(batches))), _schema(kept, "ids array<int>, round_trip boolean")
-    )
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        # After other stages the workers' memory is dear: what a task has learnt goes with it.
+        try:
+            yield from _compared(decode(encode(batches)))
+        finally:
+            shared.value.release()
+
+    return kept.mapInArrow(run, _schema(kept, "ids array<int>, round_trip boolean"))
 
 
 def _digests(batches: Batches) -> Iterator[pa.RecordBatch]:
