@@ -41,10 +41,11 @@ class Descent:
     block: int = 512
     projections: int = 2
     rounds: int = 7
-    settled_share: float = 0.01
+    settled_share: float = 0.05
+    nodes_a_part: int = 1000
     beam: int = 96
     expanded: int = 24
-    walks: int = 4
+    walks: int = 3
     exact: int = 64
 
 
@@ -201,7 +202,7 @@ def _first_lists(small: DataFrame, params: Descent) -> DataFrame:
     return every
 
 
-def _merged(small: DataFrame, told: DataFrame, params: Descent) -> DataFrame:
+def _merged(small: DataFrame, told: DataFrame, params: Descent, parts: int) -> DataFrame:
     """The graph with `told` (node, ids, scores) put into the nodes' lists; `changed` counts new entries. Settled."""
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,9 @@ def _merged(small: DataFrame, told: DataFrame, params: Descent) -> DataFrame:
 
     none = "CAST(NULL AS FLOAT) AS scale", "CAST(NULL AS BINARY) AS vec"
     rows = small.unionByName(told.selectExpr("node", *none, "ids", "scores"))
-    return settled(rows.repartition("node").sortWithinPartitions("node", F.col("vec").isNull()).mapInArrow(merge, NODE + ", changed bigint"))
+    merged = rows.repartition("node").sortWithinPartitions("node", F.col("vec").isNull()).mapInArrow(merge, NODE + ", changed bigint")
+    # Every round reads the graph several times, so it is kept in no more parts than its nodes need.
+    return settled(merged.coalesce(parts))
 
 
 def _members(graph: DataFrame, params: Descent, salt: int) -> DataFrame:
@@ -297,11 +300,12 @@ def _tell(params: Descent):
 
 def neighbour_graph(small: DataFrame, params: Descent = Descent()) -> DataFrame:
     """The graph over quantised nodes: node, scale, vec, ids and scores (best first). Settled."""
+    parts = max(1, small.count() // params.nodes_a_part)
     empty = "CAST(array() AS array<bigint>) AS ids", "CAST(array() AS array<float>) AS scores"
-    graph = _merged(small.selectExpr("node", "scale", "vec", *empty), _first_lists(small, params), params)
+    graph = _merged(small.selectExpr("node", "scale", "vec", *empty), _first_lists(small, params), params, parts)
     for number in range(params.rounds):
         told = _members(graph, params, number).mapInArrow(_tell(params), "node bigint, ids array<bigint>, scores array<float>")
-        graph = _merged(graph.drop("changed"), told, params)
+        graph = _merged(graph.drop("changed"), told, params, parts)
         moved, entries = graph.agg(F.sum("changed"), F.sum(F.size("ids"))).first()
         if not entries or moved <= params.settled_share * entries:
             break
