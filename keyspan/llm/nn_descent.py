@@ -43,8 +43,8 @@ class Descent:
     rounds: int = 7
     settled_share: float = 0.05
     nodes_a_part: int = 1000
-    beam: int = 96
-    expanded: int = 24
+    beam: int = 320
+    expanded: int = 96
     walks: int = 3
     exact: int = 64
 
