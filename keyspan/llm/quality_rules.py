@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Every rule rejects documents whose score reaches a cutoff. For each stratum (language) and rule, the labelled good
-documents are a holdout: at a cutoff that rejects k of n of them, the exact binomial tail P(Bin(n, a) <= k) must not
-exceed d, where a = `max_false_rejection` / number of rules (so that all rules together stay within the limit) and
-d = `error` / number of tests (strata x rules x cutoffs: Bonferroni). The lowest cutoff that passes is taken; a
-stratum with too few labels passes none and keeps its documents, apart from the base rules.
+Every rule rejects documents whose score reaches a cutoff. For each stratum (language) the labelled good documents are
+a holdout. All rules' cutoffs form one sequence, fixed beforehand, from the highest of each rule down in turns; each
+step adds one cutoff to those before. A step whose rules together reject k of the n passes if the exact binomial tail
+P(Bin(n, a) <= k) does not exceed d, where a = `max_false_rejection` holds for all rules together and d = `error` /
+number of strata that can pass. Testing ends at the first step that fails (fixed-sequence testing), so that steps
+need no correction for their number. Whether a stratum can pass depends on n alone: it does where k = 0 would; one
+with too few labels takes no share of the error and keeps its documents, apart from the base rules.
 
 Features are counted in one pass over whole texts. Numbers of one document never depend on other documents.
 
@@ -17,7 +19,7 @@ replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,11 +149,21 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(log_term) * total)
 
 
+def cutoff_sequence(params: RiskControl = RiskControl()) -> list[tuple[str, float]]:
+    """(rule, cutoff) in the order of testing: each rule's from the highest down, all rules at equal pace."""
+    paced = [
+        (at / len(grid), number, name, cutoff)
+        for number, (name, grid) in enumerate(params.grids)
+        for at, cutoff in enumerate(sorted(grid, reverse=True))
+    ]
+    return [(name, cutoff) for _, _, name, cutoff in sorted(paced)]
+
+
 def holdout_counts(features: DataFrame, labels: DataFrame, params: RiskControl = RiskControl()) -> DataFrame:
-    """For each stratum, rule and cutoff: `n` good labelled documents and `k` of them that the cutoff rejects.
+    """For each stratum and step of `cutoff_sequence`: `n` good labelled documents, `k` of them rejected so far.
 
-    Combined before the shuffle: what moves is at most strata x rules x cutoffs rows a task. Documents that the base
-    rules reject are no part of the holdout, as the method doesn't judge them.
+    Combined before the shuffle: what moves is at most strata x steps rows a task. Documents that the base rules reject
+    are no part of the holdout, as the method doesn't judge them.
     """
     good = (
         labels.where(F.col("quality").isNotNull())
@@ -161,51 +173,54 @@ def holdout_counts(features: DataFrame, labels: DataFrame, params: RiskControl =
         .select("doc_id")
     )
     holdout = features.where(~base_failed(params)).join(good, "doc_id", "left_semi")
-    rule_scores = scores()
-    # Position of the highest cutoff that the score reaches; it rejects at that cutoff and all below.
-    reached = F.array(
-        *(
-            F.struct(
-                F.lit(name).alias("rule"),
-                sum((F.when(rule_scores[name] >= cutoff, 1).otherwise(0) for cutoff in grid), F.lit(0)).alias("reached"),
-            )
-            for name, grid in params.grids
-        )
+    rule_scores, steps = scores(), cutoff_sequence(params)
+    # The first step that rejects the document: all later ones do, too.
+    first = F.least(
+        F.lit(len(steps)),
+        *(F.when(rule_scores[name] >= cutoff, at).otherwise(len(steps)) for at, (name, cutoff) in enumerate(steps)),
     )
-    counts = (
-        holdout.select("stratum", F.explode(reached).alias("r"))
-        .groupBy("stratum", "r.rule", "r.reached")
-        .agg(F.count("*").alias("docs"))
+    counts = holdout.groupBy("stratum", first.alias("first")).agg(F.count("*").alias("docs"))
+    # Of one stratum there are at most as many rows as steps, and one.
+    per_stratum = counts.groupBy("stratum").agg(
+        F.sum("docs").alias("n"), F.collect_list(F.struct("first", "docs")).alias("levels")
     )
-    cutoffs = F.lit(None)
-    for name, grid in params.grids:
-        cutoffs = F.when(F.col("rule") == name, F.array(*map(F.lit, grid))).otherwise(cutoffs)
-    # Of one stratum and rule there are at most as many rows as cutoffs.
-    per_rule = counts.groupBy("stratum", "rule").agg(
-        F.sum("docs").alias("n"), F.collect_list(F.struct("reached", "docs")).alias("levels")
-    )
-    return per_rule.select("stratum", "rule", "n", "levels", F.posexplode(cutoffs).alias("at", "cutoff")).select(
+    table = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(cutoff).alias("cutoff")) for name, cutoff in steps))
+    return per_stratum.select("stratum", "n", "levels", F.posexplode(table).alias("step", "s")).select(
         "stratum",
-        "rule",
-        "cutoff",
+        "step",
+        "s.rule",
+        "s.cutoff",
         "n",
         F.aggregate(
-            F.filter("levels", lambda x: x["reached"] > F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["docs"]
+            F.filter("levels", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x["docs"]
         ).alias("k"),
     )
 
 
+def shared_error(sizes: Iterable[tuple[int, int]], params: RiskControl = RiskControl()) -> float:
+    """Error of one stratum, from pairs (n, strata of this n): those that can pass share it; 0 if none can."""
+    strata, share = 0, 0.0
+    for n, times in sorted(sizes, reverse=True):
+        for _ in range(times):
+            strata += 1
+            if binomial_tail(0, n, params.max_false_rejection) > params.error / strata:
+                return share
+            share = params.error / strata
+    return share
+
+
 def select_cutoffs(features: DataFrame, labels: DataFrame, params: RiskControl = RiskControl()) -> DataFrame:
-    """One row for each stratum: the chosen cutoff of each rule, NULL where none passes."""
+    """One row for each stratum where a step passes: the chosen cutoff of each rule, NULL where none passes."""
     counts = settled(holdout_counts(features, labels, params))
-    tests = max(1, counts.count())
-    limit = params.max_false_rejection / len(params.grids)
-    allowed = params.error / tests
+    limit = params.max_false_rejection
+    sizes = counts.where((F.col("step") == 0) & (F.pow(F.lit(1 - limit), F.col("n")) <= params.error * 1.001))
+    allowed = shared_error([(r["n"], r["times"]) for r in sizes.groupBy("n").agg(F.count("*").alias("times")).collect()], params)
 
     @F.pandas_udf("boolean")
     def passes(k: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([binomial_tail(int(a), int(b), limit) <= allowed for a, b in zip(k, n, strict=True)])
 
+    # k never falls along the sequence, so the steps that pass are those before the first that fails.
     passed = counts.where(passes("k", "n"))
     chosen = [
         F.min(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name, _ in params.grids

@@ -69,3 +69,27 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(i in kept for i in range(8000))
     assert not any(10_000 + i in kept for i in range(100))
     assert all(20_000 + i in kept for i in range(100))  # no labels in this stratum: nothing can be promised
+
+
+def test_ordinary_holdouts_select_cutoffs(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    features = q.with_features(docs.select("doc_id", "text", q.stratum_of(docs).alias("stratum"))).drop("text").cache()
+    cutoffs = {r.stratum: r for r in q.select_cutoffs(features, labels).collect()}
+    assert {"=en", "=de", "=fr"} <= cutoffs.keys() and all(r.cut_symbol_share for r in cutoffs.values())
+    judged = q.quality_verdicts(docs, labels)
+    rejected = judged.where("NOT kept AND NOT base_failed").select("doc_id")
+    assert rejected.count() > 100
+    # The promise holds on the holdout itself: of each stratum's good documents, no more than 1 % go.
+    for r in q.holdout_counts(features, labels).where("step = 0").collect():
+        good = labels.where("quality = 1 AND toxic = 0")
+        lost = rejected.join(good, "doc_id").join(features.where(features.stratum == r.stratum), "doc_id").count()
+        assert lost <= 0.01 * r.n
+
+
+def test_strata_that_can_pass_share_the_error():
+    assert q.shared_error([]) == q.shared_error([(288, 3)]) == 0
+    assert q.shared_error([(1789, 1), (439, 1), (437, 1), (288, 1)]) == pytest.approx(0.05 / 3)
+    steps = q.cutoff_sequence()
+    assert len(set(steps)) == len(steps) == sum(len(g) for _, g in q.RiskControl().grids)
+    for name, grid in q.RiskControl().grids:
+        assert [c for n, c in steps if n == name] == sorted(grid, reverse=True)
