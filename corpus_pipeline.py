@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from keyspan.llm import bpe, mixing, ngram_jaccard, pii, quality_rules
 from keyspan.llm.common import shared_folder
 
+# Near-duplicates share four fifths of their five-word n-grams.
+NEAR = ngram_jaccard.Join(n=5, percent=80)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.one_of_each_class(docs)
+    return ngram_jaccard.one_of_each_class(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import public_tokenizers
@@ -63,3 +64,56 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
 def test_run_gives_the_stages_result(spark, sf):
     result = corpus_pipeline.run(spark, sf)
     assert result.count() > 0 and result.where("NOT round_trip").isEmpty()
+
+
+def near_classes(rows):
+    """Classes at a Jaccard of 0.8 or more over five-word n-grams: smallest id of each id's class."""
+    sets = []
+    for i, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    least = {i: i for i, _ in sets}
+    changed = True
+    links = [(i, k) for i, x in sets for k, y in sets if i < k and x and 10 * len(x & y) >= 8 * len(x | y)]
+    while changed:
+        changed = False
+        for i, k in links:
+            low = min(least[i], least[k])
+            changed = changed or least[i] != low or least[k] != low
+            least[i] = least[k] = low
+    return least
+
+
+def test_near_duplicates_are_five_words_at_four_fifths(spark, sf):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for size in (3, 6, 12, 30, 70, 150, 330, 1000):
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            rows.append(base)
+            # Copies on both sides of the threshold: without their last words, and with scattered changes.
+            rows += [base[: size * share // 100] for share in (78, 79, 80, 81, 82, 84)]
+            for changes in (size * 20 // 1000, size * 22 // 1000, size * 24 // 1000):
+                copy = list(base)
+                for at in rng.sample(range(size), changes):
+                    copy[at] = word()
+                rows.append(copy)
+    ids = rng.sample(range(10**6), len(rows))
+    made = [(i, " ".join(w)) for i, w in zip(ids, rows, strict=True)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for df, source in ((docs, made), (given, [tuple(r) for r in given.collect()])):
+        got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()}
+        assert got == {i for i, least in near_classes(source).items() if i == least}
+
+
+def test_prefixes_of_near_duplicates_share_enough():
+    near = corpus_pipeline.NEAR
+    assert (near.n, near.percent) == (5, 80)
+    for a in range(1, 400):
+        for b in range(a, a * 100 // 80 + 1):
+            common = next(c for c in range(a + 1) if 100 * c >= 80 * (a + b - c))
+            # The worst case: all that isn't shared comes first in both orders.
+            shared = min(near.index(a) - (a - common), near.probe(b) - (b - common))
+            assert min(common, shared) >= min(near.need(a), common)
