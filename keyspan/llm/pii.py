@@ -1,15 +1,18 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers found by patterns. A term (a run
-of at least four letters) near mentions of an entity discloses that entity as far as the corpus links the two:
+of at least three letters, or of two in a script without cases and spaces, outside of e-mail addresses) discloses an
+entity as far as the corpus links the two:
 
     IC(e)            = ln(N / df(e))                      information content of the entity
     PMI(e; t)        = ln(N * df(e, t) / (df(e) * df(t))) what the term tells about it
     disclosure(e; t) = PMI(e; t) / IC(e)                  1: the term occurs with the entity only
 
-df(e) and df(t) count documents, over the whole corpus; df(e, t) counts different texts in which t stands within
-`window` characters of a mention of e, so that copies of one text are no evidence. Pairs need `min_support` texts.
-From `generalise_at` on a term near a mention is replaced by a class word, from `remove_at` on it is removed.
+N and all df count different texts, so that copies of one text change no score. df(e, t) counts texts that hold both,
+wherever they stand. Pairs need `min_support` texts. As df(e, t) is at most df(e), a pair can only reach the limit if
+ln(N / df(t)) >= `generalise_at` * IC(e); terms more frequent than that are not paired with the entity, which loses
+none. From `generalise_at` on a term is replaced by a class word, from `remove_at` on it is removed, at all its places
+in all texts, copies included, that name the entity.
 
 Defined cases: a NULL or empty text has no spans. Repeated rows give equal results, one for each row. Input columns
 that have the name of an output column are replaced. A document without a mention is never changed.
@@ -19,10 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import settled, without
+from keyspan.llm.common import settled, small_broadcast, without
 
 # The order of kinds and their patterns. Possessive quantifiers give the same matches as greedy ones
 # here and keep the matcher from recursing on very long runs; the look-behinds skip starts inside a run, from which
@@ -34,18 +37,18 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM_PATTERN = r"\p{L}{4,}+"
+TERM_PATTERN = r"\p{L}{3,}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2}+"
 GENERALISED = "<TERM>"
 
 BLOCK = 256
-SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
+PLACE = "struct<term:string,start:int,end:int>"
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """Parameters of the disclosure test."""
 
-    window: int = 48
     min_support: int = 3
     generalise_at: float = 0.7
     remove_at: float = 0.9
@@ -88,27 +91,18 @@ def _needed(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
 
 
-def _spans(kind: str, gaps: Column, found: Column, window: int) -> Column:
+def _spans(kind: str, gaps: Column, found: Column) -> Column:
     """Spans of the valid matches: their places follow from the lengths of the gaps between matches."""
     n = F.size(found)
 
     def step(acc: Column, row: Column) -> Column:
         start = acc["at"] + F.length(row["0"])
         end = start + F.length(row["1"])
-        # A word that the window cuts is left out.
-        left = F.when(
-            F.length(row["0"]) > window, F.regexp_replace(row["0"].substr(-window, window), r"^\p{L}++", "")
-        ).otherwise(row["0"])
-        right = F.when(
-            F.length(row["2"]) > window, F.regexp_replace(row["2"].substr(1, window), r"\p{L}++$", "")
-        ).otherwise(row["2"])
         span = F.struct(
             F.lit(kind).alias("kind"),
             start.alias("start"),
             end.alias("end"),
             row["1"].alias("value"),
-            left.alias("left"),
-            right.alias("right"),
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
@@ -116,9 +110,7 @@ def _spans(kind: str, gaps: Column, found: Column, window: int) -> Column:
     def block(acc: Column, first: Column) -> Column:
         begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
         length = F.least(F.lit(BLOCK), n - first + 1)
-        rows = F.arrays_zip(
-            F.slice(gaps, first, length), F.slice(found, first, length), F.slice(gaps, first + 1, length)
-        )
+        rows = F.arrays_zip(F.slice(gaps, first, length), F.slice(found, first, length))
         inner = F.aggregate(rows, begin, step)
         valid = F.filter(inner["out"], lambda s: _valid(kind, s["value"]))
         return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(valid)).alias("out"))
@@ -127,8 +119,8 @@ def _spans(kind: str, gaps: Column, found: Column, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["out"]))
 
 
-def with_base_spans(docs: DataFrame, window: int = Disclosure.window) -> DataFrame:
-    """`docs` and `base`: array of the spans that the patterns find, by kind and then start, with their contexts."""
+def with_base_spans(docs: DataFrame) -> DataFrame:
+    """`docs` and `base`: array of the spans that the patterns find, by kind and then start."""
     kept = without(docs, ["base"])
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = [F.col(f"`{name}`") for name in kept.columns]
@@ -138,29 +130,32 @@ def with_base_spans(docs: DataFrame, window: int = Disclosure.window) -> DataFra
         parts.append(F.when(needed, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"_found_{kind}"))
     none = F.array().cast(f"array<{SPAN}>")
     spans = [
-        F.when(F.size(F.col(f"_found_{k}")) > 0, _spans(k, F.col(f"_gaps_{k}"), F.col(f"_found_{k}"), window)).otherwise(
-            none
-        )
+        F.when(F.size(F.col(f"_found_{k}")) > 0, _spans(k, F.col(f"_gaps_{k}"), F.col(f"_found_{k}"))).otherwise(none)
         for k in KINDS
     ]
     base = F.concat(*spans)
     return kept.select(*parts).select(*(F.col(f"`{name}`") for name in kept.columns), base.alias("base"))
 
 
-def _keys(df: DataFrame) -> DataFrame:
-    """Two keys of the row's id and text, so that equal rows, and only these, share both; and one of the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        df.withColumn("_k1", F.xxhash64("doc_id", text))
-        .withColumn("_k2", F.xxhash64(text, "doc_id", F.lit("second")))
-        .withColumn("_text_key", F.xxhash64(text))
-    )
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _without_emails(text: Column) -> Column:
+    """The text with blanks in place of e-mail addresses, which alone of all kinds hold letters; of the same length."""
+    pattern = PATTERNS["email"]
+    rows = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    blanked = F.transform(rows, lambda r: F.concat(r["0"], F.repeat(F.lit(" "), F.coalesce(F.length(r["1"]), F.lit(0)))))
+    return F.when(_needed("email", text), F.array_join(blanked, "")).otherwise(text)
 
 
-def mentions_of(docs: DataFrame, window: int = Disclosure.window) -> DataFrame:
-    """For each row of `docs`: doc_id, row keys and base spans. Settled: a narrow table."""
-    narrow = _keys(docs.select("doc_id", "text"))
-    return settled(with_base_spans(narrow, window).drop("text"))
+def mentions_of(docs: DataFrame) -> DataFrame:
+    """For each row of `docs`: doc_id, key of the text, base spans, and the text without e-mail addresses if there are
+    any spans. Settled: a narrow table where few texts name an entity."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = with_base_spans(docs.select("doc_id", "text"))
+    rest = F.when(F.size("base") > 0, _without_emails(text))
+    return settled(spans.select("doc_id", _text_key().alias("_text_key"), "base", rest.alias("rest")))
 
 
 def _entity(span: Column) -> Column:
@@ -171,114 +166,114 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], F.coalesce(value, span["value"]))
 
 
-def _terms(mentions: DataFrame) -> DataFrame:
-    """Occurrences of terms near mentions: row keys, entity, term, start, end."""
-    sides = (
-        mentions.select("_k1", "_k2", "_text_key", F.explode("base").alias("span"))
-        .withColumn("entity", _entity(F.col("span")))
-        .select(
-            "_k1",
-            "_k2",
-            "_text_key",
-            "entity",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.col("span.left").alias("near"),
-                        (F.col("span.start") - F.length("span.left")).alias("at"),
-                    ),
-                    F.struct(F.col("span.right").alias("near"), F.col("span.end").alias("at")),
-                )
-            ).alias("side"),
-        )
-        .select("_k1", "_k2", "_text_key", "entity", "side.near", "side.at")
-        .withColumn("gaps", F.split("near", TERM_PATTERN, -1))
-        .withColumn("found", F.regexp_extract_all("near", F.lit(TERM_PATTERN), F.lit(0)))
-    )
-    rows = F.arrays_zip(F.slice("gaps", 1, F.size("found")), F.col("found"))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
+
+
+def _places(gaps: Column, found: Column) -> Column:
+    """Terms with their starts and ends, in blocks as in `_spans`."""
+    n = F.size(found)
 
     def step(acc: Column, row: Column) -> Column:
         start = acc["at"] + F.length(row["0"])
-        end = start + F.length(row["found"])
-        one = F.struct(F.lower(row["found"]).alias("term"), start.alias("start"), end.alias("end"))
+        end = start + F.length(row["1"])
+        one = F.struct(F.lower(row["1"]).alias("term"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    begin = F.struct(
-        F.col("at").alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out")
-    )
-    placed = F.aggregate(rows, begin, step, lambda acc: acc["out"])
-    return sides.select("_k1", "_k2", "_text_key", "entity", F.explode(placed).alias("t")).select(
-        "_k1", "_k2", "_text_key", "entity", "t.term", "t.start", "t.end"
+    def block(acc: Column, first: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{PLACE}>").alias("out"))
+        length = F.least(F.lit(BLOCK), n - first + 1)
+        inner = F.aggregate(F.arrays_zip(F.slice(gaps, first, length), F.slice(found, first, length)), begin, step)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{PLACE}>>").alias("out"))
+    placed = F.aggregate(F.sequence(F.lit(1), n, F.lit(BLOCK)), start, block, lambda acc: F.flatten(acc["out"]))
+    return F.when(n > 0, placed)
+
+
+def naming_texts(mentions: DataFrame) -> DataFrame:
+    """Different texts that name an entity: key, entities, and places of terms. Settled."""
+    texts = mentions.where(F.col("rest").isNotNull()).dropDuplicates(["_text_key"])
+    split = texts.select(
+        "_text_key",
+        F.array_distinct(F.transform("base", _entity)).alias("entities"),
+        F.split("rest", TERM_PATTERN, -1).alias("_gaps"),
+        F.regexp_extract_all("rest", F.lit(TERM_PATTERN), F.lit(0)).alias("_found"),
     )
+    return settled(split.select("_text_key", "entities", _places(F.col("_gaps"), F.col("_found")).alias("places")))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, texts: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     """Pairs (entity, term) whose disclosure reaches `generalise_at`, with the scores and the action."""
-    terms = _terms(mentions)
-    total = mentions.count()
+    total = mentions.select("_text_key").distinct().count()
+    n = F.lit(float(max(total, 1)))
+    content = F.log(n / F.col("df_e"))
+    named = texts.select("_text_key", F.explode("entities").alias("entity"))
+    entities = settled(
+        named.groupBy("entity")
+        .agg(F.count("*").alias("df_e"))
+        .where((F.col("df_e") >= params.min_support) & (content > 0))
+    )
+    most = entities.agg(F.max("df_e")).first()[0] or 0
+    # Only texts of an entity that can be linked, and only terms that can be linked to one.
+    named = named.join(small_broadcast(entities), "entity")
+    can_reach = F.log(n / F.col("df_t")) >= params.generalise_at * F.log(n / F.lit(float(max(most, 1)))) - 1e-9
+    text = F.coalesce(F.col("text"), F.lit(""))
+    different = docs.select(_text_key().alias("_text_key"), _words(_without_emails(text)).alias("words")).dropDuplicates(["_text_key"])
+    frequencies = (
+        different.select(F.explode("words").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df_t"))
+        .where((F.col("df_t") >= params.min_support) & can_reach)
+    )
+    terms = (
+        texts.join(named.select("_text_key").distinct(), "_text_key", "left_semi")
+        .select("_text_key", F.explode(F.array_distinct(F.transform("places", lambda p: p["term"]))).alias("term"))
+        .join(frequencies, "term")
+    )
     pairs = (
-        terms.select("entity", "term", "_text_key")
-        .distinct()
-        .groupBy("entity", "term")
+        terms.join(named, "_text_key")
+        .where(F.log(n / F.col("df_t")) >= params.generalise_at * content - 1e-9)
+        .groupBy("entity", "term", "df_e", "df_t")
         .agg(F.count("*").alias("df_et"))
         .where(F.col("df_et") >= params.min_support)
     )
-    entities = (
-        mentions.select("_k1", F.explode("base").alias("span"))
-        .select("_k1", _entity(F.col("span")).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count_distinct("_k1").alias("df_e"))
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_PATTERN), F.lit(0)))
-    frequencies = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    content = F.log(F.lit(float(max(total, 1))) / F.col("df_e"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     return (
-        pairs.join(entities, "entity")
-        .join(frequencies, "term")
-        .where(content > 0)
-        .withColumn("disclosure", pmi / content)
+        pairs.withColumn("disclosure", F.log(n * F.col("df_et") / (F.col("df_e") * F.col("df_t"))) / content)
         .where(F.col("disclosure") >= params.generalise_at)
         .withColumn("action", F.when(F.col("disclosure") >= params.remove_at, "remove").otherwise("generalise"))
     )
 
 
-def term_spans(mentions: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Spans of disclosing terms by row (_k1, _k2): array of start, end and action, outside of base spans, by start."""
-    hits = (
-        _terms(mentions)
-        .join(flagged.select("entity", "term", "action"), ["entity", "term"])
-        .groupBy("_k1", "_k2", "start", "end")
+def term_spans(texts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Spans of disclosing terms by text key: array of start, end and action, by start. Base spans hold no terms."""
+    actions = (
+        texts.select("_text_key", F.explode("entities").alias("entity"))
+        .join(flagged.select("entity", "term", "action"), "entity")
+        .groupBy("_text_key", "term")
         .agg(F.max("action").alias("action"))  # "remove" comes after "generalise"
     )
-    # All spans of a row meet by its key: no more than its text is long.
-    base = (
-        mentions.join(hits.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi")
-        .select("_k1", "_k2", F.explode("base").alias("s"))
-        .select("_k1", "_k2", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(None).cast("string").alias("action"))
-        .distinct()
-    )
-    both = hits.unionByName(base)
-    order = Window.partitionBy("_k1", "_k2").orderBy("start", "end", "action")
-    protected = F.when(F.col("action").isNull(), F.struct("start", "end"))
-    before = F.max(protected["end"]).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(protected["start"]).over(order.rowsBetween(1, Window.unboundedFollowing))
     return (
-        both.withColumn("before", before)
-        .withColumn("after", after)
-        .where(F.col("action").isNotNull())
-        .where(F.coalesce(F.col("before"), F.lit(0)) <= F.col("start"))
-        .where(F.col("after").isNull() | (F.col("after") >= F.col("end")))
-        .groupBy("_k1", "_k2")
+        texts.select("_text_key", F.explode("places").alias("p"))
+        .select("_text_key", "p.term", "p.start", "p.end")
+        .join(actions, ["_text_key", "term"])
+        .groupBy("_text_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
 
 
+def _found(docs: DataFrame, params: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """Mentions, and the spans of disclosing terms, to be joined by the text's key."""
+    mentions = mentions_of(docs)
+    texts = naming_texts(mentions)
+    flagged = settled(disclosing_terms(docs, mentions, texts, params))
+    return mentions, small_broadcast(settled(term_spans(texts, flagged)))
+
+
 def find_personal_data(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, `base` (spans of the patterns) and `terms` (spans of disclosing terms) for each row of `docs`."""
-    mentions = mentions_of(docs, params.window)
-    flagged = settled(disclosing_terms(docs, mentions, params))
-    found = mentions.join(term_spans(mentions, flagged), ["_k1", "_k2"], "left")
+    mentions, terms = _found(docs, params)
+    found = mentions.join(terms, "_text_key", "left")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     return found.select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
@@ -288,10 +283,8 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
 
     `n_chars`, if there, becomes the new length. A NULL text stays NULL.
     """
-    mentions = mentions_of(docs, params.window)
-    flagged = settled(disclosing_terms(docs, mentions, params))
-    terms = settled(term_spans(mentions, flagged))
-    keyed = _keys(with_base_spans(docs, params.window)).drop("_text_key")
+    _, terms = _found(docs, params)
+    keyed = with_base_spans(docs).withColumn("_text_key", _text_key())
     label = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
     pieces = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("as"))),
@@ -323,7 +316,7 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
         lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))),
     )
     sanitised = (
-        keyed.join(terms, ["_k1", "_k2"], "left")
+        keyed.join(terms, "_text_key", "left")
         .withColumn("_pieces", pieces)
         .withColumn("text", F.when(F.size("_pieces") > 0, rebuilt).otherwise(text))
     )

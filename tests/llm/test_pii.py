@@ -99,3 +99,26 @@ def test_very_long_runs_take_linear_time(spark):
     texts = ["x" * 2_000_000, "1" * 2_000_000, "1 " * 1_000_000, "+" * 1_000_000, "1." * 500_000 + " q@w.example"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.n_email for r in pii.personal_data_digest(df).collect()}[4] == 1
+
+
+def test_copies_change_no_score(spark):
+    linked = [(i, f"nr{i} words here Zarquonia reach me at who@where.example thanks nr{i}") for i in range(5)]
+    linked += [(1000 + i, linked[0][1]) for i in range(300)]
+    other = [(5000 + i, f"plain text number {i} with thanks and words here and reach") for i in range(200)]
+    other += [(9000 + i, other[0][1]) for i in range(300)]
+    df = spark.createDataFrame(linked + other, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(clean[i] == f"nr{i} words here  reach me at <EMAIL> thanks nr{i}" for i in range(5))
+    assert all(clean[1000 + i] == clean[0] for i in range(300))
+    assert all(clean[i] == t for i, t in other)
+
+
+def test_terms_at_all_places_of_the_text(spark):
+    filler = "plain text number and words here with thanks " * 20
+    linked = [(i, f"Ada 李明 Zarquonia {i} {filler} ada, zarquonia {filler} who@where.example Ada") for i in range(5)]
+    other = [(100 + i, f"{i} {filler}") for i in range(200)]
+    df = spark.createDataFrame(linked + other + [(999, "Zarquonia alone")], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i in range(5):
+        assert clean[i] == f"   {i} {filler} ,  {filler} <EMAIL> "
+    assert clean[999] == "Zarquonia alone" and clean[100] == other[0][1]
