@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyspan.llm import bpe, chat, html_wrapper, mixing, ngram_jaccard, nn_descent, pii, quality_rules, substring_dedup, warc
+from keyspan.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    hard_negatives,
+    html_wrapper,
+    mixing,
+    ngram_jaccard,
+    nn_descent,
+    pii,
+    quality_rules,
+    spelling,
+    substring_dedup,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +78,18 @@ def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_sanitise": op1_sanitise,
@@ -76,6 +102,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_warc_archives": op8_warc_archives,
         "op9_chat_format": op9_chat_format,
         "op10_html_wrapper": op10_html_wrapper,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_exact_dedup": op12_exact_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -145,7 +174,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+    SELECT a.vec_id AS anchor, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (
+    SELECT p.anchor AS anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score,
+        s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other)::INTEGER AS rank
+    FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same
+        AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT * FROM n WHERE rank <= 10
+"""
+
 
 def llm_oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express; the others are tested against brute-force versions."""
-    return {"op3_substring_dedup": OP3_SQL, "op7_ngram_jaccard": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {
+        "op3_substring_dedup": OP3_SQL,
+        "op7_ngram_jaccard": OP7_SQL,
+        "op9_chat_format": OP9_SQL,
+        "op12_exact_dedup": OP12_SQL,
+        "op13_hard_negatives": OP13_SQL,
+    }
