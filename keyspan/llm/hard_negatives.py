@@ -49,6 +49,7 @@ class Mining:
     high: int = 90
     scale: int = 256
     columns_at_once: int = 8
+    task_rows: int = 4_096
     block_bytes: int = 8_000_000
     chunk_bytes: int = 4_000_000
 
@@ -256,9 +257,9 @@ def hard_negatives(vectors: DataFrame, anchors: Column, params: Mining = Mining(
     `vectors` has vec_id, label and vector, an array of numbers; `anchors` is a condition on them.
     """
     spark = vectors.sparkSession
-    # Even parts of a number that the session sets; adaptive execution would merge small tables into one task.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = settled(_usable(vectors).repartition(parts, "vec_id"))
+    # Even parts; a task returns its best rows of every anchor, so it should not hold too few to choose from.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // params.task_rows))
+    rows = settled(_usable(vectors).repartition(max(1, parts)))
     asked = with_rank(rows.where(anchors), "vec_id")
     count, dims = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     at_once = max(1, params.chunk_bytes // (8 * max(dims or 1, 1)))

@@ -46,7 +46,7 @@ def random_rows(seed, n, dims, labels, step):
 @pytest.mark.parametrize("seed, n, dims, labels, step", [(1, 120, 7, 2, 0.05), (2, 90, 20, 4, 0.01), (3, 60, 1, 2, 1.0)])
 def test_random_rows_with_ties(spark, seed, n, dims, labels, step):
     rows = random_rows(seed, n, dims, labels, step)
-    small = Mining(columns_at_once=2, block_bytes=1000, chunk_bytes=8 * dims * 4)
+    small = Mining(columns_at_once=2, task_rows=20, block_bytes=1000, chunk_bytes=8 * dims * 4)
     assert mined(spark, rows, small) == expected(rows, lambda i: i % 10 == 0)
 
 
