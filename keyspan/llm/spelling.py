@@ -7,7 +7,7 @@ letters is compared at last.
 
 1. Runs of letters are counted in each task in a table of bounded size, then combined by Spark.
 2. The upper levels of one k-d tree over lengths and letter counts deal the words to leaves. They are fitted to a bounded
-   sample (`sample` words of smallest hash); every word is dealt. A leaf whose words the tree cannot tell apart is cut
+   sample (about `sample` words, those of small hash); every word is dealt. A leaf whose words the tree cannot tell apart is cut
    by hash: words of equal counts are never near.
 3. A word goes to its own leaf, and as a query to all leaves whose boxes its range touches.
 4. A leaf's words become one k-d tree for each length; queries pass it in batches, cut by the boxes of its nodes. Pairs in
@@ -51,7 +51,7 @@ class Spelling:
     letters: int = 7
     occurrences: int = 2
     ratio: int = 10
-    sample: int = 32_768
+    sample: int = 16_384
     leaf_words: int = 2_000
     leaves: int = 1_024
     bucket: int = 24
@@ -213,25 +213,23 @@ def leaves_of(tree: Split | Leaf, points: np.ndarray, kind: int) -> Iterator[tup
         todo.append((node.right, rows[right], (more - (over <= 0))[right], less[right]))
 
 
-def _sample(words: DataFrame, params: Spelling) -> np.ndarray:
-    """Vectors of the `sample` words of smallest hash."""
+def _sample(words: DataFrame, total: int, params: Spelling) -> np.ndarray:
+    """Vectors of about `sample` of the `total` words, those of small hash."""
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = _with_length(batch.column("word").to_pylist()).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word_hash"), pa.array([p.tobytes() for p in points], pa.binary())], ["word_hash", "vector"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in points], pa.binary())], ["vector"])
 
-    hashed = words.select(F.xxhash64("word").alias("word_hash"), "word").mapInArrow(vectors, "word_hash bigint, vector binary")
-    found = hashed.orderBy("word_hash", "vector").limit(params.sample).collect()
+    share = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) * F.lit(total) < F.lit(params.sample << 30)
+    found = words.where(share).select("word").mapInArrow(vectors, "vector binary").collect()
     return np.frombuffer(b"".join(r.vector for r in found), np.int32).reshape(-1, len(LETTERS) + 1)
 
 
 def _dealt(words: DataFrame, params: Spelling) -> tuple[DataFrame, int]:
     """leaf, kind, word, n: every word as an item of one leaf and as a query of all that it may have near words in."""
     total = words.count()
-    sample = _sample(words, params)
+    sample = _sample(words, total, params)
     per_leaf = max(params.leaf_words, total / params.leaves)
     tree, leaves = upper_tree(sample, len(sample) * per_leaf / max(total, 1))
 
