@@ -52,9 +52,9 @@ class Spelling:
     occurrences: int = 2
     ratio: int = 10
     sample: int = 16_384
-    leaf_words: int = 2_000
+    leaf_words: int = 6_000
     leaves: int = 1_024
-    bucket: int = 24
+    bucket: int = 128
     counted_bytes: int = 32_000_000
 
 
@@ -268,6 +268,9 @@ class Tree:
         points = letter_counts(words)
         self.used = np.flatnonzero(points.any(axis=0))
         self.points = points[:, self.used]
+        # Sums of squares of counts are exact in these.
+        self.exact = self.points.astype(np.float32 if len(words[0]) < 2_000 else np.float64)
+        self.squares = np.square(self.exact).sum(axis=1)
         self.codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
         self.root = self._grow(np.arange(len(words)), params.bucket)
 
@@ -291,7 +294,9 @@ class Tree:
     def in_range(self, points: np.ndarray, takes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, word): exactly one letter more and `takes` letters less."""
         missing = points.sum(axis=1, dtype=np.int64)
+        squares = np.square(points, dtype=self.exact.dtype).sum(axis=1)
         points = points[:, self.used]
+        exact = points.astype(self.exact.dtype)
         # Letters that no word here has must be taken.
         missing = missing - points.sum(axis=1, dtype=np.int64)
         todo = [(self.root, np.arange(len(points)))]
@@ -306,17 +311,14 @@ class Tree:
             if children is not None:
                 todo += [(child, asked) for child in children]
                 continue
-            for begin in range(0, len(rows), 256):
-                some = rows[begin : begin + 256]
-                step = max(1, 4_000_000 // (len(some) * max(1, len(self.used))))
-                for first in range(0, len(asked), step):
-                    own = asked[first : first + step]
-                    steps = self.points[some][None] - points[own][:, None]
-                    more = np.maximum(steps, 0).sum(axis=2)
-                    less = more - steps.sum(axis=2) + missing[own][:, None]
-                    a, b = np.nonzero((more == 1) & (less == takes))
-                    if len(a):
-                        yield own[a], some[b]
+            # One letter more and `takes` less: so many squared steps in all, as the lengths are given.
+            step = max(1, 2_000_000 // len(rows))
+            for begin in range(0, len(asked), step):
+                own = asked[begin : begin + step]
+                apart = self.squares[rows] + squares[own][:, None] - 2 * (exact[own] @ self.exact[rows].T)
+                a, b = np.nonzero(apart == 1 + takes)
+                if len(a):
+                    yield own[a], rows[b]
 
 
 def replaced_once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
