@@ -68,6 +68,9 @@ class AnalysisConfig:
     clustered: bool = False
     # Per-recording statistics are broadcast only up to this many recordings (about 5 MB).
     broadcast_groups: int = 100_000
+    # How often the range of a quantile is narrowed before its values are counted: once serves groups of some
+    # billion values, each further time 300 times as many.
+    quantile_rounds: int = 1
     # Folders of a written series of very many entities.
     series_buckets: int = 32
 

@@ -16,7 +16,7 @@ from keyspan.config import (
     AnalysisConfig,
 )
 from keyspan.functions.expressions import category_of, is_fixation, is_saccade, metric, ratio, with_category_order
-from keyspan.functions.quantiles import counted_quantiles, value_counts
+from keyspan.functions.quantiles import exact_quantiles
 from keyspan.operators.align import distinct_values
 from keyspan.operators.sequence import unified_sequence
 
@@ -158,10 +158,11 @@ def entity_lists(rows: DataFrame) -> DataFrame:
     return distinct_values(rows, "Participant", "Recording")
 
 
-def mean_median(rows: DataFrame, keys: Sequence[str], cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """MeanMetric, exact MedianMetric and N per group, all from one table of value counts."""
-    counts = value_counts(rows, keys, F.col("Metric"))
-    found = counted_quantiles(counts, keys, {"MedianMetric": 0.5})
+def mean_median(
+    rows: DataFrame, keys: Sequence[str], cfg: AnalysisConfig = DEFAULT, few_groups: bool = False
+) -> DataFrame:
+    """MeanMetric, exact MedianMetric and N per group."""
+    found = exact_quantiles(rows, keys, F.col("Metric"), {"MedianMetric": 0.5}, cfg.quantile_rounds, few_groups)
     mean = ratio(F.col("_sum"), F.col("_n")).alias("MeanMetric")
     profile = found.select(*keys, mean, "MedianMetric", F.col("_n").alias("N"))
     return with_category_order(profile, cfg.four_categories)
@@ -172,7 +173,8 @@ def mean_median_per_recording(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) ->
 
 
 def mean_median_overall(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return mean_median(rows, FOUR_GROUP_KEYS, cfg)
+    # No more groups than categories, two event types and the configured positions make.
+    return mean_median(rows, FOUR_GROUP_KEYS, cfg, few_groups=True)
 
 
 def points_of(points: DataFrame, event_type: str) -> DataFrame:
@@ -188,6 +190,8 @@ def stat_series(profile: DataFrame, event_type: str | None = None, stat: str | N
         raise ValueError(f"unknown statistic {unknown}; choose from {list(STATISTICS)}")
     rows = profile if event_type is None else points_of(profile, event_type)
     if "Recording" in rows.columns:
-        rows = rows.filter(F.col("Recording").isNotNull())  # a series is drawn for a recording
+        # A series is drawn for a recording. The condition names N as well, so that it stays above the aggregation
+        # and all passes over the rows share one shuffle.
+        rows = rows.filter(F.when(F.col("N") >= 0, F.col("Recording")).isNotNull())
     ids = [name for name in profile.columns if name not in STATISTICS]
     return rows.unpivot(ids, chosen, "Stat", "Value")

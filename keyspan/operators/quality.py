@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keyspan.config import DEFAULT, AnalysisConfig
 from keyspan.functions.expressions import is_fixation, is_other_type, is_saccade, ratio
-from keyspan.functions.quantiles import counted_quantiles, value_counts
+from keyspan.functions.quantiles import exact_quantiles
 from keyspan.functions.skew import attach, attach_uneven
 
 INFINITE = float("inf")
 
 
-def numeric_summary(df: DataFrame, value: Column) -> DataFrame:
-    """Minimum, quartiles, mean, maximum and NULL count of one column, exactly, from its value counts."""
-    found = counted_quantiles(value_counts(df, [], value), [], {"Q25": 0.25, "Median": 0.5, "Q75": 0.75})
+def numeric_summary(df: DataFrame, value: Column, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Minimum, quartiles, mean, maximum and NULL count of one column, exactly."""
+    quartiles = {"Q25": 0.25, "Median": 0.5, "Q75": 0.75}
+    found = exact_quantiles(df, [], value, quartiles, cfg.quantile_rounds, few_groups=True)
     return found.select(
         F.col("_min").alias("Min"),
         "Q25",
@@ -26,12 +27,12 @@ def numeric_summary(df: DataFrame, value: Column) -> DataFrame:
     )
 
 
-def fixation_duration_stats(final: DataFrame) -> DataFrame:
-    return numeric_summary(final.filter(is_fixation()), F.col("Duration"))
+def fixation_duration_stats(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    return numeric_summary(final.filter(is_fixation()), F.col("Duration"), cfg)
 
 
-def saccade_amplitude_stats(final: DataFrame) -> DataFrame:
-    return numeric_summary(final.filter(is_saccade()), F.col("Saccade_amplitude"))
+def saccade_amplitude_stats(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    return numeric_summary(final.filter(is_saccade()), F.col("Saccade_amplitude"), cfg)
 
 
 def implausible_counts(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -97,8 +97,8 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "write_profile_series": written_participant_series,
     "write_recording_series": written_recording_series,
     # Data quality
-    "fixation_duration_stats": lambda a: quality.fixation_duration_stats(a.final),
-    "saccade_amplitude_stats": lambda a: quality.saccade_amplitude_stats(a.final),
+    "fixation_duration_stats": lambda a: quality.fixation_duration_stats(a.final, a.cfg),
+    "saccade_amplitude_stats": lambda a: quality.saccade_amplitude_stats(a.final, a.cfg),
     "implausible_counts": lambda a: quality.implausible_counts(a.final, a.cfg),
     "fixation_histogram": lambda a: quality.fixation_histogram(a.final, a.cfg),
     "saccade_histogram": lambda a: quality.saccade_histogram(a.final, a.cfg),
@@ -124,12 +124,16 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
 
 # The same operators where nearly every user and interval counts as hot, or there are too many recordings to broadcast.
 ALL_HOT, MANY_RECORDINGS = AnalysisConfig(hot_rows=40), AnalysisConfig(broadcast_groups=2)
+# As for groups of very many values: ranges of quantiles are narrowed again.
+NARROWED = AnalysisConfig(quantile_rounds=2)
 SKEWED: dict[str, tuple[str, AnalysisConfig]] = {
     "gaze_split": ("gaze", ALL_HOT),
     "aligned_events_split": ("aligned_events", ALL_HOT),
     "sequenced_events_split": ("sequenced_events", ALL_HOT),
     "min_group_size_split": ("min_group_size", ALL_HOT),
     "outlier_filtered_uneven": ("outlier_filtered", MANY_RECORDINGS),
+    "fixation_duration_stats_narrowed": ("fixation_duration_stats", NARROWED),
+    "mean_median_overall_narrowed": ("mean_median_overall", NARROWED),
 }
 
 

@@ -1,13 +1,15 @@
 """Skew-safe ranking and joins, exact quantiles."""
 
+import math
 import random
 
 import numpy as np
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from keyspan.functions import skew
-from keyspan.functions.quantiles import counted_quantiles, value_counts
+from keyspan.functions.quantiles import exact_quantiles
 
 
 def test_row_numbers_with_hot_keys_and_ties(spark):
@@ -40,17 +42,63 @@ def test_any_number_of_keys_may_be_hot(spark, monkeypatch):
     assert out.filter(F.col("n") != F.floor(F.col("id") / 12_000) + 1).isEmpty()
 
 
-def test_quantile_tasks_are_even_for_real_values_in_a_narrow_range(spark, monkeypatch):
-    from keyspan.functions import quantiles
+def test_ranges_of_quantiles_become_narrow(spark):
+    """Of real values, in a narrow range beside huge ones, few are left to be sorted."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 50 == 0, F.rand(2) * 1e200).otherwise(F.rand(1) * 3).alias("v"))
+    for rounds, most in ((1, 2_000), (2, 60)):
+        found = exact_quantiles(df, [], F.col("v"), {"m": 0.5}, rounds, few_groups=True)
+        plan = executed(found)
+        assert 0 < rows_sorted(found) <= most, plan
+    values = sorted(row.v for row in df.collect())
+    assert found.first()["m"] == (values[99_999] + values[100_000]) / 2
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_sorted(df):
+    """Rows that the window of picked positions reads."""
+    plan = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage"):
+            todo.append(node.plan() if "Stage" in node.nodeName() else node.finalPhysicalPlan())
+        if node.nodeName().startswith("Exchange") and "_count" in node.output().toString():
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+    return max(found, default=0)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3])
+def test_quantiles_at_every_position(spark, rounds):
+    """All ranks of small groups, heavy ties and infinities, whatever the number of rounds."""
+    rnd = random.Random(rounds)
+    data = [("few", float(i)) for i in range(7)] + [("tied", rnd.choice([1.0, 1.0, 1.0, 2.0])) for _ in range(500)]
+    data += [("wide", rnd.choice([-1, 1]) * 10.0 ** rnd.randint(-200, 200)) for _ in range(700)]
+    data += [(None, rnd.gauss(0, 1)) for _ in range(3_000)] + [("ends", v) for v in (-float("inf"), 0.0, float("inf"))]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    wanted = {"q0": 0.0, "q1": 0.07, "q8": 0.5, "q15": 0.93, "q16": 1.0}
+    found = {row.k: row for row in exact_quantiles(df, ["k"], F.col("v"), wanted, rounds, few_groups=rounds % 2 == 0).collect()}
+    for key in ("few", "tied", "wide", None):
+        values = sorted(v for k, v in data if k == key)
+        for name, probability in wanted.items():
+            place = (len(values) - 1) * probability
+            low, high = values[math.floor(place)], values[math.ceil(place)]
+            assert found[key][name] == (low if low == high else low + (place - math.floor(place)) * (high - low)), (key, name)
+    assert (found["ends"]["q0"], found["ends"]["q8"], found["ends"]["q16"]) == (-float("inf"), 0.0, float("inf"))
 
-    seen = []
-    real = quantiles.checkpointed
-    monkeypatch.setattr(quantiles, "checkpointed", lambda df: seen.append(real(df)) or seen[-1])
-    df = spark.range(200_000).select((F.rand(1) * 3).alias("v"))
-    row = counted_quantiles(value_counts(df, [], F.col("v")), [], {"m": 0.5}).first()
-    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
-    assert max(sizes) < 3 * sum(sizes) / len(sizes) and len(sizes) >= 6
-    assert abs(row["m"] - 1.5) < 0.02
+
+def test_quantiles_start_no_job(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("k"))
+    spark.sparkContext.setJobGroup("quantiles", "built only")
+    try:
+        exact_quantiles(df, ["k"], F.col("v"), {"m": 0.5}, rounds=2)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_a_hot_group_is_spread_over_partitions(spark, monkeypatch):
@@ -89,7 +137,7 @@ def test_quantiles_of_groups(spark):
     data += [("one", 7.25), ("two", 1.0), ("two", 2.0), ("none", None), ("inf", float("inf"))]
     df = spark.createDataFrame(data, "k string, v double")
     wanted = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q99": 0.99}
-    found = counted_quantiles(value_counts(df, ["k"], F.col("v")), ["k"], wanted).collect()
+    found = exact_quantiles(df, ["k"], F.col("v"), wanted).collect()
     by_key = {row.k: row for row in found}
     assert set(by_key) == {"a", "b", None, "one", "two", "none", "inf"}
     none = by_key.pop("none")
@@ -108,7 +156,7 @@ def test_quantiles_of_groups(spark):
 
 def test_quantiles_of_everything(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
-    row = counted_quantiles(value_counts(df, [], F.col("v")), [], {"m": 0.5, "q": 0.333}).first()
+    row = exact_quantiles(df, [], F.col("v"), {"m": 0.5, "q": 0.333}).first()
     assert (row["m"], row["_n"], row["_sum"]) == (50.0, 101, 5050.0)
     assert np.isclose(row["q"], 33.3)
 
