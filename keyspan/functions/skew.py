@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from keyspan.functions.expressions import null_safe
 
 
-# A table is broadcast by a hint only if it has been counted and is not longer than this.
-BROADCAST_ROWS = 100_000
+# Keys treated as hot at once. Lists of them, with a row or a few for each, are short enough to be broadcast. A key that
+# has no place among so many larger ones holds at most a 10,000th of all rows and is left to the ordinary path.
+HOT_KEYS = 10_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,33 +33,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a checkpointed table is short enough to be broadcast."""
-    return table.limit(limit + 1).count() <= limit
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, total: int | None = None) -> DataFrame | None:
+    """The largest keys with more than ``hot_rows`` rows, checkpointed; None if there are none.
 
-
-def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of each key as ``_rows``, checkpointed.
-
-    The counts are combined before the shuffle, so a hot key costs no more than any other here.
-    """
-    return checkpointed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-
-
-def hot_keys(sizes: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """All keys of ``sizes`` with more than ``hot_rows`` rows; None if there are none.
-
-    There cannot be more of them than rows divided by ``hot_rows``.
+    A table that has no more rows in all (``total``, counted if unknown, which reads no column) has no hot key. Else
+    rows are counted by key with a combine before the shuffle, so a hot key costs no more than any other here.
     """
-    hot = sizes.filter(F.col("_rows") > hot_rows).select(*keys)
+    if (df.count() if total is None else total) <= hot_rows:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = checkpointed(sizes.orderBy(F.col("_rows").desc(), *keys).limit(HOT_KEYS).select(*keys))
     return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys). A short list of hot keys is broadcast, a long one shuffled."""
-    listed = hot.select(*[F.col(key).alias("_hot_" + key) for key in keys])
-    if fits_broadcast(listed):
-        listed = F.broadcast(listed)
+    """(rows of ordinary keys, rows of hot keys) for a list of hot keys of bounded length."""
+    listed = F.broadcast(hot.select(*[F.col(key).alias("_hot_" + key) for key in keys]))
     condition = null_safe(keys, "_hot_")
     return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
 
@@ -100,7 +90,8 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     Rows are range-partitioned by (keys, order), so one group spreads over many partitions. The rank is
     the rank inside the partition plus the group's rows in earlier partitions. The order must be unique
     inside a group. The partitioned rows are checkpointed because both halves must see the same
-    partitions, also after an executor is lost.
+    partitions, also after an executor is lost. There are no more offsets than partitions and hot keys with their
+    few subgroups together, so they are broadcast.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.repartitionByRange(partitions, *[F.col(key).asc() for key in keys], *order)
@@ -108,7 +99,7 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     place = [*keys, "_part"]
     # One row per (group, partition): no more than partitions plus groups.
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = checkpointed(
+    offsets = (
         placed.groupBy(*place)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
@@ -116,17 +107,17 @@ def ranked_hot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
     )
     local = ranked(placed, place, order, "_local")
     return (
-        attach(local, offsets, place, small=fits_broadcast(offsets))
+        attach(local, offsets, place, small=True)
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_local", "_offset", "_part")
     )
 
 
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, hot_rows: int, total: int | None = None
 ) -> DataFrame:
     """Row number within ``keys``: windowed for ordinary keys, range-partitioned for hot ones."""
-    hot = hot_keys(key_sizes(df, keys), keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows, total)
     ordinary, large = (df, None) if hot is None else split_hot(df, keys, hot)
     numbered = ranked(ordinary, keys, order, out).withColumn(out, F.col(out).cast("long"))
     return numbered if large is None else numbered.unionByName(ranked_hot(large, keys, order, out))

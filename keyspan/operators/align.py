@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, LABEL_KEYS, AnalysisConfig
-from keyspan.functions.skew import attach, checkpointed, fits_broadcast
+from keyspan.functions.skew import attach
 
 KEY_COLUMNS = ("KeyEventStart", "KeyEventStop", "KeyEventType")
 
@@ -84,11 +84,9 @@ def attach_key_event_hot(gaze: DataFrame, cfg: AnalysisConfig = DEFAULT) -> Data
     """As :func:`attach_key_event` for hot intervals, whose rows must not meet in one task.
 
     The key events are aggregated with a combine before the shuffle. There are no more of them than hot
-    intervals; they are counted, and broadcast if few. They are checkpointed because the hot rows are
-    passed over several times.
+    intervals, whose number is bounded, so they are broadcast.
     """
-    events = checkpointed(key_event_per_interval(gaze, cfg))
-    return attach(gaze, events, INTERVAL_KEYS, small=fits_broadcast(events))
+    return attach(gaze, key_event_per_interval(gaze, cfg), INTERVAL_KEYS, small=True)
 
 
 def intervals_with_key_event(keyed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, LABEL_KEYS, AnalysisConfig
 from keyspan.functions.expressions import is_fixation, is_saccade
-from keyspan.functions.skew import attach, checkpointed, fits_broadcast, ranked, ranked_hot
+from keyspan.functions.skew import attach, ranked, ranked_hot
 
 KEY, BEFORE, AFTER = "key", "before", "after"
 SEQUENCE_KEYS = (*LABEL_KEYS, "Event_type", "_side")
@@ -49,12 +49,9 @@ def sequence_events(aligned: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFr
 
 
 def sequence_events_hot(aligned: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """As :func:`sequence_events` for hot intervals; only rows that need a rank are range-partitioned."""
+    """As :func:`sequence_events` for hot intervals, whose rows are range-partitioned and stored once."""
     placed = aligned.withColumn("_side", side())
-    needs_rank = F.coalesce((is_fixation() | is_saccade()) & F.col("_side").isin(BEFORE, AFTER), F.lit(False))
-    counted = ranked_hot(placed.filter(needs_rank), SEQUENCE_KEYS, _outwards(), "_rank")
-    others = placed.filter(~needs_rank).withColumn("_rank", F.lit(None).cast("long"))
-    numbered = _numbered(counted.unionByName(others), F.col("_rank"))
+    numbered = _numbered(ranked_hot(placed, SEQUENCE_KEYS, _outwards(), "_rank"), F.col("_rank"))
     return numbered.select(*aligned.columns, "FixationSequence", "SaccadeSequence")
 
 
@@ -68,13 +65,12 @@ def with_group_size(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
 
 
 def with_group_size_hot(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """As :func:`with_group_size` for hot intervals: sizes are aggregated, and broadcast if few.
+    """As :func:`with_group_size` for hot intervals: sizes are aggregated and broadcast.
 
-    There are at most ten relevant labels per hot interval. The sizes are checkpointed because the hot rows
-    are passed over several times.
+    There are at most ten relevant labels per hot interval, and the number of those is bounded.
     """
-    sizes = checkpointed(df.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows")))
-    return attach(df, sizes, LABEL_KEYS, small=fits_broadcast(sizes))
+    sizes = df.groupBy(*LABEL_KEYS).agg(F.count(F.lit(1)).alias("GroupRows"))
+    return attach(df, sizes, LABEL_KEYS, small=True)
 
 
 def large_groups(sized: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

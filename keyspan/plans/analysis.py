@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, AnalysisConfig
-from keyspan.functions.skew import checkpointed, hot_keys, key_sizes, split_hot
+from keyspan.functions.skew import checkpointed, hot_keys, split_hot
 from keyspan.operators import align, profiles, quality, sequence
 
 # Rows of ordinary intervals, and those of hot intervals if there are any.
@@ -19,27 +19,31 @@ Operator = Callable[[DataFrame, AnalysisConfig], DataFrame]
 class Analysis:
     """Lazily built stage tables of one gaze table.
 
-    Intervals are counted once, for those that are hot (more than ``cfg.hot_rows`` rows) and for the number
-    of recordings. Without any hot one, every stage is one plan with one shuffle by interval. With some, their rows take a second path
-    that never gathers an interval in one task, and the two results are unioned.
+    Rows are counted first. Only if there are more than ``cfg.hot_rows`` of them, rows per interval are counted for
+    those that are hot (more than ``cfg.hot_rows`` rows each). Without any hot one, every stage is one plan with one
+    shuffle by interval. With some, their rows take a second path that never gathers an interval in one task, and the
+    two results are unioned.
     """
 
-    def __init__(self, gaze: DataFrame, cfg: AnalysisConfig = DEFAULT):
+    def __init__(self, gaze: DataFrame, cfg: AnalysisConfig = DEFAULT, n_rows: int | None = None):
         self.gaze = gaze
         self.cfg = cfg
+        if n_rows is not None:  # known to the caller
+            self.n_rows = n_rows
 
     @cached_property
-    def interval_sizes(self) -> DataFrame:
-        return key_sizes(self.gaze, INTERVAL_KEYS)
+    def n_rows(self) -> int:
+        return self.gaze.count()
 
     @cached_property
     def hot_intervals(self) -> DataFrame | None:
-        return hot_keys(self.interval_sizes, INTERVAL_KEYS, self.cfg.hot_rows)
+        return hot_keys(self.gaze, INTERVAL_KEYS, self.cfg.hot_rows, self.n_rows)
 
     @cached_property
     def n_recordings(self) -> int:
-        """Number of recordings, counted no further than the broadcast limit needs."""
-        return self.interval_sizes.select("Recording").distinct().limit(self.cfg.broadcast_groups + 1).count()
+        """Recordings, counted no further than the broadcast limit needs; a table within it has no more than rows."""
+        limit = self.cfg.broadcast_groups
+        return self.n_rows if self.n_rows <= limit else self.gaze.select("Recording").distinct().limit(limit + 1).count()
 
     @cached_property
     def _keyed(self) -> Parts:
@@ -52,14 +56,15 @@ class Analysis:
     def _aligned(self) -> Parts:
         return self._step(self._keyed, align.align_keyed, align.align_keyed)
 
-    @cached_property
-    def _sized(self) -> Parts:
-        # Numbering keeps every row, so the groups can be sized first, while the rows are at hand.
-        return self._step(self._aligned, sequence.with_group_size, sequence.with_group_size_hot)
-
     @cached_property
     def _sequenced(self) -> Parts:
-        return self._step(self._sized, sequence.sequence_events, sequence.sequence_events_hot)
+        cold, hot = self._aligned
+        # Numbering keeps every row, so groups can be sized first, while their rows are at hand. Hot rows are stored
+        # for numbering, and sized from there.
+        numbered = sequence.sequence_events(sequence.with_group_size(cold, self.cfg), self.cfg)
+        if hot is None:
+            return numbered, None
+        return numbered, sequence.with_group_size_hot(sequence.sequence_events_hot(hot, self.cfg), self.cfg)
 
     def _step(self, parts: Parts, ordinary: Operator, for_hot: Operator) -> Parts:
         cold, hot = parts
@@ -92,7 +97,7 @@ class Analysis:
         and needs no shuffle by interval of its own.
         """
         copy = Analysis(self.gaze, self.cfg)
-        copy.interval_sizes = self.interval_sizes
+        copy.n_rows = self.n_rows
         copy.hot_intervals = self.hot_intervals
         copy._sequenced = (checkpointed(_union(self._sequenced)), None)
         return copy

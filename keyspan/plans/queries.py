@@ -18,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def analysis_of(spark: SparkSession, sf_dir: str, cfg: AnalysisConfig = DEFAULT) -> Analysis:
     """The plans for one folder as it is now."""
-    return Analysis(gaze_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), cfg), cfg)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # The gaze table has one row for each event.
+    n_rows = events.count()
+    return Analysis(gaze_from_events(events, cfg, n_rows), cfg, n_rows)
 
 
 def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int | None) -> DataFrame:

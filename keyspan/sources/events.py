@@ -15,14 +15,18 @@ LABEL_CYCLE = (
 )
 
 
-def gaze_from_events(events: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Read each user's events as gaze events: 26 rows per label, two labels per interval."""
+def gaze_from_events(events: DataFrame, cfg: AnalysisConfig = DEFAULT, n_rows: int | None = None) -> DataFrame:
+    """Read each user's events as gaze events: 26 rows per label, two labels per interval.
+
+    ``n_rows`` is the number of events, if it is known.
+    """
     numbered = row_numbers(
         events.select("event_id", "user_id", "event_type", "value"),
         ["user_id"],
         [F.col("event_id").asc()],
         "_rn",
         cfg.hot_rows,
+        n_rows,
     )
     chunked = numbered.withColumn("_chunk", F.floor((F.col("_rn") - 1) / ROWS_PER_LABEL).cast("int")).withColumn(
         "_dur", F.lit(60) + F.floor(F.col("value") * 8)

@@ -27,19 +27,28 @@ def test_row_numbers_with_hot_keys_and_ties(spark):
 def test_hot_keys_are_the_largest(spark):
     data = [("a",)] * 5 + [("b",)] * 9 + [(None,)] * 7 + [("c",)] * 2
     df = spark.createDataFrame(data, "k string")
-    sizes = skew.key_sizes(df, ["k"])
-    assert skew.hot_keys(sizes, ["k"], 9) is None
-    assert rows(skew.hot_keys(sizes, ["k"], 4), "k") == [("a",), ("b",), (None,)]
-    assert rows(skew.hot_keys(sizes, ["k"], 6), "k") == [("b",), (None,)]
+    assert skew.hot_keys(df, ["k"], 9) is None
+    assert rows(skew.hot_keys(df, ["k"], 4), "k") == [("a",), ("b",), (None,)]
+    assert rows(skew.hot_keys(df, ["k"], 6), "k") == [("b",), (None,)]
 
 
 def test_any_number_of_keys_may_be_hot(spark, monkeypatch):
-    # Far more hot keys than may be broadcast: all take the split path, by shuffles.
-    monkeypatch.setattr(skew, "fits_broadcast", lambda table, limit=100: table.limit(limit + 1).count() <= limit)
+    # Far more hot keys than are taken at once: the largest take the split path, the others the ordinary one.
     df = spark.range(40_000).select((F.col("id") % 12_000).alias("k"), "id")
-    out = skew.row_numbers(df, ["k"], [F.col("id").asc()], "n", hot_rows=2)
-    assert out.count() == 40_000
-    assert out.filter(F.col("n") != F.floor(F.col("id") / 12_000) + 1).isEmpty()
+    for most in (100, 10_000, 20_000):
+        monkeypatch.setattr(skew, "HOT_KEYS", most)
+        assert skew.hot_keys(df, ["k"], 2).count() == min(most, 12_000)
+        out = skew.row_numbers(df, ["k"], [F.col("id").asc()], "n", hot_rows=2)
+        assert out.count() == 40_000
+        assert out.filter(F.col("n") != F.floor(F.col("id") / 12_000) + 1).isEmpty()
+
+
+def test_a_small_table_is_counted_and_no_more(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert skew.hot_keys(df, ["k"], 1000) is None
+    new = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert len(new) <= 2
 
 
 def test_ranges_of_quantiles_become_narrow(spark):
