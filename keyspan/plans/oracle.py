@@ -291,6 +291,14 @@ def _usual_oracle_sql() -> dict[str, str]:
     gaze, keyed, aligned, seqd, final = (GAZE,), TO_KEYED, TO_ALIGNED, TO_SEQD, TO_FINAL
     return {
         "gaze": _sql(gaze, "SELECT * FROM gaze"),
+        "row_id_report": _sql(
+            gaze,
+            """
+SELECT (SELECT count(*) FROM gaze) AS Rows, (SELECT count(*) FROM gaze WHERE RowId IS NULL) AS N_Null,
+       count(*) AS N_Repeated, min(RowId) AS FirstRepeated
+FROM (SELECT RowId FROM gaze GROUP BY RowId HAVING count(*) > 1 AND RowId IS NOT NULL)""",
+        ),
+        "input_order": "SELECT row_number() OVER () - 1 AS RowId, event_id FROM events",
         "key_event_per_label": _sql(keyed, "SELECT * FROM label_key"),
         "key_event_per_interval": _sql(keyed, "SELECT * FROM interval_key"),
         "intervals_with_key_event": _sql(keyed, "SELECT * FROM keyed"),

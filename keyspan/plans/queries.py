@@ -12,6 +12,7 @@ from keyspan.functions.skew import checkpoint_folder
 from keyspan.operators import align, keyrow, profiles, quality, sequence, summarize
 from keyspan.plans.analysis import Analysis
 from keyspan.sources.events import gaze_from_events
+from keyspan.sources.gaze import row_id_report, with_input_order
 from keyspan.sources.sinks import write_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,7 @@ def written_recording_series(a: Analysis) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "gaze": lambda a: a.gaze,
+    "row_id_report": lambda a: row_id_report(a.gaze),
     # Alignment
     "key_event_per_label": lambda a: align.key_event_per_label(a.gaze, a.cfg),
     "key_event_per_interval": lambda a: align.key_event_per_interval(a.gaze, a.cfg),
@@ -144,6 +146,13 @@ def _bind(operator: Callable[[Analysis], DataFrame], cfg: AnalysisConfig = DEFAU
     return lambda spark, sf_dir: operator(analysis_of(spark, sf_dir, cfg))
 
 
+def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored order of the events, as the row numbers of a table that has none."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return with_input_order(events).select("RowId", "event_id")
+
+
 def all_queries() -> dict[str, Query]:
     usual = {name: _bind(operator) for name, operator in OPERATORS.items()}
+    usual["input_order"] = input_order
     return usual | {name: _bind(OPERATORS[of], cfg) for name, (of, cfg) in SKEWED.items()}

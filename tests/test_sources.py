@@ -10,7 +10,7 @@ from keyspan.config import AnalysisConfig
 from keyspan.operators import align, quality, sequence
 from keyspan.plans.queries import analysis_of
 from keyspan.sources.events import gaze_from_events
-from keyspan.sources.gaze import as_gaze, gaze_from_pandas, load_gaze
+from keyspan.sources.gaze import GAZE_SCHEMA, as_gaze, gaze_from_pandas, load_gaze, require_row_ids, row_id_report, with_input_order
 from keyspan.sources.sinks import write_profile_series
 
 
@@ -113,3 +113,86 @@ def test_series_output(spark, tmp_path, buckets):
     assert len(folders) == 5 if buckets is None else len(folders) <= buckets
     for folder in folders:
         assert len([f for f in os.listdir(os.path.join(path, folder)) if f.endswith(".parquet")]) == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in many splits."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def frames_without_ids():
+    """Tables of several files, one of them empty, with rows that repeat."""
+    sizes = (700, 0, 1, 450)
+    return [
+        pd.DataFrame(
+            {
+                "Recording": [f"R{n}"] * size, "Participant": ["P1"] * size, "TOI": ["FPEn", "PEn"] * (size // 2) + ["EA"] * (size % 2),
+                "Interval": pd.array([i % 3 for i in range(size)], "int32"), "Event_type": ["Fixation"] * size,
+                "Validity": ["Whole"] * size, "Start": [float(i // 2) for i in range(size)],
+                "Stop": [float(i // 2 + 9) for i in range(size)], "Duration": [9.0] * size, "Saccade_amplitude": [0.5] * size,
+            }
+        )
+        for n, size in enumerate(sizes)
+    ]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_rows_are_numbered_in_input_order(spark, tmp_path, small_splits, fmt):
+    frames = frames_without_ids()
+    for n, frame in enumerate(frames):
+        file = tmp_path / f"part-{n}.{fmt}"
+        if fmt == "parquet":
+            frame.to_parquet(file, row_group_size=40)
+        elif fmt == "csv":
+            frame.to_csv(file, index=False)
+        else:
+            frame.to_json(file, orient="records", lines=True)
+    whole = pd.concat(frames, ignore_index=True)
+    schema = None if fmt == "parquet" else GAZE_SCHEMA.__class__([f for f in GAZE_SCHEMA if f.name != "RowId"])
+    loaded = load_gaze(spark, str(tmp_path), fmt, schema=schema, **({"header": "true"} if fmt == "csv" else {}))
+    names = ["Recording", "TOI", "Interval", "Start", "Stop"]
+    got = sorted(tuple(r) for r in loaded.select("RowId", *names).collect())
+    assert got == [(i, *row) for i, row in enumerate(whole[names].itertuples(index=False, name=None))]
+    assert loaded.rdd.getNumPartitions() > 1
+    assert require_row_ids(loaded) is loaded
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_first_follows_the_input_order(spark, tmp_path):
+    """Of two events that cover the anchor the one that is stored first is the key event."""
+    frame = pd.concat([f.assign(Interval=pd.array([1] * len(f), "int32")) for f in frames_without_ids()[2:3]])
+    first = frame.assign(TOI="PEn", Start=4990.0, Stop=5001.0)
+    second = frame.assign(TOI="PEn", Start=4800.0, Stop=5300.0)
+    first.to_parquet(tmp_path / "a.parquet")
+    second.to_parquet(tmp_path / "b.parquet")
+    keys = align.key_event_per_interval(load_gaze(spark, str(tmp_path)))
+    assert rows(keys, "KeyEventStart", "KeyEventStop") == [(4990.0, 5001.0)]
+
+
+def test_missing_and_repeated_ids_are_refused(spark, tmp_path, table):
+    good = [r.asDict() for r in table.collect()]
+    schema = GAZE_SCHEMA.__class__([f.__class__(f.name, f.dataType, True) for f in GAZE_SCHEMA])
+    bad = [g | {"RowId": i} for i in (7, 7, None, None, 3, 9, 9, 9) for g in good[:1]]
+    spark.createDataFrame(bad, schema).write.parquet(str(tmp_path / "bad"))
+    assert rows(row_id_report(spark.read.parquet(str(tmp_path / "bad"))), "Rows", "N_Null", "N_Repeated", "FirstRepeated") == [(8, 2, 2, 7)]
+    assert load_gaze(spark, str(tmp_path / "bad")).count() == 8
+    with pytest.raises(ValueError, match="2 rows without it, 2 repeated ids .the smallest: 7"):
+        load_gaze(spark, str(tmp_path / "bad"), check_ids=True)
+    table.write.parquet(str(tmp_path / "good"))
+    assert load_gaze(spark, str(tmp_path / "good"), check_ids=True).count() == 2
+    empty = row_id_report(table.limit(0))
+    assert rows(empty, "Rows", "N_Null", "N_Repeated", "FirstRepeated") == [(0, 0, 0, None)]
+
+
+def test_numbering_many_files_joins_by_file(spark, tmp_path, monkeypatch):
+    from keyspan.sources import gaze as source
+
+    for n in range(6):
+        pd.DataFrame({"v": range(n * 10, n * 10 + n)}).to_parquet(tmp_path / f"{n}.parquet")
+    monkeypatch.setattr(source, "BROADCAST_FILES", 3)
+    numbered = with_input_order(spark.read.parquet(str(tmp_path)))
+    assert sorted(rows(numbered, "RowId", "v")) == list(enumerate(n * 10 + i for n in range(6) for i in range(n)))
