@@ -1,4 +1,8 @@
-"""Averages and counts per label, per participant, per family and overall."""
+"""Averages and counts per label, per participant, per family and overall.
+
+Every report is folded from one rollup: sums and counts per recording, participant, label and event type. A report
+takes the final rows, or their rollup, so that any number of reports needs one pass over the rows.
+"""
 
 from __future__ import annotations
 
@@ -23,20 +27,51 @@ PER_LABEL = ("Recording", "Participant", "TOI")
 PER_PARTICIPANT = ("Recording", "Participant")
 
 
-def fixation_summary_per_label(final: DataFrame) -> DataFrame:
-    return (
-        final.filter(is_fixation())
-        .groupBy(*PER_LABEL)
-        .agg(F.avg("Duration").alias("AvgFixationDuration"), F.count(F.lit(1)).alias("N_Fixations"))
+ROLLUP_KEYS = (*PER_LABEL, "Event_type")
+# Sums and counts of the measures, and rows; each can be added up.
+MERGEABLE = ("SumDuration", "N_Duration", "SumAmplitude", "N_Amplitude", "N_Rows")
+
+
+def rollup(final: DataFrame) -> DataFrame:
+    """Sums and counts by recording, participant, label and event type; a rollup is returned as it is.
+
+    A report of thousands of recordings has a few dozen rows for each of them here, whatever the number of events.
+    """
+    if set(MERGEABLE) <= set(final.columns):
+        return final
+    return final.groupBy(*ROLLUP_KEYS).agg(
+        F.sum("Duration").alias("SumDuration"),
+        F.count("Duration").alias("N_Duration"),
+        F.sum("Saccade_amplitude").alias("SumAmplitude"),
+        F.count("Saccade_amplitude").alias("N_Amplitude"),
+        F.count(F.lit(1)).alias("N_Rows"),
     )
 
 
+def avg_duration(where: Column | None = None) -> Column:
+    """Mean of the durations in the folded parts, or in those that meet a condition."""
+    total, count = F.col("SumDuration"), F.col("N_Duration")
+    return ratio(F.sum(total), F.sum(count)) if where is None else ratio(F.sum(F.when(where, total)), F.sum(F.when(where, count)))
+
+
+def avg_amplitude(where: Column | None = None) -> Column:
+    total, count = F.col("SumAmplitude"), F.col("N_Amplitude")
+    return ratio(F.sum(total), F.sum(count)) if where is None else ratio(F.sum(F.when(where, total)), F.sum(F.when(where, count)))
+
+
+def rows_of(where: Column) -> Column:
+    """Rows of the folded parts that meet a condition."""
+    return F.coalesce(F.sum(F.when(where, F.col("N_Rows"))), F.lit(0))
+
+
+def fixation_summary_per_label(final: DataFrame) -> DataFrame:
+    parts = rollup(final).filter(is_fixation())
+    return parts.groupBy(*PER_LABEL).agg(avg_duration().alias("AvgFixationDuration"), F.sum("N_Rows").alias("N_Fixations"))
+
+
 def saccade_summary_per_label(final: DataFrame) -> DataFrame:
-    return (
-        final.filter(is_saccade())
-        .groupBy(*PER_LABEL)
-        .agg(F.avg("Saccade_amplitude").alias("AvgSaccadeAmplitude"), F.count(F.lit(1)).alias("N_Saccades"))
-    )
+    parts = rollup(final).filter(is_saccade())
+    return parts.groupBy(*PER_LABEL).agg(avg_amplitude().alias("AvgSaccadeAmplitude"), F.sum("N_Rows").alias("N_Saccades"))
 
 
 def join_label_summaries(fixations: DataFrame, saccades: DataFrame) -> DataFrame:
@@ -53,12 +88,11 @@ def summary_per_label(final: DataFrame) -> DataFrame:
     Both come from one table, so one conditional aggregation replaces two scans and a join. A label
     without fixations (or saccades) has NULL there, not 0, and a label with neither has no row.
     """
-    fixations, saccades = F.count_if(is_fixation()), F.count_if(is_saccade())
-    both = final.groupBy(*PER_LABEL).agg(
-        F.avg(F.when(is_fixation(), F.col("Duration"))).alias("AvgFixationDuration"),
-        F.nullif(fixations, F.lit(0)).alias("N_Fixations"),
-        F.avg(F.when(is_saccade(), F.col("Saccade_amplitude"))).alias("AvgSaccadeAmplitude"),
-        F.nullif(saccades, F.lit(0)).alias("N_Saccades"),
+    both = rollup(final).groupBy(*PER_LABEL).agg(
+        avg_duration(is_fixation()).alias("AvgFixationDuration"),
+        F.sum(F.when(is_fixation(), F.col("N_Rows"))).alias("N_Fixations"),
+        avg_amplitude(is_saccade()).alias("AvgSaccadeAmplitude"),
+        F.sum(F.when(is_saccade(), F.col("N_Rows"))).alias("N_Saccades"),
     )
     return both.filter(F.col("N_Fixations").isNotNull() | F.col("N_Saccades").isNotNull())
 
@@ -68,18 +102,18 @@ def summary_per_label_first_rows(final: DataFrame, n: int = 50) -> DataFrame:
     return first_rows(summary_per_label(final), n, *PER_LABEL)
 
 
-def fix_and_sacc(df: DataFrame, keys: Iterable[str], suffix: str = "") -> DataFrame:
-    """Both averages and counts per group in one pass. Rows without an event type are not counted."""
-    return df.groupBy(*keys).agg(
-        F.avg(F.when(is_fixation(), F.col("Duration"))).alias("AvgFixDuration" + suffix),
-        F.count_if(is_fixation()).alias("N_Fix" + suffix),
-        F.avg(F.when(is_saccade(), F.col("Saccade_amplitude"))).alias("AvgSaccAmplitude" + suffix),
-        F.count_if(is_saccade()).alias("N_Sacc" + suffix),
+def fix_and_sacc(parts: DataFrame, keys: Iterable[str], suffix: str = "") -> DataFrame:
+    """Both averages and counts per group of a rollup. Rows without an event type are not counted."""
+    return parts.groupBy(*keys).agg(
+        avg_duration(is_fixation()).alias("AvgFixDuration" + suffix),
+        rows_of(is_fixation()).alias("N_Fix" + suffix),
+        avg_amplitude(is_saccade()).alias("AvgSaccAmplitude" + suffix),
+        rows_of(is_saccade()).alias("N_Sacc" + suffix),
     )
 
 
 def labels_per_participant(final: DataFrame, labels: Iterable[str], suffix: str = "") -> DataFrame:
-    return fix_and_sacc(final.filter(F.col("TOI").isin(*labels)), PER_PARTICIPANT, suffix)
+    return fix_and_sacc(rollup(final).filter(F.col("TOI").isin(*labels)), PER_PARTICIPANT, suffix)
 
 
 def combined_fpen_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
@@ -93,7 +127,7 @@ def combined_pen_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> Dat
 def before_after_summary(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Before labels against after labels, per recording and participant, sorted."""
     windows = {BEFORE_EVENT: (cfg.ea, *cfg.before_labels), AFTER_EVENT: cfg.after_labels}
-    grouped = final.withColumn("TimeWindowGroup", category_of(windows))
+    grouped = rollup(final).withColumn("TimeWindowGroup", category_of(windows))
     keys = (*PER_PARTICIPANT, "TimeWindowGroup")
     summary = fix_and_sacc(grouped.filter(F.col("TimeWindowGroup").isNotNull()), keys)
     return summary.orderBy(*nulls_last(keys))
@@ -115,34 +149,22 @@ def fpet_pet_per_participant(final: DataFrame, cfg: AnalysisConfig = DEFAULT) ->
     return labels_per_participant(final, (cfg.fpet, cfg.pet))
 
 
-def event_type_metrics(df: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """AvgDuration for fixations, AvgAmplitude for saccades and N, by ``keys`` and event type.
-
-    ``df`` holds partial sums from :func:`label_partials`.
-    """
-    return df.groupBy(*keys, "Event_type").agg(
-        F.when(is_fixation(), ratio(F.sum("_dur"), F.sum("_n_dur"))).alias("AvgDuration"),
-        F.when(is_saccade(), ratio(F.sum("_amp"), F.sum("_n_amp"))).alias("AvgAmplitude"),
-        F.sum("_n").alias("N"),
-    )
-
-
-def label_partials(final: DataFrame) -> DataFrame:
-    """Sums and counts by label and event type: a few rows, from which any category is combined."""
-    return final.groupBy("TOI", "Event_type").agg(
-        F.sum("Duration").alias("_dur"),
-        F.count("Duration").alias("_n_dur"),
-        F.sum("Saccade_amplitude").alias("_amp"),
-        F.count("Saccade_amplitude").alias("_n_amp"),
-        F.count(F.lit(1)).alias("_n"),
+def event_type_metrics(parts: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """AvgDuration for fixations, AvgAmplitude for saccades and N, by ``keys`` and event type of a rollup."""
+    return parts.groupBy(*keys, "Event_type").agg(
+        F.when(is_fixation(), avg_duration()).alias("AvgDuration"),
+        F.when(is_saccade(), avg_amplitude()).alias("AvgAmplitude"),
+        F.sum("N_Rows").alias("N"),
     )
 
 
 def category_metrics(final: DataFrame, categories: Mapping[str, Iterable[str]], column: str) -> DataFrame:
     """Metrics by category and event type from one pass, even where a label has several categories."""
-    labels = final.filter(F.col("TOI").isin(*sorted({label for group in categories.values() for label in group})))
-    spread = label_partials(labels).withColumn(column, F.explode(categories_of(categories)))
-    return event_type_metrics(spread, [column])
+    wanted = sorted({label for group in categories.values() for label in group})
+    parts = rollup(final).filter(F.col("TOI").isin(*wanted))
+    # First by label, so that a part is not multiplied by its categories.
+    labels = parts.groupBy("TOI", "Event_type").agg(*[F.sum(name).alias(name) for name in MERGEABLE])
+    return event_type_metrics(labels.withColumn(column, F.explode(categories_of(categories))), [column])
 
 
 def drop_empty_metrics(metrics: DataFrame) -> DataFrame:
@@ -182,7 +204,7 @@ def long_metrics(metrics: DataFrame) -> DataFrame:
 
 def overall_summary_long(final: DataFrame, condition: Column, label: str) -> DataFrame:
     """Long summary of the rows that meet a condition, under a label of the caller's choice."""
-    metrics = event_type_metrics(label_partials(final.filter(condition)), [])
+    metrics = event_type_metrics(rollup(final.filter(condition)), [])
     return long_metrics(metrics.withColumn("Category", F.lit(label)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from keyspan.config import DEFAULT, INTERVAL_KEYS, AnalysisConfig
 from keyspan.functions.skew import checkpointed, hot_keys, split_hot
-from keyspan.operators import align, profiles, quality, sequence
+from keyspan.operators import align, profiles, quality, sequence, summarize
 
 # Rows of ordinary intervals, and those of hot intervals if there are any.
 Parts = tuple[DataFrame, DataFrame | None]
@@ -90,6 +90,11 @@ class Analysis:
         """Numbered rows of the labels that have enough of them."""
         return sequence.large_groups(_union(self._sequenced), self.cfg)
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """Sums and counts from which every summary is folded, stored: one pass over the rows for all of them."""
+        return checkpointed(summarize.rollup(self.final))
+
     def stored(self) -> Analysis:
         """The same analysis with its numbered rows written to the checkpoint folder.
 

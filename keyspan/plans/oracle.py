@@ -6,7 +6,7 @@ sequences are counted per side.
 
 from __future__ import annotations
 
-from keyspan.plans.queries import SKEWED
+from keyspan.plans.queries import HARD, HARD_HOT, SKEWED
 
 GAZE = """
 ev AS (
@@ -284,9 +284,97 @@ SEQ0_PER_RECORDING = "SELECT Recording, avg(Duration) AS AvgDuration_Seq0, count
 def all_oracle_sql() -> dict[str, str]:
     """The SQL of every query; how rows are spread makes no difference to it."""
     usual = _usual_oracle_sql()
+    hard = _hard_oracle_sql(usual)
+    usual |= {f"hard_{name}": hard[name] for name in HARD} | {f"hard_{name}_split": hard[name] for name in HARD_HOT}
     return usual | {name: usual[of] for name, (of, _) in SKEWED.items()}
 
 
+# The table of hard cases. Its keys may be NULL, so that its stages are written with windows and null-safe conditions.
+HARD_GAZE = (
+    GAZE.replace("gaze AS (", "plain AS (")
+    + """, numbered AS (SELECT *, CAST(substr(Participant, 2) AS BIGINT) AS u FROM plain
+), gaze AS (
+  SELECT RowId,
+         CASE WHEN u % 3 = 0 THEN 'R0' WHEN u % 7 <> 1 THEN Recording END AS Recording,
+         CASE WHEN u % 3 = 0 THEN 'PX' WHEN u % 7 <> 2 THEN Participant END AS Participant,
+         TOI,
+         CASE WHEN u % 3 = 0 THEN 1 WHEN NOT (u % 5 = 1 AND "Interval" = 2) THEN "Interval" END AS "Interval",
+         Event_type, Validity,
+         CASE WHEN RowId % 31 = 5 THEN NULL WHEN RowId % 4 = 0 THEN floor("Start" / 512) * 512
+              ELSE "Start" + CAST(RowId % 8 AS DOUBLE) / 8 END AS "Start",
+         CASE WHEN RowId % 37 = 6 THEN NULL WHEN RowId % 4 = 0 THEN floor("Stop" / 512) * 512 + 512
+              ELSE "Stop" + CAST(RowId % 8 AS DOUBLE) / 8 END AS "Stop",
+         CASE WHEN RowId % 41 = 1 THEN NULL WHEN RowId % 997 = 7 THEN CAST('inf' AS DOUBLE)
+              ELSE Duration + CAST(RowId % 16 AS DOUBLE) / 16 END AS Duration,
+         CASE WHEN RowId % 43 <> 2 THEN Saccade_amplitude + CAST(RowId % 32 AS DOUBLE) / 1024 END AS Saccade_amplitude
+  FROM numbered
+)"""
+)
+
+HARD_KEYED = """
+covered AS (
+  SELECT Recording, Participant, "Interval", TOI, min(RowId) AS first_row,
+         min(RowId) FILTER (WHERE "Start" <= 5000 AND "Stop" > 5000) AS key_row
+  FROM gaze GROUP BY ALL
+), label_rows AS (
+  SELECT c.*, g."Start" AS KeyEventStart, g."Stop" AS KeyEventStop, g.Event_type AS KeyEventType
+  FROM covered c JOIN gaze g ON g.RowId = c.key_row
+), label_key AS (SELECT * EXCLUDE (first_row, key_row) FROM label_rows
+), interval_key AS (
+  SELECT Recording, Participant, "Interval", arg_min(KeyEventStart, first_row) AS KeyEventStart,
+         arg_min(KeyEventStop, first_row) AS KeyEventStop,
+         arg_min(KeyEventType, first_row) FILTER (WHERE KeyEventType IS NOT NULL) AS KeyEventType
+  FROM label_rows GROUP BY ALL
+), aligned AS (
+  SELECT g.*, k.KeyEventStart, k.KeyEventStop, k.KeyEventType
+  FROM gaze g JOIN interval_key k ON g.Recording IS NOT DISTINCT FROM k.Recording
+    AND g.Participant IS NOT DISTINCT FROM k.Participant AND g."Interval" IS NOT DISTINCT FROM k."Interval"
+  WHERE g.TOI IN (SELECT unnest(['FPEn', 'FPEn2', 'FPEn3', 'FPEn4', 'FPEt', 'PEn', 'PEn2', 'PEn3', 'PEn4', 'PEt']))
+    AND g.Validity = 'Whole'
+    AND CASE WHEN g.TOI LIKE 'F%' THEN g."Stop" <= k.KeyEventStop ELSE g."Start" >= k.KeyEventStart END
+), sided AS (
+  SELECT *, CASE WHEN "Start" = KeyEventStart AND "Stop" = KeyEventStop THEN 0
+                 WHEN "Stop" <= KeyEventStart THEN -1 WHEN "Start" > KeyEventStart THEN 1 END AS side
+  FROM aligned
+), ranked AS (
+  SELECT *, side * row_number() OVER (
+      PARTITION BY Recording, Participant, "Interval", TOI, Event_type, side
+      ORDER BY CASE WHEN side = -1 THEN -"Stop" ELSE "Start" END, "Start" NULLS LAST, RowId) AS seq
+  FROM sided
+), seqd AS (
+  SELECT * EXCLUDE (side, seq), CASE WHEN Event_type = 'Fixation' THEN seq END AS FixationSequence,
+         CASE WHEN Event_type = 'Saccade' THEN seq END AS SaccadeSequence
+  FROM ranked
+), final AS (
+  SELECT * FROM seqd QUALIFY count(*) OVER (PARTITION BY Recording, Participant, "Interval", TOI) >= 10
+)"""
+
+HARD_SUMMARY_PER_LABEL = """
+SELECT Recording, Participant, TOI, avg(Duration) FILTER (WHERE Event_type = 'Fixation') AS AvgFixationDuration,
+       nullif(count(*) FILTER (WHERE Event_type = 'Fixation'), 0) AS N_Fixations,
+       avg(Saccade_amplitude) FILTER (WHERE Event_type = 'Saccade') AS AvgSaccadeAmplitude,
+       nullif(count(*) FILTER (WHERE Event_type = 'Saccade'), 0) AS N_Saccades
+FROM final WHERE Event_type IN ('Fixation', 'Saccade') GROUP BY Recording, Participant, TOI"""
+
+
+def _hard_oracle_sql(usual: dict[str, str]) -> dict[str, str]:
+    """The SQL on the table of hard cases: its own stages, and the plain reports on top of them."""
+    stages = (HARD_GAZE, HARD_KEYED)
+    own = {
+        "gaze": "SELECT * FROM gaze",
+        "key_event_per_label": "SELECT * FROM label_key",
+        "key_event_per_interval": "SELECT * FROM interval_key",
+        "aligned_events": "SELECT * FROM aligned",
+        "sequenced_events": "SELECT * FROM seqd",
+        "min_group_size": "SELECT * FROM final",
+        "summary_per_label": HARD_SUMMARY_PER_LABEL,
+    }
+    # What follows the stages of a plain report reads the table `final` (or `seqd`) alone.
+    plain = "WITH" + ",".join(TO_FINAL) + "\n"
+    reports = {name: usual[name].removeprefix(plain) for name in HARD if name not in own}
+    return {name: _sql(stages, select) for name, select in (own | reports).items()}
+
+
 def _usual_oracle_sql() -> dict[str, str]:
     gaze, keyed, aligned, seqd, final = (GAZE,), TO_KEYED, TO_ALIGNED, TO_SEQD, TO_FINAL
     return {
@@ -349,6 +437,13 @@ UNION ALL SELECT 'sequenced', count(*) FROM seqd UNION ALL SELECT 'final', count
 SELECT 'sequenced' AS Stage, count(*) AS "Groups"
 FROM (SELECT DISTINCT Recording, Participant, TOI, "Interval" FROM seqd)
 UNION ALL SELECT 'final', count(*) FROM (SELECT DISTINCT Recording, Participant, TOI, "Interval" FROM final)""",
+        ),
+        "summary_rollup": _sql(
+            final,
+            """
+SELECT Recording, Participant, TOI, Event_type, sum(Duration) AS SumDuration, count(Duration) AS N_Duration,
+       sum(Saccade_amplitude) AS SumAmplitude, count(Saccade_amplitude) AS N_Amplitude, count(*) AS N_Rows
+FROM final GROUP BY ALL""",
         ),
         "fixation_summary_per_label": _sql(
             final,

@@ -13,6 +13,7 @@ from keyspan.operators import align, keyrow, profiles, quality, sequence, summar
 from keyspan.plans.analysis import Analysis
 from keyspan.sources.events import gaze_from_events
 from keyspan.sources.gaze import row_id_report, with_input_order
+from keyspan.sources.hard_events import hard_gaze_from_events
 from keyspan.sources.sinks import write_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,7 @@ OPERATORS: dict[str, Callable[[Analysis], DataFrame]] = {
     "stage_counts": lambda a: a.stage_counts(),
     "interval_counts": lambda a: a.interval_counts(),
     # Summaries
+    "summary_rollup": lambda a: summarize.rollup(a.final),
     "fixation_summary_per_label": lambda a: summarize.fixation_summary_per_label(a.final),
     "saccade_summary_per_label": lambda a: summarize.saccade_summary_per_label(a.final),
     "summary_per_label": lambda a: summarize.summary_per_label(a.final),
@@ -142,8 +144,38 @@ SKEWED: dict[str, tuple[str, AnalysisConfig]] = {
 }
 
 
-def _bind(operator: Callable[[Analysis], DataFrame], cfg: AnalysisConfig = DEFAULT) -> Query:
-    return lambda spark, sf_dir: operator(analysis_of(spark, sf_dir, cfg))
+# The same operators on the table of hard cases, each with its own SQL; its large interval is hot for the last ones.
+HARD = (
+    "gaze",
+    "key_event_per_label",
+    "key_event_per_interval",
+    "aligned_events",
+    "sequenced_events",
+    "min_group_size",
+    "interval_counts",
+    "summary_rollup",
+    "fixation_summary_per_label",
+    "summary_per_label",
+    "before_after_summary",
+    "combined_fpen_summary",
+    "overall_four_categories",
+    "implausible_counts",
+    "fixation_duration_stats",
+)
+HARD_HOT = ("aligned_events", "sequenced_events", "min_group_size")
+LARGE_HOT = AnalysisConfig(hot_rows=200)
+
+
+def hard_analysis_of(spark: SparkSession, sf_dir: str, cfg: AnalysisConfig = DEFAULT) -> Analysis:
+    """The plans for one folder's hard cases."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n_rows = events.count()
+    # Only intervals are to be hot here, not the users of the plain table.
+    return Analysis(hard_gaze_from_events(events, DEFAULT, n_rows), cfg, n_rows)
+
+
+def _bind(operator: Callable[[Analysis], DataFrame], cfg: AnalysisConfig = DEFAULT, source=analysis_of) -> Query:
+    return lambda spark, sf_dir: operator(source(spark, sf_dir, cfg))
 
 
 def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,4 +187,6 @@ def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     usual = {name: _bind(operator) for name, operator in OPERATORS.items()}
     usual["input_order"] = input_order
+    usual |= {f"hard_{name}": _bind(OPERATORS[name], source=hard_analysis_of) for name in HARD}
+    usual |= {f"hard_{name}_split": _bind(OPERATORS[name], LARGE_HOT, hard_analysis_of) for name in HARD_HOT}
     return usual | {name: _bind(OPERATORS[of], cfg) for name, (of, cfg) in SKEWED.items()}

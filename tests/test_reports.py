@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from helpers import event, gaze, rows
+from helpers import event, gaze, rows, same
 from pyspark.sql import functions as F
 
 from keyspan.config import AnalysisConfig
@@ -282,3 +282,23 @@ def test_a_missing_entity_gives_no_series(spark):
     series = profiles.stat_series(profiles.mean_median_per_recording(table))
     assert series.filter("Recording IS NULL").isEmpty()
     assert not profiles.profile_per_recording(table).filter("Recording IS NULL").isEmpty()
+
+
+def test_all_summaries_fold_from_one_stored_rollup(spark):
+    """Reports of the rollup equal those of the rows, and read nothing else."""
+    from keyspan.plans.queries import analysis_of
+
+    a = analysis_of(spark, "/root/testdata/sf0.001")
+    reports = [
+        summarize.fixation_summary_per_label, summarize.saccade_summary_per_label, summarize.summary_per_label,
+        summarize.combined_fpen_summary, summarize.combined_pen_summary, summarize.before_after_summary,
+        summarize.fpet_summary, summarize.pet_summary, summarize.overall_four_categories,
+        summarize.fpenx_penx_per_participant, summarize.fpenx_penx_overall, summarize.fpet_pet_per_participant,
+        summarize.fpet_pet_overall, summarize.all_overall_summaries,
+    ]
+    for report in reports:
+        folded = report(a.rollup)
+        same(folded, report(a.final))
+        assert "FileScan" not in folded._jdf.queryExecution().executedPlan().toString()
+    mine = summarize.overall_summary_long(a.rollup, F.col("TOI") == "FPEn", "mine")
+    same(mine, summarize.overall_summary_long(a.final, F.col("TOI") == "FPEn", "mine"))
