@@ -27,7 +27,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from keyspan.llm.common import without
+from keyspan.llm.common import give_back, without
 
 # Pieces above this many bytes take the query for long pieces.
 LONG_PIECE = 48
@@ -333,9 +333,18 @@ def _decoder(shared: Broadcast) -> Callable[[Batches], Iterator[pa.RecordBatch]]
     return decode
 
 
+# The broadcasts of an application, by its id, the rank file and the pattern.
+_SHARED: dict[tuple[str, str, str], Broadcast] = {}
+
+
 def _share(df: DataFrame, path: str, pattern: str) -> Broadcast:
-    # One vocabulary, whose size the tokenizer fixes; a worker keeps what it has made of it from task to task.
-    return df.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path), pattern))
+    # One vocabulary, whose size the tokenizer fixes; a worker keeps what it has made of it from task to task. Further
+    # calls share it, so that workers don't gather a copy for each of them.
+    context = df.sparkSession.sparkContext
+    key = (context.applicationId, path, pattern)
+    if key not in _SHARED:
+        _SHARED[key] = context.broadcast(Tokenizer(read_ranks(path), pattern))
+    return _SHARED[key]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -371,6 +380,7 @@ def encode_and_compare(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield from _compared(decode(encode(batches)))
         finally:
             shared.value.release()
+            give_back()
 
     return kept.mapInArrow(run, _schema(kept, "ids array<int>, round_trip boolean"))
 

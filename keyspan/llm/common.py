@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,12 @@ def word_count(text: Column) -> Column:
 def small_broadcast(df: DataFrame) -> DataFrame:
     """`df`, which must be settled, with a broadcast hint if it is short; else Spark joins it by shuffling."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def give_back() -> None:
+    """At the end of a task: what a Python worker has freed goes back to the system, for the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -57,3 +57,16 @@ def test_nulls_repeats_and_clashes(spark, library):
     )
     assert bpe.encoding_digest(docs, PATH, public_tokenizers.PATTERN).count() == 5
     assert bpe.encoding_digest(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_calls_share_one_vocabulary(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "one text"), (2, None)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    first = bpe._share(docs, path, public_tokenizers.PATTERN)
+    assert bpe._share(docs.limit(1), path, public_tokenizers.PATTERN) is first
+    assert bpe._share(docs, path, "[a-z]+") is not first
+    for _ in range(2):  # the second call finds workers that have given back what they had learnt
+        rows = bpe.encode_and_compare(docs, path, public_tokenizers.PATTERN).collect()
+        assert all(r.round_trip for r in rows) and len(rows) == 2
