@@ -39,6 +39,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*(F.col(f"`{name}`") for name in df.columns if name.lower() not in lowered))
 
 
+def neutral(docs: DataFrame, used: Iterable[str]) -> DataFrame:
+    """`docs` with all columns but the `used` ones named by their places, so that none clashes with an operator's own.
+
+    `toDF(*docs.columns)` gives the names back to a result with the same columns in the same order.
+    """
+    return docs.toDF(*(name if name in used else f"_column{place}" for place, name in enumerate(docs.columns)))
+
+
 def word_count(text: Column) -> Column:
     """Number of words (bigint); 0 for NULL."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -10,7 +10,7 @@ target exceeds `max_epochs` times its size, and what it can't take is shared amo
 
 Defined cases: a NULL text has size 0. Rows equal in id and text share one key; the words that a cut gives them are
 split evenly, rounded down. A source without words has target 0. No rows: no rows. Input columns with the name of an
-output column are replaced.
+output column are replaced by `mix_sources`; `mixed_documents` keeps columns of any name, but makes `n_chars` anew.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import BLANK_CLASS, WORD_PATTERN, settled, small_broadcast, word_count
+from keyspan.llm.common import BLANK_CLASS, WORD_PATTERN, neutral, settled, small_broadcast, word_count
 
 
 @dataclass(frozen=True)
@@ -155,8 +155,9 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             F.max(F.when(F.col("part") > 0, F.struct("key", "part"))).alias("cut"),
         )
     )
-    keyed = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
+    plain = neutral(docs, ("doc_id", "source", "text", "n_chars"))
+    keyed = plain.select(
+        *plain.columns,
         _source_key().alias("_src"),
         F.struct(
             F.xxhash64(F.lit("mix"), "doc_id", _text()).alias("a"), F.xxhash64(_text(), "doc_id").alias("b")
@@ -183,8 +184,8 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.lit(0),
     )
     out = joined.select(
-        *(F.col(f"`{c}`") for c in docs.columns if c != "text"), "text", "_words", F.explode(copies).alias("_whole")
+        *plain.columns, "_words", F.explode(copies).alias("_whole")
     ).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(begin))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -14,8 +14,8 @@ ln(N / df(t)) >= `generalise_at` * IC(e); terms more frequent than that are not
 none. From `generalise_at` on a term is replaced by a class word, from `remove_at` on it is removed, at all its places
 in all texts, copies included, that name the entity.
 
-Defined cases: a NULL or empty text has no spans. Repeated rows give equal results, one for each row. Input columns
-that have the name of an output column are replaced. A document without a mention is never changed.
+Defined cases: a NULL or empty text has no spans. Repeated rows give equal results, one for each row. Further
+columns of any name pass through `sanitise` as they are; `n_chars` is made anew. A document without a mention is never changed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import settled, small_broadcast, without
+from keyspan.llm.common import neutral, settled, small_broadcast, without
 
 # The order of kinds and their patterns. Possessive quantifiers give the same matches as greedy ones
 # here and keep the matcher from recursing on very long runs; the look-behinds skip starts inside a run, from which
@@ -167,7 +167,9 @@ def _entity(span: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
+    """Hashes of the text's different terms: a third of the terms' own size where they are shuffled."""
+    found = F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda term: F.xxhash64(F.lower(term))))
 
 
 def _places(gaps: Column, found: Column) -> Column:
@@ -193,7 +195,10 @@ def _places(gaps: Column, found: Column) -> Column:
 
 def naming_texts(mentions: DataFrame) -> DataFrame:
     """Different texts that name an entity: key, entities, and places of terms. Settled."""
-    texts = mentions.where(F.col("rest").isNotNull()).dropDuplicates(["_text_key"])
+    # A stated number of partitions: the places of terms are work, though their rows are small.
+    partitions = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    naming = mentions.where(F.col("rest").isNotNull()).select("_text_key", "base", "rest")
+    texts = naming.repartition(partitions, "_text_key").dropDuplicates(["_text_key"])
     split = texts.select(
         "_text_key",
         F.array_distinct(F.transform("base", _entity)).alias("entities"),
@@ -221,15 +226,17 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, texts: DataFrame, par
     text = F.coalesce(F.col("text"), F.lit(""))
     different = docs.select(_text_key().alias("_text_key"), _words(_without_emails(text)).alias("words")).dropDuplicates(["_text_key"])
     frequencies = (
-        different.select(F.explode("words").alias("term"))
-        .groupBy("term")
+        different.select(F.explode("words").alias("term_key"))
+        .groupBy("term_key")
         .agg(F.count("*").alias("df_t"))
         .where((F.col("df_t") >= params.min_support) & can_reach)
     )
     terms = (
         texts.join(named.select("_text_key").distinct(), "_text_key", "left_semi")
         .select("_text_key", F.explode(F.array_distinct(F.transform("places", lambda p: p["term"]))).alias("term"))
-        .join(frequencies, "term")
+        .withColumn("term_key", F.xxhash64("term"))
+        .join(frequencies, "term_key")
+        .drop("term_key")
     )
     pairs = (
         terms.join(named, "_text_key")
@@ -284,7 +291,8 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     `n_chars`, if there, becomes the new length. A NULL text stays NULL.
     """
     _, terms = _found(docs, params)
-    keyed = with_base_spans(docs).withColumn("_text_key", _text_key())
+    plain = neutral(docs, ("text", "n_chars"))
+    keyed = with_base_spans(plain).withColumn("_text_key", _text_key())
     label = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
     pieces = F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("as"))),
@@ -322,7 +330,7 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     )
     if "n_chars" in docs.columns:
         sanitised = sanitised.withColumn("n_chars", F.length("text").cast("long"))
-    return sanitised.select(*(F.col(f"`{name}`") for name in docs.columns))
+    return sanitised.select(*plain.columns).toDF(*docs.columns)
 
 
 def personal_data_digest(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:

@@ -13,7 +13,7 @@ A window of `window` words is removed from a document if the same words stand in
 4. A window that reaches over a branch is verified at its coordinates: its own hash is compared with those of all such
    windows. Copies of whole texts or passages have no branches inside, so few windows take this way.
 
-Hashes of windows have 128 bits. Defined cases: a NULL text has no words. Rows with one doc_id never remove words from
+Hashes of windows have 128 bits, from two independent hashes of words. Defined cases: a NULL text has no words. Rows with one doc_id never remove words from
 each other. A NULL doc_id neither removes nor loses words. Repeated rows give equal results. Further columns are ignored.
 """
 
@@ -40,7 +40,6 @@ class Repeats:
 
 
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4A7C15F39)
-SECOND = 0x5851F42D4C957F2D
 
 
 @dataclass(frozen=True)
@@ -178,7 +177,7 @@ def _verified(marked: DataFrame, repeats: Repeats) -> DataFrame:
     """For each row with windows over branches that repeat a smaller document's: where these windows begin."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, path in _paths((b.filter(b.column("marks").is_valid()) for b in batches), repeats):
+        for batch, part, path in _paths((b.filter(b.column("marks").is_valid()) for b in batches), repeats):
             if not len(path.starts):
                 continue
             open_ = np.flatnonzero(_decided(batch, path, repeats)[1])
@@ -187,7 +186,7 @@ def _verified(marked: DataFrame, repeats: Repeats) -> DataFrame:
             starts, text = path.starts[open_], path.text_of[open_]
             columns = [
                 pa.array(windows(path.hashes, repeats.window)[starts].view(np.int64)),
-                pa.array(windows(path.hashes, repeats.window, SECOND)[starts].view(np.int64)),
+                pa.array(windows(word_hashes(part, second=True)[0], repeats.window)[starts].view(np.int64)),
                 *(batch.column(c).take(pa.array(text)) for c in ("doc_id", "key")),
                 pa.array((starts - path.begins[text]).astype(np.int32)),
             ]

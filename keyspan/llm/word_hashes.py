@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
-# Bytes as they are, and with A-Z as a-z; 1 more than the byte, so that no byte adds nothing to a hash.
-PLAIN = np.arange(1, 257, dtype=np.uint64)
-LOWER = PLAIN.copy()
-LOWER[65:91] = PLAIN[97:123]
+# Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+# Longer words are hashed one by one.
+LONG_WORD = 64
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -41,20 +43,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _of_words(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit states of each word, which take its bytes in blocks of eight.
+
+    Each step mixes all bits, so no arithmetic between places of a word cancels. Words of up to eight bytes and equal
+    length never share a state. `data` needs eight further bytes at its end.
+    """
+    blocks = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    one = mixed(lengths.astype(np.uint64) + np.uint64(1))
+    two = mixed(one ^ np.uint64(BASE))
+    open_ = np.flatnonzero(lengths <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            open_ = open_[lengths[open_] > at]
+        if not len(open_):
+            break
+        left = np.minimum(lengths[open_] - at, 8).astype(np.uint64)
+        block = blocks[begins[open_] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        one[open_] = mixed(one[open_] ^ block)
+        two[open_] = mixed(two[open_] * np.uint64(BASE) + block)
+    for word in np.flatnonzero(lengths > LONG_WORD).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[begins[word] : begins[word] + lengths[word]].tobytes())
+        one[word], two[word] = digest >> 64, digest & (2**64 - 1)
+    return one, two
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after another, and the number of words of each text.
 
-    A word's hash is a polynomial in its bytes: a difference of prefix sums, moved to a common power.
+    The `second` hashes are independent of the others.
     """
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    solid = ~BLANK[joined]
+    data = np.frombuffer(b" ".join(texts) + b" " * 9, np.uint8)
+    if lower:
+        data = LOWER[data]
+    solid = ~BLANK[data]
     edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
     begins, ends = edges[::2], edges[1::2]
-    up, down = _Powers.upto(len(joined) + 1)
-    sums = np.empty(len(joined) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((LOWER if lower else PLAIN)[joined] * up[:-1], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[begins]) * down[begins])
+    one, two = _of_words(data, begins, ends - begins)
+    hashes = mixed(two ^ (one >> np.uint64(32)) ^ (one << np.uint64(32))) if second else mixed(one + two * np.uint64(BASE))
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     upto = np.searchsorted(begins, limits)
     return hashes, np.diff(upto, prepend=0)

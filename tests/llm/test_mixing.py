@@ -66,3 +66,16 @@ def test_documents_of_the_mix(spark, sf):
     want = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect() if r.taken}
     assert {k: v for k, v in got.items() if v} == want
     assert all(r.n_chars == len(r.text) for r in mixed.collect())
+
+
+def test_columns_with_names_of_its_own_pass_through(spark):
+    names = ["cut", "epochs", "_part", "_words", "_src", "_key", "_whole", "src", "part"]
+    rows = [(i, "ab"[i % 2], " ".join(["w"] * (i % 7)), *names) for i in range(60)] + [(None, None, None, *names)]
+    schema = "doc_id bigint, source string, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.mixed_documents(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    rows = out.collect()
+    assert all(row[n] == n for row in rows for n in names)
+    taken = sum(len((r["text"] or "").split()) for r in rows)
+    assert taken == sum(r["taken"] for r in mixing.mix_sources(docs).collect())

@@ -77,3 +77,9 @@ def test_empty_table_and_filter(spark):
     df = spark.createDataFrame([(3, "a b c d e"), (1, "A B C D E"), (2, "else"), (None, "else"), (9, None)], "doc_id long, text string")
     assert j.similar_classes(df.limit(0)).count() == 0
     assert sorted(map(str, (r.doc_id for r in j.one_of_each_class(df).collect()))) == ["1", "2", "9", "None"]
+
+
+def test_words_made_to_collide(spark):
+    tm = lambda a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(1024))
+    rows = [(1, " ".join([tm("a", "b")] * 5)), (2, " ".join([tm("b", "a")] * 5)), (3, tm("a", "b")), (4, tm("b", "a"))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"))

@@ -122,3 +122,17 @@ def test_terms_at_all_places_of_the_text(spark):
     for i in range(5):
         assert clean[i] == f"   {i} {filler} ,  {filler} <EMAIL> "
     assert clean[999] == "Zarquonia alone" and clean[100] == other[0][1]
+
+
+def test_columns_with_names_of_its_own_pass_through(spark):
+    names = ["terms", "base", "_text_key", "_pieces", "rest", "_gaps_email", "kind"]
+    rows = [(1, "mail a@b.org now", *names, 99), (None, None, *names, 99), (3, "", *names, 99)]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names) + ", n_chars bigint"
+    docs = spark.createDataFrame(rows, schema)
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] == "mail <EMAIL> now" and got[1]["n_chars"] == len("mail <EMAIL> now")
+    assert got[None]["text"] is None and got[3]["text"] == ""
+    for row in got.values():
+        assert all(row[n] == n for n in names)

@@ -64,3 +64,28 @@ def test_hard_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check(df)
     check(df.limit(0))
+
+
+def thue_morse(length, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(length))
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_words_made_to_collide(spark, length):
+    # Equal under every polynomial hash modulo a power of two.
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, thue_morse(length, "a", "b") + " " + shared), (2, thue_morse(length, "b", "a") + " " + shared)]
+    assert check(spark.createDataFrame(rows, "doc_id bigint, text string")) == 60
+
+
+def test_word_hashes_tell_lengths_cases_and_bytes_apart():
+    from keyspan.llm.word_hashes import word_hashes
+
+    words = [chr(97 + i % 26) * n for n in (*range(1, 80), 500) for i in range(26)]
+    words += ["A" + "b" * n for n in range(80)] + ["\0" * n for n in range(1, 20)]
+    for second in (False, True):
+        hashes, counts = word_hashes([w.encode() for w in words], second=second)
+        assert len(set(hashes.tolist())) == len(set(words)) and (counts == 1).all()
+        lowered, _ = word_hashes([w.encode() for w in words], True, second)
+        again, _ = word_hashes([w.lower().encode() for w in words], False, second)
+        assert (lowered == again).all()
