@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-1. Every page becomes a DOM tree. Each host has one reference page, the one with the smallest page_id.
+1. Every page becomes a DOM tree. Each host has one reference page: of those whose number of tags is nearest to the
+   host's median, the one with the smallest page_id, so that an empty or odd page is none.
 2. Every page of a host is aligned with the reference by simple tree matching (the largest common ordered top-down
    tree). For each node of the reference, Spark counts the pages that have a match for it, and those in which the
    match holds the same text. Counts are combined in each task first, so a host with a third of all pages is counted
@@ -12,11 +13,15 @@ Advertisements, menus and footers may vary from page to page too, so what an ele
 navigation, forms, scripts and the like, and blocks whose class, id or role names furniture, are never content. If a
 page marks its article, the text is what lies inside it, if that is at least half of the page's text without furniture
 and template; else the articles are teasers or the like, and the whole page is taken. Articles named as readers'
-comments, or named as furniture within another article, are none of the text. A heading or paragraph of an article that repeats over pages
-is kept: a page whose whole article repeats would lose its text otherwise; only repeated blocks outside of a marked
-article are template.
+comments, or named as furniture within another article, are none of the text. Template goes inside of an article too,
+unless less than `article_share` of the article's text would be left: then the article itself is what repeats, as in
+copies of one page, and stays whole.
+
+Matching starts with the children that two nodes have in common at both ends, whole equal subtrees, which a largest
+common tree can always pair. For what lies between it is exact up to `match_cells` pairs of children; wider lists are
+cut at the equal subtrees that stand once in each, and children between two cuts that are still too many are paired in
+order with the next one alike. Trees may be as deep and wide as they like.
 
-Matching is bounded by `match_nodes` children pairs of one node; beyond, children are matched greedily in order.
 Defined cases: a NULL or empty html gives an empty text. A NULL url is a host of its own. Repeated rows give equal
 results. Further columns are ignored; a broken page is read as far as tags make sense, like browsers do.
 """
@@ -24,6 +29,8 @@ results. Further columns are ignored; a broken page is read as far as tags make
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -41,6 +48,7 @@ class Wrapper:
 
     min_pages: int = 5
     constant_share: float = 0.6
+    article_share: float = 0.5
     match_cells: int = 40_000
 
 
@@ -84,14 +92,19 @@ REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|discussion|reply|r
 SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
-    """An element: its tag, its children (elements and strings), whether its own names call it furniture."""
+    """An element: its tag, its children (elements and strings), whether its own names call it furniture.
+
+    `shape` is equal for subtrees of equal tags and labels, `size` is the number of their elements.
+    """
 
     tag: str
     furniture: bool = False
     label: str = ""
     children: list[Node | str] = field(default_factory=list)
+    shape: int = 0
+    size: int = 1
 
     @property
     def elements(self) -> list[Node]:
@@ -117,6 +130,13 @@ def parse(html: str) -> Node:
     """DOM tree of a page; tags that aren't closed end where their parents do."""
     root = Node("#root")
     stack = [root]
+    # Open elements by tag, so that no look through a deep stack is needed to learn that there is none.
+    open_: Counter[str] = Counter()
+
+    def cut(depth: int) -> None:
+        open_.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
+
     place, size = 0, len(html)
     while place < size:
         start = html.find("<", place)
@@ -139,33 +159,33 @@ def parse(html: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if not open_[tag]:
                 continue
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth and not (tag in FORMATTING and any(n.tag in BLOCKS for n in stack[depth + 1 :])):
-                del stack[depth:]
+                cut(depth)
             continue
-        if tag in P_ENDERS:
+        if tag in P_ENDERS and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in BLOCKS:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(open_[t] for t in ENDS[tag][0]):
             ended, within = ENDS[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in within:
                     break
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    cut(i)
                     break
         furniture, reply, label = _named_furniture(match[3])
         # A page or its article may carry any name, unless it is a reader's or lies in another article.
         if tag in ("html", "body", "main"):
             furniture = False
         elif tag == "article":
-            furniture = reply or furniture and any(n.tag == "article" for n in stack)
+            furniture = reply or furniture and open_["article"] > 0
         node = Node(tag, tag in FURNITURE or furniture, label)
         stack[-1].children.append(node)
         if tag in VOID or match[3].rstrip().endswith("/") and tag not in BLOCKS:
@@ -174,8 +194,12 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, place)
             place = end.end() if end else size
             continue
-        if len(stack) < 400:
-            stack.append(node)
+        stack.append(node)
+        open_[tag] += 1
+    for node in reversed(nodes_in_order(root)):
+        inner = node.elements
+        node.shape = hash((node.tag, node.label, *(c.shape for c in inner)))
+        node.size = 1 + sum(c.size for c in inner)
     return root
 
 
@@ -192,40 +216,90 @@ def nodes_in_order(root: Node) -> list[Node]:
     return out
 
 
+Pairs = list[tuple[Node, Node]]
+
+
+def _alike(a: Node, b: Node) -> bool:
+    return a.tag == b.tag and a.label == b.label
+
+
+def _common_ends(x: list[Node], y: list[Node]) -> tuple[Pairs, list[Node], list[Node]]:
+    """Equal subtrees at the beginnings and ends of two lists, and what lies between them."""
+    n = min(len(x), len(y))
+    first = next((i for i in range(n) if x[i].shape != y[i].shape), n)
+    last = next((i for i in range(n - first) if x[-1 - i].shape != y[-1 - i].shape), n - first)
+    ends = len(x) - last, len(y) - last
+    pairs = [*zip(x[:first], y[:first], strict=True), *zip(x[ends[0] :], y[ends[1] :], strict=True)]
+    return pairs, x[first : ends[0]], y[first : ends[1]]
+
+
+def _cuts(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Places of a longest ascending run of the subtrees that stand once in each list."""
+    once = Counter(c.shape for c in x), Counter(c.shape for c in y)
+    place = {c.shape: j for j, c in enumerate(y) if once[1][c.shape] == 1}
+    found = [(i, place[c.shape]) for i, c in enumerate(x) if once[0][c.shape] == 1 and c.shape in place]
+    tails: list[int] = []
+    ends: list[int] = []  # for each length, the number of the pair with the smallest end
+    before: list[int] = []
+    for number, (_, j) in enumerate(found):
+        at = bisect_left(tails, j)
+        tails[at : at + 1], ends[at : at + 1] = [j], [number]
+        before.append(ends[at - 1] if at else -1)
+    out, number = [], ends[-1] if ends else -1
+    while number >= 0:
+        out.append(found[number])
+        number = before[number]
+    return out[::-1]
+
+
+def _in_order(x: list[Node], y: list[Node]) -> Pairs:
+    """Each child of x with the next one alike of y, if there is any left."""
+    places: dict[tuple[str, str], list[int]] = {}
+    for j, c in enumerate(y):
+        places.setdefault((c.tag, c.label), []).append(j)
+    pairs, at = [], 0
+    for c in x:
+        own = places.get((c.tag, c.label), [])
+        k = bisect_left(own, at)
+        if k < len(own):
+            pairs.append((c, y[own[k]]))
+            at = own[k] + 1
+    return pairs
+
+
+def _parts(a: Node, b: Node, cells: int) -> tuple[Pairs, list[tuple[list[Node], list[Node]]]]:
+    """Pairs of children that are settled from the start, and pairs of lists, small enough, that are to be aligned."""
+    pairs, x, y = _common_ends(a.elements, b.elements)
+    if len(x) * len(y) <= cells:
+        return pairs, [(x, y)] if x and y else []
+    parts, i, j = [], 0, 0
+    for m, n in [*_cuts(x, y), (len(x), len(y))]:
+        more, left, right = _common_ends(x[i:m], y[j:n])
+        pairs += more
+        if len(left) * len(right) > cells:
+            pairs += _in_order(left, right)
+        elif left and right:
+            parts.append((left, right))
+        if m < len(x):
+            pairs.append((x[m], y[n]))
+        i, j = m + 1, n + 1
+    return pairs, parts
+
+
 def match_trees(reference: Node, page: Node, cells: int) -> dict[int, Node]:
     """Simple tree matching: by identity of reference nodes, the page's nodes that a largest common tree pairs them with."""
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def alike(a: Node, b: Node) -> bool:
-        return a.tag == b.tag and a.label == b.label
-
-    def score(a: Node, b: Node) -> tuple[int, list]:
-        """Nodes of the largest common tree, and which children it pairs."""
-        if not alike(a, b):
-            return 0, []
-        key = (id(a), id(b))
-        if key in sizes:
-            return sizes[key]
-        x, y = a.elements, b.elements
-        if not x or not y:
-            sizes[key] = 1, []
-            return sizes[key]
-        if len(x) * len(y) > cells:
-            pairs, at = [], 0
-            for c in x:
-                while at < len(y) and not alike(c, y[at]):
-                    at += 1
-                if at == len(y):
-                    break
-                pairs.append((c, y[at]))
-                at += 1
-            sizes[key] = 1 + sum(score(c, d)[0] for c, d in pairs), pairs
-            return sizes[key]
+    # For each pair that has been scored: nodes of the largest common tree, and which children it pairs.
+    scored: dict[tuple[Node, Node], tuple[int, Pairs]] = {}
+
+    def score(a: Node, b: Node) -> int:
+        return a.size if a.shape == b.shape else scored[a, b][0]
+
+    def align(x: list[Node], y: list[Node]) -> Pairs:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i, c in enumerate(x, 1):
             row, above = best[i], best[i - 1]
             for j, d in enumerate(y, 1):
-                row[j] = max(row[j - 1], above[j], above[j - 1] + score(c, d)[0] if alike(c, d) else 0)
+                row[j] = max(row[j - 1], above[j], above[j - 1] + score(c, d) if _alike(c, d) else 0)
         pairs, i, j = [], len(x), len(y)
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -235,15 +309,29 @@ def match_trees(reference: Node, page: Node, cells: int) -> dict[int, Node]:
             else:
                 i, j = i - 1, j - 1
                 pairs.append((x[i], y[j]))
-        sizes[key] = 1 + best[len(x)][len(y)], pairs
-        return sizes[key]
+        return pairs
+
+    if not _alike(reference, page):
+        return {}
+    open_: list[tuple[Node, Node, tuple | None]] = [(reference, page, None)]
+    while open_:
+        a, b, parts = open_.pop()
+        if a.shape == b.shape or (a, b) in scored:
+            continue
+        if parts is None:
+            parts = _parts(a, b, cells)
+            open_.append((a, b, parts))
+            wanted = [*parts[0], *((c, d) for x, y in parts[1] for c in x for d in y if _alike(c, d))]
+            open_.extend((c, d, None) for c, d in wanted if c.shape != d.shape and (c, d) not in scored)
+            continue
+        pairs = [*parts[0], *(pair for x, y in parts[1] for pair in align(x, y))]
+        scored[a, b] = 1 + sum(score(c, d) for c, d in pairs), pairs
 
     matched, stack = {}, [(reference, page)]
     while stack:
         a, b = stack.pop()
-        if alike(a, b):
-            matched[id(a)] = b
-            stack.extend(score(a, b)[1])
+        matched[id(a)] = b
+        stack.extend(zip(a.elements, b.elements, strict=True) if a.shape == b.shape else scored[a, b][1])
     return matched
 
 
@@ -299,19 +387,22 @@ def blocks_of(roots: list[Node], template: set[int]) -> list[str]:
     return out
 
 
-def content_blocks(page: Node, template: set[int]) -> list[str]:
+def content_blocks(page: Node, template: set[int], article_share: float = 0.5) -> list[str]:
     """Blocks of the articles, if they hold no less text than the rest without template and furniture; else of the page."""
     articles = _articles(page)
-    if articles:
-        blocks = blocks_of(articles, set())
-        for node in articles:
-            node.furniture = True
-        rest = blocks_of([page], template)
-        for node in articles:
-            node.furniture = False
-        if sum(map(len, blocks)) >= sum(map(len, rest)):
-            return blocks
-    return blocks_of([page], template)
+    if not articles:
+        return blocks_of([page], template)
+    whole = blocks_of(articles, set())
+    length = sum(map(len, whole))
+    for node in articles:
+        node.furniture = True
+    rest = sum(map(len, blocks_of([page], template)))
+    for node in articles:
+        node.furniture = False
+    if length < rest:
+        return blocks_of([page], template)
+    blocks = blocks_of(articles, template) if template else whole
+    return blocks if sum(map(len, blocks)) >= article_share * length else whole
 
 
 def host_of() -> Column:
@@ -341,7 +432,12 @@ def _aligned(rows: dict, cache: dict, cells: int) -> tuple[Node, list[Node], dic
 def _with_reference(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pages with their hosts, and for each host its reference page and number of pages (settled)."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    least = rows.groupBy("host").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", F.xxhash64("html").alias("mark"))).alias("first"), F.count("*").alias("pages"))
+    marks = settled(
+        rows.select("host", "page_id", F.xxhash64("html").alias("mark"), F.regexp_count("html", F.lit("<[a-zA-Z]")).alias("tags"))
+    )
+    hosts = marks.groupBy("host").agg(F.percentile_approx("tags", 0.5).alias("middle"), F.count("*").alias("pages"))
+    order = F.struct(F.abs(F.col("tags") - F.col("middle")), F.col("page_id").isNull(), "page_id", "mark")
+    least = marks.join(small_broadcast(settled(hosts)), "host").groupBy("host").agg(F.min(order).alias("first"), F.max("pages").alias("pages"))
     chosen = (
         rows.join(small_broadcast(settled(least)), "host")
         .where(
@@ -436,7 +532,7 @@ def extract_main_text(pages: DataFrame, wrapper: Wrapper = Wrapper()) -> DataFra
                         }
                     else:
                         page = parse(row["html"])
-                    blocks = content_blocks(page, template)
+                    blocks = content_blocks(page, template, wrapper.article_share)
                     text = "\n\n".join(blocks)
                     out.append((row["page_id"], row["url"], text, len(text)))
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 
@@ -86,3 +87,61 @@ def test_tree_matching_finds_the_largest_common_tree():
 )
 def test_names_alone_take_no_text(spark, html, want):
     assert run(spark, [(1, "http://one.example/", html)])[1, "http://one.example/"].text == want
+
+
+def tree(rng, size):
+    node = h.Node("div", label=rng.choice("ab"))
+    for _ in range(rng.randrange(4) if size > 0 else 0):
+        node.children.append(tree(rng, size - 1))
+    node.shape = hash((node.tag, node.label, *(c.shape for c in node.children)))
+    node.size = 1 + sum(c.size for c in node.children)
+    return node
+
+
+def largest(a, b):
+    """Nodes of the largest common ordered top-down tree, by its definition."""
+    if a.label != b.label:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max(best(x[1:], y), best(x, y[1:]), largest(x[0], y[0]) and largest(x[0], y[0]) + best(x[1:], y[1:]))
+
+    return 1 + best(a.children, b.children)
+
+
+def test_tree_matching_against_the_definition():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = tree(rng, 3), tree(rng, 3)
+        matched = h.match_trees(a, b, 40_000)
+        assert len(matched) == largest(a, b)
+        nodes = {id(n): n for n in h.nodes_in_order(a)}
+        assert all(nodes[k].label == n.label for k, n in matched.items())
+        assert len(h.match_trees(a, b, 0)) <= len(matched)
+
+
+def test_deep_and_wide_pages():
+    page = "<article>" + "<div>" * 450 + "<p>deep</p>" + "</div>" * 450 + "<p>later para</p></article>"
+    assert h.content_blocks(h.parse(page), set()) == ["deep", "later para"]
+    deep = h.parse("<div>" * 50_000 + "x"), h.parse("<div>" * 49_999 + "<p>y")
+    assert len(h.match_trees(*deep, 40_000)) == 50_000
+    wide = h.parse("<p>a</p>" * 210), h.parse("<h2>b</h2>" + "<p>a</p>" * 211)
+    assert len(h.match_trees(*wide, 100)) == 211
+    cells = [f"<p class=c{i}>{i}</p>" for i in range(3000)]
+    other = ["<h1>t</h1>", *cells[:1000], "<h2>u</h2>", *cells[1500:], "<h3>v</h3>"]
+    found = h.match_trees(h.parse("<i>s</i>" + "".join(cells)), h.parse("".join(other)), 40_000)
+    assert len(found) == 1 + 2500
+
+
+def test_template_inside_of_articles(spark):
+    page = "<article><h1>Story {0}</h1><p>Subscribe for more</p><p>what happened {0} times in one town and not in another</p><div>Written by our desk</div></article>"
+    rows = [(i, f"http://one.example/{i}", page.format(i)) for i in range(12)]
+    copy = "<article><h1>One</h1><p>the same story</p></article>"
+    rows += [(100 + i, f"http://two.example/{i}", copy) for i in range(12)]
+    rows += [(-1, "http://one.example/e", None), (-2, "http://one.example/f", "<p>error")]
+    got = run(spark, rows)
+    assert got[4, "http://one.example/4"].text == "Story 4\n\nwhat happened 4 times in one town and not in another"
+    assert got[104, "http://two.example/4"].text == "One\n\nthe same story"
+    assert got[-2, "http://one.example/f"].text == "error"
