@@ -22,6 +22,7 @@ from keyspan.functions.expressions import (
     ratio,
     with_category_order,
 )
+from keyspan.functions.outer import full_outer
 
 PER_LABEL = ("Recording", "Participant", "TOI")
 PER_PARTICIPANT = ("Recording", "Participant")
@@ -82,6 +83,15 @@ def join_label_summaries(fixations: DataFrame, saccades: DataFrame) -> DataFrame
     return joined.select(*keys, "AvgFixationDuration", "N_Fixations", "AvgSaccadeAmplitude", "N_Saccades")
 
 
+def fixations_with_saccades(final: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Every fixation beside the saccade summary of its label, and the summaries of labels without fixations.
+
+    A label (NULL keys included) may hold any share of the fixations: see :func:`full_outer`.
+    """
+    fixations = final.filter(is_fixation()).select(*PER_LABEL, "RowId", "Duration")
+    return full_outer(fixations, saccade_summary_per_label(final), PER_LABEL, cfg.hot_rows, left_id=["RowId"])
+
+
 def summary_per_label(final: DataFrame) -> DataFrame:
     """Fixation and saccade summaries side by side.
 

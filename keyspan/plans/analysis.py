@@ -80,10 +80,15 @@ class Analysis:
         """Relevant, valid rows on their side of the key event."""
         return _union(self._aligned)
 
+    @cached_property
+    def numbered_with_sizes(self) -> DataFrame:
+        """Aligned rows, numbered outwards from the key event, with the size of their group (``GroupRows``)."""
+        return _union(self._sequenced)
+
     @cached_property
     def sequenced(self) -> DataFrame:
         """Aligned rows, numbered outwards from the key event."""
-        return _union(self._sequenced).drop("GroupRows")
+        return self.numbered_with_sizes.drop("GroupRows")
 
     @cached_property
     def final(self) -> DataFrame:

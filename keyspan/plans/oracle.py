@@ -273,6 +273,23 @@ SUMMARY_PER_LABEL = """
 s AS (SELECT Recording, Participant, TOI, avg(Saccade_amplitude) AS AvgSaccadeAmplitude, count(*) AS N_Saccades
       FROM final WHERE Event_type = 'Saccade' GROUP BY ALL)
 SELECT * FROM f FULL JOIN s USING (Recording, Participant, TOI)"""
+FIXATIONS_WITH_SACCADES = """
+, f AS (SELECT Recording, Participant, TOI, RowId, Duration FROM {source} WHERE Event_type = 'Fixation'),
+s AS (SELECT Recording, Participant, TOI, avg(Saccade_amplitude) AS AvgSaccadeAmplitude, count(*) AS N_Saccades
+      FROM {source} WHERE Event_type = 'Saccade' GROUP BY ALL),
+same AS (SELECT f.*, s.AvgSaccadeAmplitude, CAST(s.N_Saccades AS BIGINT) AS N_Saccades
+         FROM f LEFT JOIN s ON f.Recording IS NOT DISTINCT FROM s.Recording
+           AND f.Participant IS NOT DISTINCT FROM s.Participant AND f.TOI IS NOT DISTINCT FROM s.TOI)
+SELECT * FROM same
+UNION ALL
+SELECT Recording, Participant, TOI, NULL, NULL, AvgSaccadeAmplitude, N_Saccades FROM s
+WHERE NOT EXISTS (FROM f WHERE f.Recording IS NOT DISTINCT FROM s.Recording
+                    AND f.Participant IS NOT DISTINCT FROM s.Participant AND f.TOI IS NOT DISTINCT FROM s.TOI)"""
+WITH_MISSING_KEYS = """
+, fewer_keys AS (
+  SELECT * REPLACE (CASE WHEN RowId % 5 >= 2 THEN Recording END AS Recording,
+                    CASE WHEN RowId % 5 >= 2 THEN Participant END AS Participant,
+                    CASE WHEN RowId % 5 >= 2 THEN TOI END AS TOI) FROM final)"""
 SEQ0_DETAILED = """
 SELECT Recording, Participant, "Interval", TOI, Event_type, "Start", "Stop", Duration, Validity,
        FixationSequence, SaccadeSequence, Sequence, KeyEventStart, KeyEventStop, KeyEventType FROM seq0"""
@@ -285,6 +302,11 @@ def all_oracle_sql() -> dict[str, str]:
     """The SQL of every query; how rows are spread makes no difference to it."""
     usual = _usual_oracle_sql()
     hard = _hard_oracle_sql(usual)
+    usual["hard_fixations_with_saccades"] = _sql(
+        (HARD_GAZE, HARD_KEYED), WITH_MISSING_KEYS + FIXATIONS_WITH_SACCADES.format(source="fewer_keys")
+    )
+    usual["fixations_with_saccades"] = _sql(TO_FINAL, FIXATIONS_WITH_SACCADES.format(source="final"))
+    usual["appended_events"] = usual["sequenced_events"]
     usual |= {f"hard_{name}": hard[name] for name in HARD} | {f"hard_{name}_split": hard[name] for name in HARD_HOT}
     return usual | {name: usual[of] for name, (of, _) in SKEWED.items()}
 

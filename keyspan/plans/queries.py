@@ -5,16 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keyspan.config import DEFAULT, AnalysisConfig
+from keyspan.config import DEFAULT, INTERVAL_KEYS, AnalysisConfig
 from keyspan.functions.skew import checkpoint_folder
 from keyspan.operators import align, keyrow, profiles, quality, sequence, summarize
 from keyspan.plans.analysis import Analysis
+from keyspan.plans.appended import GazeStore
 from keyspan.sources.events import gaze_from_events
 from keyspan.sources.gaze import row_id_report, with_input_order
 from keyspan.sources.hard_events import hard_gaze_from_events
-from keyspan.sources.sinks import write_profile_series
+from keyspan.sources.sinks import read_profile_series, replace_profile_series
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +28,11 @@ def analysis_of(spark: SparkSession, sf_dir: str, cfg: AnalysisConfig = DEFAULT)
 
 
 def written_and_read(a: Analysis, series: DataFrame, entity: str, buckets: int | None) -> DataFrame:
-    """Write a series to the session's shared folder and read it back."""
+    """Write a series to the session's shared folder, in place of the last one, and read it back."""
     spark = a.gaze.sparkSession
-    path = f"{checkpoint_folder(spark)}/profile_series/{uuid.uuid4()}"
-    write_profile_series(series, path, entity, buckets)
-    return spark.read.parquet(path).select(*series.columns)
+    path = f"{checkpoint_folder(spark)}/profile_series/{entity}"
+    replace_profile_series(series, path, entity, buckets)
+    return read_profile_series(spark, path)
 
 
 def written_participant_series(a: Analysis) -> DataFrame:
@@ -184,9 +185,34 @@ def input_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_input_order(events).select("RowId", "event_id")
 
 
+def with_missing_keys(final: DataFrame) -> DataFrame:
+    """The final rows where two rows of five lose all keys of their label."""
+    lost = F.col("RowId") % 5 < 2
+    keys = {key: F.when(~lost, F.col(key)) for key in summarize.PER_LABEL}
+    return final.withColumns(keys)
+
+
+def hard_fixations_with_saccades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skew-safe full outer join: 40 % of the rows have NULL keys, and a third of the others share two keys."""
+    a = hard_analysis_of(spark, sf_dir, LARGE_HOT)
+    return summarize.fixations_with_saccades(with_missing_keys(a.final), a.cfg)
+
+
+def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered rows of a table that came in two parts: half the rows of a third of the intervals come late."""
+    a = analysis_of(spark, sf_dir)
+    late = (F.pmod(F.xxhash64(*INTERVAL_KEYS), F.lit(3)) == 0) & (F.col("RowId") % 2 == 1)
+    store = GazeStore(spark, f"{checkpoint_folder(spark)}/gaze_store/{uuid.uuid4().hex}", a.cfg, parts=8, files=1)
+    store.append(a.gaze.filter(~late))
+    store.append(a.gaze.filter(late))
+    return store.sequenced
+
+
 def all_queries() -> dict[str, Query]:
     usual = {name: _bind(operator) for name, operator in OPERATORS.items()}
-    usual["input_order"] = input_order
+    usual |= {"input_order": input_order, "appended_events": appended_events}
+    usual["fixations_with_saccades"] = _bind(lambda a: summarize.fixations_with_saccades(a.final, a.cfg))
+    usual["hard_fixations_with_saccades"] = hard_fixations_with_saccades
     usual |= {f"hard_{name}": _bind(OPERATORS[name], source=hard_analysis_of) for name in HARD}
     usual |= {f"hard_{name}_split": _bind(OPERATORS[name], LARGE_HOT, hard_analysis_of) for name in HARD_HOT}
     return usual | {name: _bind(OPERATORS[of], cfg) for name, (of, cfg) in SKEWED.items()}

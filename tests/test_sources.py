@@ -5,13 +5,14 @@ import os
 import pandas as pd
 import pytest
 from helpers import event, gaze, rows
+from pyspark.sql import functions as F
 
 from keyspan.config import AnalysisConfig
 from keyspan.operators import align, quality, sequence
 from keyspan.plans.queries import analysis_of
 from keyspan.sources.events import gaze_from_events
 from keyspan.sources.gaze import GAZE_SCHEMA, as_gaze, gaze_from_pandas, load_gaze, require_row_ids, row_id_report, with_input_order
-from keyspan.sources.sinks import write_profile_series
+from keyspan.sources.sinks import read_profile_series, replace_profile_series, write_profile_series
 
 
 @pytest.fixture(scope="module")
@@ -196,3 +197,41 @@ def test_numbering_many_files_joins_by_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source, "BROADCAST_FILES", 3)
     numbered = with_input_order(spark.read.parquet(str(tmp_path)))
     assert sorted(rows(numbered, "RowId", "v")) == list(enumerate(n * 10 + i for n in range(6) for i in range(n)))
+
+
+SERIES = "Participant string, Event_type string, Sequence int, ScaledMetric double"
+
+
+@pytest.mark.parametrize("buckets", [None, 2])
+def test_a_rerun_replaces_a_series(spark, tmp_path, buckets):
+    path = str(tmp_path / "series")
+    # Names that look like numbers or hold separators keep their type and text.
+    for number, names in enumerate((["001", "P1", "a/b=c"], ["P1", "P2"], [], ["P3"])):
+        series = spark.createDataFrame([(name, "Fixation", 1, float(number)) for name in names], SERIES)
+        replace_profile_series(series, path, "Participant", buckets)
+        back = read_profile_series(spark, path)
+        assert back.dtypes == series.dtypes
+        assert rows(back, *series.columns) == rows(series, *series.columns)
+    assert len(os.listdir(os.path.join(path, "runs"))) == 2
+
+
+def test_a_killed_run_leaves_the_old_series(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "series")
+    with pytest.raises(FileNotFoundError):
+        read_profile_series(spark, path)
+    old = spark.createDataFrame([("P1", "Fixation", 1, 1.0)], SERIES)
+    new = spark.createDataFrame([("P2", "Fixation", 1, 2.0)], SERIES)
+    replace_profile_series(old, path, "Participant")
+    reader = read_profile_series(spark, path)
+    failing = new.withColumn("ScaledMetric", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):  # while its files are written
+        replace_profile_series(failing, path, "Participant")
+    with monkeypatch.context() as patch:  # between its files and its mark
+        patch.setattr("keyspan.sources.sinks._marks", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            replace_profile_series(new, path, "Participant")
+    assert rows(read_profile_series(spark, path), "Participant") == [("P1",)]
+    replace_profile_series(new, path, "Participant")
+    assert rows(read_profile_series(spark, path), "Participant") == [("P2",)]
+    assert rows(reader, "Participant") == [("P1",)]
+    assert len(os.listdir(os.path.join(path, "runs"))) == 2
