@@ -396,7 +396,10 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             archive.close()
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return index.select("file", "place", "length").repartition("file").sortWithinPartitions("file", "place").mapInArrow(read, schema)
+    # A stated number, as adaptive execution would merge the small index rows of many large archives into one task.
+    readers = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("file", "place", "length").repartition(readers, "file").sortWithinPartitions("file", "place")
+    return placed.mapInArrow(read, schema)
 
 
 def archive_round_trip(pages: DataFrame, archive: Archive = Archive()) -> DataFrame:
