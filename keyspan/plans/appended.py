@@ -9,7 +9,7 @@ from keyspan.functions.expressions import null_safe
 from keyspan.functions.skew import checkpointed
 from keyspan.operators import sequence
 from keyspan.plans.analysis import Analysis
-from keyspan.sources.files import folders_in, is_there
+from keyspan.sources.files import folders_in, is_there, remove, touch
 
 
 class GazeStore:
@@ -21,8 +21,8 @@ class GazeStore:
     results are those of a full run over all rows so far.
 
     An append that was cut off is run again with the same rows: those that are stored already (by ``RowId``, unique and
-    not NULL) are not added twice, and their intervals are computed again. Until then a folder has its old numbered
-    rows or its new ones, never a mixture. Missing keys are keys like others. One writer at a time.
+    not NULL) are not added twice. A mark tells that it was cut off, maybe while folders were replaced, so the next
+    append computes all folders anew from the stored rows. Missing keys are keys like others. One writer at a time.
 
     The list of touched folders, at most ``parts`` numbers, is all that passes the driver. ``files`` spreads the
     rows of one folder over as many tasks and files, so that a hot interval is not written by one.
@@ -31,6 +31,7 @@ class GazeStore:
     def __init__(self, spark: SparkSession, path: str, cfg: AnalysisConfig = DEFAULT, parts: int = 64, files: int = 4):
         self.spark, self.cfg, self.parts, self.files = spark, cfg, parts, files
         self.rows_path, self.numbered_path = f"{path}/rows", f"{path}/numbered"
+        self.pending_path = f"{path}/pending"
 
     def append(self, rows: DataFrame) -> list[int]:
         """Add rows and bring the numbered rows up to date; returns the touched folders."""
@@ -40,17 +41,24 @@ class GazeStore:
         if not touched:
             return []
         keys = fresh.select(*[F.col(key).alias("_new_" + key) for key in INTERVAL_KEYS]).distinct()
+        cut_off = is_there(self.spark, self.pending_path)
+        touch(self.spark, self.pending_path)
         self._add(fresh, keys, touched)
-        changed = self._read(self.rows_path, touched).join(keys, null_safe(INTERVAL_KEYS, "_new_"), "left_semi")
+        if cut_off:
+            touched = list(range(self.parts))
+        changed = self._read(self.rows_path, touched)
+        if not cut_off:
+            changed = changed.join(keys, null_safe(INTERVAL_KEYS, "_new_"), "left_semi")
         numbered = Analysis(changed.drop("Part"), self.cfg).numbered_with_sizes.withColumn("Part", self._part())
-        if self._is_stored(self.numbered_path):
+        if not cut_off and self._is_stored(self.numbered_path):
             others = self._read(self.numbered_path, touched).filter(F.col("RowId").isNotNull())
             numbered = numbered.unionByName(others.join(keys, null_safe(INTERVAL_KEYS, "_new_"), "left_anti"))
         # A row without an id in each touched folder: one that has lost all its numbered rows is replaced, too.
-        empty = fresh.select("Part").distinct().select(
-            *[F.col("Part") if f.name == "Part" else F.lit(None).cast(f.dataType).alias(f.name) for f in numbered.schema]
+        empty = self.spark.range(self.parts).filter(F.col("id").isin(touched)).select(
+            *[F.col("id").cast("int").alias("Part") if f.name == "Part" else F.lit(None).cast(f.dataType).alias(f.name) for f in numbered.schema]
         )
         self._write(numbered.unionByName(empty), self.numbered_path, "overwrite")
+        remove(self.spark, self.pending_path)
         return touched
 
     @property

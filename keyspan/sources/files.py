@@ -20,6 +20,11 @@ def folders_in(spark: SparkSession, path: str) -> list[str]:
     return [entry.getPath().getName() for entry in system.listStatus(place) if entry.isDirectory()]
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    system, place = _open(spark, path)
+    system.create(place, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, place = _open(spark, path)
     system.delete(place, True)

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import shutil
 
 import pytest
 from helpers import event, gaze, rows, same
@@ -84,6 +85,8 @@ def test_an_append_that_was_cut_off_is_run_again(spark, tmp_path, monkeypatch):
         with pytest.raises(Killed):
             store.append(second)
     assert rows(store.sequenced, *store.sequenced.columns) == old
+    # As if it had been cut off while a folder was replaced.
+    shutil.rmtree(next(os.path.join(store.numbered_path, f) for f in os.listdir(store.numbered_path) if f.startswith("Part=")))
     for _ in range(2):  # and once more with rows that are stored
         store.append(second)
         whole = Analysis(table, CFG).sequenced
