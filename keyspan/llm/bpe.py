@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding by DuckDB recursive queries inside each partition, decoding by ordered aggregation.
 
-A batch of texts is split by the tokenizer's pattern. Its different pieces become token-position rows (piece, place,
-token); a recursive query joins neighbours with the merge table and contracts each piece's leftmost pair of minimum
-rank until no pair is left. Pieces that are tokens as they stand need no contraction. Long pieces take a query that
-contracts, in one step, all places that the one-by-one order would contract next: those of the minimum rank, from the
-left, up to the first whose result forms a pair of lower rank with a neighbour.
+A batch of texts is split by the tokenizer's pattern. Each different piece becomes a row with the list of its pairs; a
+recursive query contracts the leftmost pair of minimum rank and looks up its two new pairs in the merge table, until no
+pair is left. Pieces that are tokens as they stand need no contraction. Long pieces become token-position rows (piece,
+place, token) and take a query that contracts, in one step, all places that the one-by-one order would contract next:
+those of the minimum rank, from the left, up to the first whose result forms a pair of lower rank with a neighbour.
 
 The vocabulary is of fixed size and goes to the tasks once. Each task holds one batch and its pieces, no more.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import duckdb
@@ -56,36 +55,43 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({name: columns[:, i] for i, name in enumerate(("a", "b", "m"))})
 
 
-BLANK_BEFORE_SPACE = re.compile(r"\s ")
-# Each row knows the place (q) and token (nt) of its right neighbour, and `pair`, one number for the pair that they
-# form: rank, place, place of the neighbour. The least pair of a word is its leftmost one of minimum rank. A step
-# contracts it: its left row takes the new token and a new neighbour, its right row goes, the row before it sees a new
-# neighbour; only these look up the merge table again.
-SHORT_QUERY = """
+# White space before a space, or a space at the end (RE2's own \s is ASCII only).
+BLANK_AT_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}] | \z"
+
+# A list item stands for a token and the pair it forms with its right neighbour: rank of the pair, place, token, from
+# the highest bits down. So the least item of a word is its leftmost pair of minimum rank.
+TOKEN_BITS, PLACE_BITS = 24, 8
+NO_PAIR = 2**31 - 1
+# The first item of each list is no token and forms no pair.
+EDGE = NO_PAIR << TOKEN_BITS + PLACE_BITS | (1 << TOKEN_BITS) - 1
+# A step contracts the least item of each word: its token becomes the merged one, the next item goes, and the pairs that
+# it and the item before it form now are looked up in the merge table.
+SHORT_QUERY = f"""
 WITH RECURSIVE step AS (
-    SELECT w, p, t, q, nt, m::BIGINT * 4096 + p * 64 + q AS pair, false AS done
-    FROM start LEFT JOIN merges ON ab = t::BIGINT * 65536 + nt
+    SELECT w, items, list_min(items) AS least FROM start
     UNION ALL
     (
-        WITH live AS (SELECT * FROM step WHERE NOT done),
-        best AS (SELECT w, min(pair) AS pair FROM live GROUP BY w),
-        site AS (
-            SELECT b.w, (b.pair // 4096)::INTEGER AS m, ((b.pair // 64) % 64)::INTEGER AS l, (b.pair % 64)::INTEGER AS r, s.q, s.nt
-            FROM best AS b LEFT JOIN live AS s ON s.w = b.w AND s.p = (b.pair % 64)::INTEGER
+        WITH site AS (
+            SELECT w, items, least, least >> {TOKEN_BITS + PLACE_BITS} AS m, list_position(items, least)::INTEGER AS i
+            FROM step WHERE least < {NO_PAIR << TOKEN_BITS + PLACE_BITS}
         ),
         moved AS (
-            SELECT s.w, s.p, s.pair, x.m IS NULL AS done, s.p = x.l OR s.q = x.l AS touched,
-                CASE WHEN s.p = x.l THEN x.m ELSE s.t END AS t,
-                CASE WHEN s.p = x.l THEN x.q ELSE s.q END AS q,
-                CASE WHEN s.p = x.l THEN x.nt WHEN s.q = x.l THEN x.m ELSE s.nt END AS nt
-            FROM live AS s JOIN site AS x ON s.w = x.w
-            WHERE x.m IS NULL OR s.p <> x.r
+            SELECT s.w, flatten([
+                items[:i - 2],
+                [
+                    (coalesce(x.m, {NO_PAIR})::BIGINT << {TOKEN_BITS + PLACE_BITS}) | (items[i - 1] & {(1 << TOKEN_BITS + PLACE_BITS) - 1}),
+                    (coalesce(y.m, {NO_PAIR})::BIGINT << {TOKEN_BITS + PLACE_BITS}) | (least & {(1 << PLACE_BITS) - 1 << TOKEN_BITS}) | s.m
+                ],
+                items[i + 2:]
+            ]) AS items
+            FROM site AS s
+            LEFT JOIN merges AS x ON x.ab = ((items[i - 1] & {(1 << TOKEN_BITS) - 1}) << {TOKEN_BITS}) | s.m
+            LEFT JOIN merges AS y ON y.ab = (s.m << {TOKEN_BITS}) | (items[i + 2] & {(1 << TOKEN_BITS) - 1})
         )
-        SELECT w, p, t, q, nt, CASE WHEN touched THEN m::BIGINT * 4096 + p * 64 + q ELSE pair END, done
-        FROM moved LEFT JOIN merges ON ab = CASE WHEN touched THEN t::BIGINT * 65536 + nt END
+        SELECT w, items, list_min(items) FROM moved
     )
 )
-SELECT w, p, t FROM step WHERE done ORDER BY w, p
+SELECT items FROM step WHERE least >= {NO_PAIR << TOKEN_BITS + PLACE_BITS} ORDER BY w
 """
 
 LONG_QUERY = """
@@ -144,15 +150,28 @@ GROUP BY d
 """
 
 
+def gather(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of `values` that begin at `first` and have `counts` items, end to end."""
+    return values[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+
+
 class Tokenizer:
     """A rank file and its splitting pattern; holds a DuckDB connection, made where it is used."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern, self._connection = ranks, pattern, None
-        self._known: dict[str, bytes] = {}
+        self._forget()
 
     def __getstate__(self) -> dict:
-        return {"ranks": self.ranks, "pattern": self.pattern, "_connection": None, "_known": {}}
+        return {"ranks": self.ranks, "pattern": self.pattern}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["ranks"], state["pattern"])
+
+    def _forget(self) -> None:
+        # The known pieces' numbers; the ids of all of them, end to end, and how many each has, by number.
+        self._known: dict[str, int] = {}
+        self._ids, self._counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @property
     def connection(self) -> duckdb.DuckDBPyConnection:
@@ -160,15 +179,15 @@ class Tokenizer:
             own = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
             own.execute("SET preserve_insertion_order = false")
             own.register("merge_rows", merge_table(self.ranks))
-            own.execute("CREATE TABLE merges AS SELECT *, a::BIGINT * 65536 + b AS ab FROM merge_rows")
-            # Bytes of the tokens by id, end to end.
+            own.execute(f"CREATE TABLE merges AS SELECT *, (a::BIGINT << {TOKEN_BITS}) | b AS ab FROM merge_rows")
+            # Bytes of the tokens by id.
             tokens = [b""] * (max(self.ranks.values()) + 1)
             for token, rank in self.ranks.items():
                 tokens[rank] = token
-            self._lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            self._places = np.cumsum(self._lengths) - self._lengths
-            self._vocabulary = np.frombuffer(b"".join(tokens), np.uint8)
+            self._vocabulary = pa.array(tokens, pa.large_binary())
             self._bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+            pairs = [self.ranks.get(bytes([a, b]), NO_PAIR) for a in range(256) for b in range(256)]
+            self._byte_pairs = np.array(pairs, np.int64).reshape(256, 256)
             # White space is the Unicode property, as in the pattern's own dialect.
             space = self.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
             self._split = regex.compile(space)
@@ -180,35 +199,32 @@ class Tokenizer:
         if self._connection is not None:
             self._connection.close()
         self._connection = None
-        self._known.clear()
+        self._forget()
 
-    def _start(self, pieces: list[bytes]) -> pa.Table:
+    def _contract_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of these pieces, end to end, and how many each has."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        pairs = np.append(self._byte_pairs[raw[:-1], raw[1:]], NO_PAIR)
+        pairs[ends - 1] = NO_PAIR
         places = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-        tokens = self._bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        last = np.zeros(len(tokens), bool)
-        last[ends - 1] = True
-        return pa.table(
-            {
-                "w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
-                "p": places.astype(np.int32),
-                "t": tokens,
-                # A word's last row has no neighbour.
-                "q": pa.array(places + 1, pa.int32(), mask=last),
-                "nt": pa.array(np.roll(tokens, -1), pa.int32(), mask=last),
-            }
-        )
-
-    def _contract_short(self, pieces: list[bytes]) -> list[bytes]:
-        self.connection.register("start", self._start(pieces))
-        rows = self.connection.sql(SHORT_QUERY).to_arrow_table()
-        ends = np.cumsum(np.bincount(rows["w"].to_numpy(), minlength=len(pieces))) * 4
-        flat = rows["t"].to_numpy().astype(np.int32).tobytes()
-        return [flat[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        items = pairs << TOKEN_BITS + PLACE_BITS | places << TOKEN_BITS | self._bytes[raw]
+        items = np.insert(items, ends - lengths, EDGE)
+        offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(items))
+        self.connection.register("start", pa.table({"w": np.arange(len(pieces), dtype=np.int32), "items": lists}))
+        found = self.connection.sql(SHORT_QUERY).to_arrow_table()["items"].combine_chunks()
+        counts = pc.list_value_length(found).to_numpy().astype(np.int64) - 1
+        tokens = found.flatten().to_numpy() & (1 << TOKEN_BITS) - 1
+        return np.delete(tokens, np.cumsum(counts + 1) - counts - 1).astype(np.int32), counts
+
+    def _start(self, piece: bytes) -> pa.Table:
+        tokens = self._bytes[np.frombuffer(piece, np.uint8)]
+        return pa.table({"w": np.zeros(len(tokens), np.int32), "p": np.arange(len(tokens), dtype=np.int32), "t": tokens})
 
     def _contract_long(self, piece: bytes) -> list[int]:
-        state, steps = self._start([piece]), STEPS_A_QUERY
+        state, steps = self._start(piece), STEPS_A_QUERY
         while True:
             self.connection.register("start", state)
             rows = self.connection.sql(LONG_QUERY.format(steps=steps)).to_arrow_table().sort_by("p")
@@ -216,62 +232,97 @@ class Tokenizer:
                 return rows["t"].to_pylist()
             state = rows.select(["w", "p", "t"])
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Puts the ids of these pieces, as bytes of int32, where they can be looked up."""
-        part: list[str] = []
-        size = 0
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts the ids of these pieces where they can be looked up."""
+        tokens: list[str] = []
+        short: list[str] = []
+        long: list[str] = []
+        ranks: list[int] = []
         for piece in pieces:
             raw = piece.encode()
-            if raw in self.ranks:
-                self._known[piece] = np.int32(self.ranks[raw]).tobytes()
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                tokens.append(piece)
+                ranks.append(rank)
             elif len(raw) > LONG_PIECE:
-                self._known[piece] = np.array(self._contract_long(raw), np.int32).tobytes()
+                long.append(piece)
             else:
-                part.append(piece)
-                size += len(raw)
-            if size >= BYTES_A_QUERY:
-                self._known.update(zip(part, self._contract_short([p.encode() for p in part]), strict=True))
-                part, size = [], 0
-        if part:
-            self._known.update(zip(part, self._contract_short([p.encode() for p in part]), strict=True))
-
-    def _cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Different segments of all texts, the segments of each text in order, and how many each text has.
+                short.append(piece)
+        ids, counts = [self._ids, np.array(ranks, np.int32)], [self._counts, np.ones(len(ranks), np.int64)]
+        raws = [p.encode() for p in short]
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)))
+        begin = 0
+        while begin < len(raws):
+            before = ends[begin - 1] if begin else 0
+            end = int(np.searchsorted(ends, before + BYTES_A_QUERY)) + 1
+            for own, more in zip((ids, counts), self._contract_short(raws[begin:end]), strict=True):
+                own.append(more)
+            begin = end
+        for piece in long:
+            ids.append(np.array(self._contract_long(piece.encode()), np.int32))
+            counts.append(np.array([len(ids[-1])]))
+        self._known.update(zip([*tokens, *short, *long], range(len(self._counts), len(self._counts) + len(pieces)), strict=True))
+        self._ids, self._counts = np.concatenate(ids), np.concatenate(counts)
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Different segments behind a space, different other ones, the segments of each text in order, how many it has.
 
         Texts are cut before spaces. A cut is safe after a character that isn't white space, as no piece goes across;
         a text where white space stands before a space, or a space at the end, is one segment.
         """
-        whole = [t.endswith(" ") or BLANK_BEFORE_SPACE.search(t) is not None for t in texts]
-        parts = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, BLANK_AT_SPACE)
+        parts = pc.split_pattern(pc.if_else(whole, "", column), " ")
         coded = parts.flatten().dictionary_encode()
         order = coded.indices.to_numpy().astype(np.int64)
-        first = parts.offsets.to_numpy()[:-1]
+        offsets = parts.offsets.to_numpy()
         # The first segment of a text has no space before it, so it is another segment than the same word elsewhere.
-        segments = [" " + s for s in coded.dictionary.to_pylist()]
-        number: dict[str, int] = {}
-        begins = [t if w else t.split(" ", 1)[0] for t, w in zip(texts, whole, strict=True)]
-        order[first] = [len(segments) + number.setdefault(s, len(number)) for s in begins]
-        return segments + list(number), order, np.diff(parts.offsets.to_numpy())
+        begins = pc.if_else(whole, column, parts.flatten().take(pa.array(offsets[:-1]))).dictionary_encode()
+        order[offsets[:-1]] = len(coded.dictionary) + begins.indices.to_numpy()
+        used = np.bincount(order, minlength=len(coded.dictionary) + len(begins.dictionary)) > 0
+        inner = coded.dictionary.to_numpy(zero_copy_only=False)[used[: len(coded.dictionary)]].tolist()
+        return inner, begins.dictionary.to_pylist(), (np.cumsum(used) - 1)[order], np.diff(offsets)
+
+    def _pieces(self, inner: list[str], begins: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces of all segments, the first one of each segment, and how many it has; `inner` stand behind a space."""
+        first, count = np.zeros((2, len(inner) + len(begins)), np.int64)
+        # Segments without white space at their ends are split as one text, as it is safe to cut that before each space.
+        bare = [len(s.strip()) == len(s) > 0 for s in inner]
+        pieces = self._split.findall("".join([" " + s for s, b in zip(inner, bare, strict=True) if b]))
+        starts = np.flatnonzero(np.fromiter((p.startswith(" ") for p in pieces), bool, len(pieces)))
+        if len(starts) == sum(bare):
+            first[: len(inner)][bare] = starts
+            count[: len(inner)][bare] = np.diff(np.append(starts, len(pieces)))
+        else:
+            # Another pattern's pieces, which don't begin at each space.
+            pieces, bare = [], [False] * len(inner)
+        rest = [(k, " " + s) for k, s in enumerate(inner) if not bare[k]]
+        for k, segment in [*rest, *enumerate(begins, len(inner))]:
+            own = self._split.findall(segment)
+            first[k], count[k] = len(pieces), len(own)
+            pieces += own
+        return pieces, first, count
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         """Token ids of each text, as one column of lists."""
         _ = self.connection
-        segments, every, per_text = self._cut(texts)
-        pieces = [self._split.findall(segment) for segment in segments]
+        inner, begins, every, per_text = self._cut(texts)
+        pieces, first, count = self._pieces(inner, begins)
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._known) > MOST_KNOWN:
-            self._known.clear()
-        known = self._known
-        self._learn(dict.fromkeys(p for own in pieces for p in own if p not in known))
-        ids = [b"".join([known[p] for p in own]) for own in pieces]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        first = np.cumsum(lengths) - lengths
-        counts = lengths[every]
-        # Where each id of each text lies in the segments' ids.
-        spread = np.repeat(first[every] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ends = np.cumsum([0, *per_text.tolist()])
-        offsets = np.concatenate([[0], np.cumsum(counts)])[ends]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[spread], pa.int32()))
+            self._forget()
+        self._learn([p for p in different if p not in self._known])
+        number = np.array([self._known[p] for p in different], np.int64)[coded.indices.to_numpy()]
+        counts = self._counts[number]
+        ids = gather(self._ids, (np.cumsum(self._counts) - self._counts)[number], counts)
+        # Where the ids of each segment lie, and those of each text.
+        places = np.concatenate([[0], np.cumsum(counts)])
+        lengths = (places[first + count] - places[first])[every]
+        flat = gather(ids, places[first][every], lengths)
+        ends = np.concatenate([[0], np.cumsum(per_text)])
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[ends]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes that each list of ids stands for."""
@@ -280,11 +331,10 @@ class Tokenizer:
         if not rows.num_rows:
             return [b""] * len(ids)
         column = rows["ids"].chunk(0)
-        own = column.flatten().to_numpy()
-        counts = self._lengths[own]
-        spread = np.repeat(self._places[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        data = self._vocabulary[spread].tobytes()
-        limits = np.concatenate([[0], np.cumsum(counts)])[column.offsets.to_numpy() - column.offsets[0].as_py()].tolist()
+        tokens = self._vocabulary.take(column.flatten())
+        places = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8)
+        data = tokens.buffers()[2].to_pybytes() if len(tokens) else b""
+        limits = places[column.offsets.to_numpy() - column.offsets[0].as_py()].tolist()
         out = [b""] * len(ids)
         for d, x, y in zip(rows["d"].to_pylist(), limits, limits[1:], strict=False):
             out[d] = data[x:y]

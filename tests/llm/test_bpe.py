@@ -70,3 +70,48 @@ def test_calls_share_one_vocabulary(spark):
     for _ in range(2):  # the second call finds workers that have given back what they had learnt
         rows = bpe.encode_and_compare(docs, path, public_tokenizers.PATTERN).collect()
         assert all(r.round_trip for r in rows) and len(rows) == 2
+
+
+def test_white_space_at_the_ends_of_segments(library):
+    rng = random.Random(2)
+    own = bpe.Tokenizer(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    texts = ["a \nb c\n", "a \nb c\n\n d", " \u2003z \u2003", "\x85 b\x85", "x \tbar\t", " ", "", "  ", " lead", "'s 's it's", "c\n"]
+    texts += ["".join(rng.choice("ab1!' \n\t\u2003\x1c\xa0\x85é日") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for batch in (texts, texts[:1], ["", ""], [" "], ["one"], texts[::-1]):
+        ids = own.encode(batch)
+        assert ids.to_pylist() == [library.encode_ordinary(t) for t in batch]
+        assert own.decode(ids) == [t.encode() for t in batch]
+
+
+def test_another_pattern_leaves_spaces_out():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    own = bpe.Tokenizer(ranks, "[a-z]+")
+    assert own.encode(["ab abc ab", "1 ab", ""]).to_pylist() == [[256, 256, 99, 256], [256], []]
+
+
+class Counted:
+    """Calls of one object's methods, counted, with the rows of tables among their arguments."""
+
+    def __init__(self, inner):
+        self.inner, self.calls, self.rows = inner, 0, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            self.rows += sum(getattr(a, "num_rows", 0) for a in args)
+            return getattr(self.inner, name)(*args)
+
+        return call
+
+
+def test_work_of_a_batch_grows_with_pieces(library):
+    # CPU time went into a call of the pattern for each word and into rows for each byte of a piece.
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfgxz") for _ in range(12)) for _ in range(2000)]
+    own = bpe.Tokenizer(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    _ = own.connection
+    own._split, own._connection = Counted(own._split), Counted(own._connection)
+    ids = own.encode([" ".join(words)])
+    assert ids.to_pylist() == [library.encode_ordinary(" ".join(words))]
+    assert own._split.calls < 10
+    assert own._connection.rows <= len(words)
